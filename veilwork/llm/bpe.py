@@ -108,7 +108,7 @@ class MergeTable:
 
     def learn(self, chunks: set[str]) -> None:
         """Merge chunks that are not yet in memory."""
-        new = chunks - self.ids.keys()
+        new = {c for c in chunks if c not in self.ids}
         whole = [c for c in new if c.isalpha()]  # letters only: one pre-token
         parts = {c: self.split(c) for c in new.difference(whole)}
         words = list(set(whole).union(*parts.values()))

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, urls
 from .bpe import count_tokens
+from .mixing import mix_sources
+from .near_dup import near_duplicates
 from .packing import pack_documents
+from .secrets import secret_columns
 from .shared import table
+from .urls import filter_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +32,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=4)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+QUERIES = (op2_packing, op3_token_counts, op4_near_duplicates, op5_mixing, op6_secrets, op7_url_filter)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op3_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op7_url_filter": urls.ORACLE_SQL}
