@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, urls
 from .bpe import count_tokens
+from .chat import format_preferences, preference_pairs
+from .cotrain import classify
+from .media import store_texts
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack_documents
+from .quality_rules import quality_rules
 from .secrets import secret_columns
 from .shared import table
 from .urls import filter_urls, rule_table
@@ -24,6 +28,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", "p_text", "p_meta", "p_quality", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -48,7 +57,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
 
-QUERIES = (op2_packing, op3_token_counts, op4_near_duplicates, op5_mixing, op6_secrets, op7_url_filter)
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(preference_pairs(table(spark, sf_dir, "conversations"))).drop("chosen", "rejected")
+
+
+QUERIES = (op1_quality_classifier, op2_packing, op3_token_counts, op4_near_duplicates, op5_mixing, op6_secrets, op7_url_filter, op8_media, op9_quality_rules, op10_preferences)
 
 
 def queries() -> dict[str, Query]:
