@@ -203,6 +203,25 @@ def scan_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, text_col:
     return docs.withColumn(bitmap, postings(text, trigrams)).withColumn(name, F.array_sort(F.concat(*spans))).drop(bitmap)
 
 
+def redact_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, text_col: str = "text") -> DataFrame:
+    """Replace every secret in each whole text by ``<secret:kind>``, overlapping ones by the first.
+
+    A null text stays null; texts without secrets stay as they are.
+    """
+    name = "__secrets"
+    text = F.col(f"`{text_col}`")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        longer = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(gap, F.concat(F.lit("<secret:"), s["kind"], F.lit(">")))).alias("parts"))
+        return F.when(s["start"] >= acc["at"], longer).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts")))
+
+    end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    clean = F.when(F.size(name) > 0, F.aggregate(name, start, step, end)).otherwise(text)
+    return scan_secrets(docs, more, text_col, name).withColumn(text_col, clean).drop(name)
+
+
 def secret_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts by base kind, the digest of the base spans, and all spans as text."""
     found = scan_secrets(docs.select(id_col, text_col), text_col=text_col)
