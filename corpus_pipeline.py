@@ -1,22 +1,58 @@
-"""A corpus pipeline of the training-data operators, stage by stage."""
+"""A corpus pipeline: classify, remove near-duplicates and secrets, mix, pack.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``,
+which have the columns of ``documents``; all but the last return those columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilwork.llm.cotrain import classify
+from veilwork.llm.mixing import mix_sources
+from veilwork.llm.near_dup import near_duplicates
 from veilwork.llm.packing import pack_documents
 from veilwork.llm.registry import vocabulary
+from veilwork.llm.secrets import redact_secrets
 from veilwork.llm.shared import saved, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; rows without an id stay as they are, repeated rows become one."""
+    found = near_duplicates(docs, percent=80, shingle=5)
+    gone = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti")
+    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(rest.filter("doc_id is null")).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays, with its new length."""
+    clean = redact_secrets(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their targets: a document appears as often as the mix takes it."""
+    mix = mix_sources(docs).select("doc_id", "copies").filter("copies > 0").distinct()
+    taken = docs.join(mix, docs["doc_id"].eqNullSafe(mix["doc_id"])).drop(mix["doc_id"])
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences."""
+    """What is left is packed into training sequences."""
     return pack_documents(docs, vocabulary())
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
 
-#: Trained models and token packing are not SQL; tests hold each stage against brute force.
+#: A trained model and token packing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
