@@ -45,7 +45,7 @@ def ignored(disable: Column, types: list[str]) -> Column:
 
 def parse_disable(form: Column) -> Column:
     """A comma-separated list; null if nothing is in it."""
-    parts = F.filter(F.transform(F.split(form, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(form, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts)
 
 
