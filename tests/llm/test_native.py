@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from veilwork.llm import mixing, registry, urls
-from veilwork.llm.mixing import mix_sources
+from veilwork.llm.mixing import mix_sources, mixed
 from veilwork.llm.secrets import BASE_RULES, MORE_RULES, holds, postings, python_pattern, redact_secrets, secret_columns, trigram_query, trigrams_in
 from veilwork.llm.urls import filter_urls, rule_table
 
@@ -62,6 +62,13 @@ def test_mixing_by_brute_force(spark):
         assert abs(taken[s] - target[s]) <= 60, (s, taken[s], target[s])
     assert sorted(map(str, got)) == sorted(map(str, mix_sources(df.repartition(2)).collect()))
     assert mix_sources(df.limit(0)).count() == 0
+    copies = defaultdict(int)
+    for r in got:
+        copies[r.doc_id] += r.copies
+    again = defaultdict(int)
+    for r in mixed(df.withColumn("copies", F.lit(1)).withColumn("b0", F.lit("x"))).collect():
+        again[r.doc_id] += 1
+    assert again == {k: v for k, v in copies.items() if v}
 
 
 SECRETS = [

@@ -56,6 +56,41 @@ def boundary(histogram: DataFrame, budget: DataFrame, level: int) -> DataFrame:
     return joined.filter(inside).select(*kept, rest.alias("rest"), (F.col("threshold") + bits + near).alias("threshold"), F.col("bucket").alias("at"))
 
 
+def hash_number() -> Column:
+    """The 36 bits of a row's levels as one number."""
+    return sum((F.col(f"b{i}").cast("long") * (1 << 4 * DIGITS * (LEVELS - 1 - i)) for i in range(LEVELS)), F.lit(0))
+
+
+def plan_of(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """A row a source: ``plan_of, source_size, target``, whole repeats and the hash threshold of one more."""
+    histogram = rows.groupBy("source", F.col("b0").alias("bucket")).agg(F.sum("size").alias("words"))
+    targets = saved(source_targets(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    budget = plan.select("source", "rest", F.lit(0).cast("long").alias("threshold"), F.lit(0).alias("at"))
+    inside = rows
+    for level in range(LEVELS):
+        if level:
+            edge = budget.select(F.col("source").alias("of"), "at")
+            on = F.col("source").eqNullSafe(F.col("of")) & (F.col(f"b{level - 1}") == F.col("at"))
+            inside = inside.join(edge, on).drop("of", "at")
+            histogram = inside.groupBy("source", F.col(f"b{level}").alias("bucket")).agg(F.sum("size").alias("words"))
+        budget = saved(boundary(histogram, budget, level))
+    ends = budget.select(F.col("source").alias("end_of"), "threshold")
+    joined = plan.join(ends, F.col("source").eqNullSafe(F.col("end_of")), "left").drop("end_of", "rest")
+    return saved(joined.withColumnRenamed("source", "plan_of"))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``doc_id, source``, the words of each text and the levels of its hash."""
+    levels = [level_bits(id_col, i).alias(f"b{i}") for i in range(LEVELS)]
+    return saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *levels))
+
+
+def copies_taken() -> Column:
+    return (F.col("whole") + F.when(hash_number() < F.col("threshold"), 1).otherwise(0)).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -74,38 +109,37 @@ def mix_sources(
     without words has target 0; an empty table gives an empty one; other columns
     are not read.
     """
-    rows = saved(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            *[level_bits(id_col, i).alias(f"b{i}") for i in range(LEVELS)],
-        )
-    )
-    histogram = rows.groupBy("source", F.col("b0").alias("bucket")).agg(F.sum("size").alias("words"))
-    targets = saved(source_targets(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    budget = plan.select("source", "rest", F.lit(0).cast("long").alias("threshold"), F.lit(0).alias("at"))
-    inside = rows
-    for level in range(LEVELS):
-        if level:
-            edge = budget.select(F.col("source").alias("of"), "at")
-            on = F.col("source").eqNullSafe(F.col("of")) & (F.col(f"b{level - 1}") == F.col("at"))
-            inside = inside.join(edge, on).drop("of", "at")
-            histogram = inside.groupBy("source", F.col(f"b{level}").alias("bucket")).agg(F.sum("size").alias("words"))
-        budget = saved(boundary(histogram, budget, level))
-    ends = budget.select(F.col("source").alias("end_of"), "threshold")
-    plan = saved(plan.join(ends, F.col("source").eqNullSafe(F.col("end_of")), "left").drop("end_of", "rest").withColumnRenamed("source", "plan_of"))
-    number = sum((F.col(f"b{i}").cast("long") * (1 << 4 * DIGITS * (LEVELS - 1 - i)) for i in range(LEVELS)), F.lit(0))
-    copies = F.col("whole") + F.when(number < F.col("threshold"), 1).otherwise(0)
+    rows = sized(docs, id_col, text_col, source_col)
+    plan = plan_of(rows, weights, share, most)
     return (
         rows.join(plan, F.col("source").eqNullSafe(F.col("plan_of")))
-        .withColumn("copies", copies.cast("long"))
+        .withColumn("copies", copies_taken())
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
+def mixed(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The documents of the mix themselves, each as often as ``mix_sources`` takes it.
+
+    Thresholds meet the documents by source, so texts are not shuffled where the
+    plan is small enough to be sent to them.
+    """
+    plan = plan_of(sized(docs, id_col, text_col, source_col), weights, share, most)
+    number = sum((level_bits(id_col, i).cast("long") * (1 << 4 * DIGITS * (LEVELS - 1 - i)) for i in range(LEVELS)), F.lit(0))
+    mine = plan.select(F.col("plan_of").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
+    copies = F.col("__whole") + F.when(number < F.col("__threshold"), 1).otherwise(0)
+    taken = docs.join(mine, F.col(f"`{source_col}`").eqNullSafe(F.col("__of"))).withColumn("__copies", copies.cast("int")).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])
+
+
 ORACLE_SQL = r"""
 WITH rows_ AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
