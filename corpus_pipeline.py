@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.cotrain import classify
-from veilwork.llm.mixing import mix_sources
+from veilwork.llm.mixing import mixed
 from veilwork.llm.near_dup import near_duplicates
 from veilwork.llm.packing import pack_documents
 from veilwork.llm.registry import vocabulary
@@ -40,9 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their targets: a document appears as often as the mix takes it."""
-    mix = mix_sources(docs).select("doc_id", "copies").filter("copies > 0").distinct()
-    taken = docs.join(mix, docs["doc_id"].eqNullSafe(mix["doc_id"])).drop(mix["doc_id"])
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
