@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, urls
+from . import mixing, secrets, urls
 from .bpe import count_tokens
 from .chat import format_preferences, preference_pairs
 from .cotrain import classify
@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op7_url_filter": urls.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_secrets": secrets.oracle_sql(), "op7_url_filter": urls.ORACLE_SQL}

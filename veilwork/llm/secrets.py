@@ -239,3 +239,32 @@ def secret_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def python_pattern(rule: Rule) -> re.Pattern:
     """The same rule for tests by brute force."""
     return re.compile(rule.pattern, re.ASCII)
+
+
+def oracle_sql(rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> str:
+    """DuckDB SQL for ``secret_columns`` over ``documents``."""
+
+    def one(i: int, r: Rule) -> str:
+        rx = r.pattern.replace("'", "''")
+        return (
+            f"SELECT doc_id, {i} AS nth, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{rx}', 0) AS m, "
+            f"regexp_extract_all(text, '{rx}', {r.group}) AS p, string_split_regex(text, '{rx}') AS g FROM d WHERE regexp_matches(text, '{rx}')"
+        )
+
+    every = "\n  UNION ALL ".join(one(i, r) for i, r in enumerate(rules))
+    base = len(BASE_RULES)
+    counts = ", ".join(f"CAST(count(CASE WHEN nth = {i} THEN 1 END) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({every}),
+each_ AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (
+  SELECT doc_id, nth, kind, i, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS b,
+         length(m[i]) AS n FROM each_ WHERE length(p[i]) >= least),
+named AS (SELECT doc_id, nth, b, concat(kind, ':', CAST(b AS VARCHAR), ':', CAST(b + n AS VARCHAR)) AS s FROM spans),
+joined AS (
+  SELECT doc_id, {counts}, coalesce(string_agg(CASE WHEN nth < {base} THEN s END, ',' ORDER BY b, nth), '') AS base, string_agg(s, ',' ORDER BY b, nth) AS spans
+  FROM named GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""
