@@ -1,8 +1,11 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
+from veilwork.llm import near_dup
 from veilwork.llm.components import components
 from veilwork.llm.near_dup import near_duplicates
 
@@ -69,3 +72,49 @@ def test_one_id_with_several_texts(spark):
 def test_long_chain(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in components(edges).collect()} == {0}
+
+
+def family(spark, words, members, pairs):
+    """Pages of one template below 0.8, and copies at 0.81 of some of them, which are further from the others.
+
+    Division of the ids by hashes of two rounds leaves them together, so random centres do not help.
+    """
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(words)]
+
+    def changed(page, n):
+        page = list(page)
+        for i in range(n):
+            page[rng.randrange(i * words // n, (i + 1) * words // n - 5)] = word()
+        return page
+
+    pages = [changed(base, words // 75) for _ in range(members)]
+    pages += [changed(p, words // 46) for p in pages[members - pairs :]]
+    ids = spark.range(20 * len(pages)).filter("xxhash64(id, 1) % 2 = 0 and pmod(xxhash64(id, 2), 4) = 0").limit(len(pages)).collect()
+    return list(zip(sorted(r.id for r in ids), map(" ".join, pages), strict=True))
+
+
+@pytest.mark.parametrize("block", [1000, 30])
+def test_pairs_within_a_template_family(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = family(spark, 600, 200, 40)
+    want, _ = brute(rows, 80, 5)
+    assert 100 < len(set(want.values())) < 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, 80, 5).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 4  # a pair may share no divided bucket
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_sketches_exclude_no_similar_pair(percent):
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.choice([1, 3, 40, 3000])], rng.integers(1, 900))) for _ in range(80)]
+    sets += [np.unique(rng.choice(s, max(1, len(s) - 3), replace=False)) for s in sets]
+    n = np.array([len(s) for s in sets])
+    left, right, _ = near_dup.possible(n, np.arange(len(n)), np.zeros(len(n), int), [near_dup.sketch(s) for s in sets], percent)
+    found = {*zip(left.tolist(), right.tolist(), strict=True)}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * common < percent * (n[a] + n[b] - common) or (a, b) in found

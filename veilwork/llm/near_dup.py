@@ -5,10 +5,11 @@ least value of a bin is kept, and empty bins borrow from others by the optimal
 densification.  Bands of bins make buckets; each bucket proposes a star, its
 least document against each other, so candidates grow with the bucket and not
 its square.  Candidates are confirmed on full shingle sets.  A bucket whose
-documents do not all end in one component is divided by further bands, and its
-parts propose more stars, with twice as many centres each round; pairs that are
-connected already are not tried.  A part is done once it is connected or, from
-the third round on, a whole round has connected nothing in it.
+documents do not all end in one component is divided by further bands, and all
+pairs of different components in its parts are tried: a sketch gives a bound on
+the similarity of each pair, and those that it does not exclude are confirmed.
+A document gives a bounded number of pairs a round, those of the best bounds;
+a part is done once no document in it had more.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 #: Further bands that divide a bucket in which not all documents are connected.
 FINER = 3
+#: Documents of a bucket that a group compares, with as many others at most.
+BLOCK = 1000
+#: Pairs that a document gives in a bucket's first round, and the factor of each further round.
+PAIRS = 8
 #: Hashes of words that a worker remembers.
 MEMORY = 1_000_000
 
@@ -142,6 +147,125 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the counts of hashes by their low bits; the bits are a power of two, four times the hashes or more."""
+    bits = 1 << max(64, 4 * len(hashes) - 1).bit_length()
+    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """``id, size, sketch`` of the shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(word_hashes(text), shingle) for text in batch.column(1).to_pylist()]
+            arrays = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(map(sketch, own), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "sketch"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, size long, sketch binary")
+
+
+def folded(sketched: list[bytes], size: int) -> np.ndarray:
+    """Sketches of ``size`` bytes, where longer ones are folded to that; rows of shorter ones stay empty."""
+    out = np.zeros((len(sketched), size // 8), dtype=np.uint64)
+    lengths = np.fromiter(map(len, sketched), np.int64, len(sketched))
+    for n in np.unique(lengths[lengths >= size]):
+        at = np.flatnonzero(lengths == n)
+        bits = np.frombuffer(b"".join([sketched[i] for i in at]), dtype=np.uint64)
+        out[at] = np.bitwise_xor.reduce(bits.reshape(len(at), n // size, size // 8), axis=1)
+    return out
+
+
+def possible(n: np.ndarray, component: np.ndarray, side: np.ndarray, sketched: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components that may be similar enough, and the bounds of their distance.
+
+    Sets differ in at least as many shingles as their sketches in bits, so no
+    pair that is similar enough is left out.  With two sides, pairs are across.
+    """
+    lengths = np.fromiter(map(len, sketched), np.int64, len(sketched))
+    bits = {t: folded(sketched, t) for t in np.unique(lengths)}
+    across = side.any()
+    left, right, bounds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for i in np.flatnonzero(side == 0):
+        j = np.flatnonzero(side) if across else np.arange(i + 1, len(n))
+        j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        least = np.minimum(lengths[j], lengths[i])
+        for t in np.unique(least):
+            k = j[least == t]
+            apart = np.bitwise_count(bits[t][k] ^ bits[t][i]).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + percent) <= (n[k] + n[i]) * (100 - percent)
+            k = k[near]
+            left.append(np.full(len(k), i))
+            right.append(k)
+            bounds.append(apart[near] / (n[k] + n[i]))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(bounds)
+
+
+def nearest(left: np.ndarray, right: np.ndarray, bounds: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` of least bounds of one of their ends."""
+    ends = np.concatenate([left, right])
+    order = np.lexsort((np.concatenate([bounds, bounds]), ends))
+    first = np.searchsorted(ends[order], ends[order])
+    rank = np.empty(len(ends), np.int64)
+    rank[order] = np.arange(len(ends)) - first
+    return (rank[: len(left)] < most) | (rank[len(left) :] < most)
+
+
+def candidates(now: DataFrame, sketched: DataFrame, percent: int, most: int) -> DataFrame:
+    """``bucket, a, b, more``: pairs of different components in each bucket that may be similar enough.
+
+    ``now`` has ``bucket, doc, component``.  A document gives the ``most`` best
+    in a group of at most two blocks; ``more`` tells that a group has others.
+    A bucket of over a block is parted into blocks of sizes that are near, a
+    large component by itself, and pairs of blocks that can have pairs make groups.
+    """
+    kind = now.schema["doc"].dataType["id"].dataType.simpleString()
+    large = now.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket")
+    lots = max(1, now.count() * 5 // BLOCK)
+    small = now.join(large, "bucket", "left_anti").withColumn("job", F.col("bucket")).withColumn("lot", F.pmod(F.xxhash64("bucket"), F.lit(lots))).withColumn("side", F.lit(0))
+
+    level = F.floor(F.log(F.col("doc.n").cast("double")) / float(np.log(100 / max(1, percent)) + 1e-6)).alias("level")  # over one apart: too different
+    leveled = now.join(large, "bucket").select("bucket", "doc", "component", level)
+    alone = leveled.groupBy("bucket", "component").count().filter(F.col("count") > BLOCK).select("bucket", "component", F.lit(True).alias("alone"))
+    owned = leveled.join(alone, ["bucket", "component"], "left").withColumn("own", F.when(F.col("alone"), F.col("component").cast("string"))).drop("alone")
+    key = F.xxhash64("level", F.col("own").isNull(), "own").alias("key")
+    owned = owned.select("bucket", "doc", "component", "level", "own", key)
+    counts = owned.groupBy("bucket", "key").agg(F.count("*").alias("rows"))
+    owned = saved(owned.join(counts, ["bucket", "key"]).withColumn("part", F.pmod(F.xxhash64("doc.id"), F.ceil(F.col("rows") / BLOCK))))
+    block = F.struct("key", "part").alias("block")
+    blocks = owned.select("bucket", block, "level", "own").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    close = (F.col("x.bucket") == F.col("y.bucket")) & (F.abs(F.col("x.level") - F.col("y.level")) <= 1) & (F.col("x.block") <= F.col("y.block"))
+    differ = F.col("x.own").isNull() | F.col("y.own").isNull() | (F.col("x.own") != F.col("y.own"))
+    jobs = x.join(y, close & differ).select(F.col("x.bucket").alias("bucket"), F.col("x.block").alias("x"), F.col("y.block").alias("y")).withColumn("job", F.xxhash64("bucket", "x", "y"))
+    ends = jobs.select("bucket", F.col("x").alias("block"), "job", F.lit(0).alias("side")).union(jobs.filter("x <> y").select("bucket", F.col("y").alias("block"), "job", F.lit(1).alias("side")))
+    parted = owned.select("bucket", "doc", "component", block).join(ends, ["bucket", "block"]).withColumn("lot", F.col("job"))
+
+    columns = ["lot", "job", "side", "bucket", "doc", "component"]
+    rows = small.select(columns).union(parted.select(columns)).select("*", F.col("doc.id").alias("id")).join(sketched, "id").drop("doc")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("job", kind="stable")
+        job, ids, bucket = pdf["job"].to_numpy(), pdf["id"].to_numpy(), pdf["bucket"].to_numpy()
+        n, side, component, bits = pdf["size"].to_numpy(), pdf["side"].to_numpy(), pd.factorize(pdf["component"])[0], pdf["sketch"].tolist()
+        cuts = [0, *(np.flatnonzero(job[1:] != job[:-1]) + 1), len(job)]
+        out = {"bucket": [], "a": [], "b": [], "more": []}
+        for at, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            left, right, bounds = possible(n[at:stop], component[at:stop], side[at:stop], bits[at:stop], percent)
+            if len(left):
+                keep = nearest(left, right, bounds, most)
+                out["bucket"].append(bucket[at + left[keep]])
+                out["a"].append(ids[at + left[keep]])
+                out["b"].append(ids[at + right[keep]])
+                out["more"].append(np.full(keep.sum(), not keep.all()))
+        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
+
+    found = rows.groupBy("lot").applyInPandas(run, f"bucket long, a {kind}, b {kind}, more boolean")
+    return found.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents that share ``percent`` of their shingles, by links.
 
@@ -193,27 +317,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
         lambda k: k.isNotNull(),
     )
     rest = saved(firsts.join(wanted, "doc").select("doc", F.explode(finer).alias("bucket")))
-    before, turn = rest, 0
+    involved = rest.select(F.col("doc.id").alias("id")).distinct()
+    sketched = saved(sketches(texts.join(involved, "id", "left_semi"), shingle))
+    most = PAIRS
     while True:
-        turn += 1
-        now = with_component(rest.select("bucket", "doc"))
-        split = now.groupBy("bucket").agg(F.count_distinct("component").alias("parts")).filter("parts > 1")
-        if turn > 2:  # a bucket is done when all its documents are connected, or a round after the second has connected none
-            last = before.select("bucket", F.col("parts").alias("were"))
-            split = split.join(last, "bucket").filter("parts < were").drop("were")
-        now = saved(now.join(split, "bucket"))
+        now = with_component(rest)
+        split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        now = saved(now.join(split, "bucket").select("bucket", "doc", "component"))
         if now.isEmpty():
             break
-        part = F.pmod(F.xxhash64("doc.id", F.lit(turn)), F.lit(2**turn))
-        centres = now.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("doc", "component")).alias("m"))
-        centres = saved(centres.select("bucket", F.col("m.doc").alias("centre"), F.col("m.component").alias("other")))
-        on = (now["bucket"] == centres["bucket"]) & (F.col("component") != F.col("other")) & fits("doc", "centre")
-        new = saved(now.join(centres, on).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
-        before, rest = now.select("bucket", "parts").distinct(), now
-        if new.isEmpty():
-            break
-        tried = tried.union(new)
-        grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(new, texts, shingle, percent)))
+        proposed = saved(candidates(now, sketched, percent, most))
+        new = saved(proposed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            tried = tried.union(new)
+            grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(new, texts, shingle, percent)))
+        rest = now.join(proposed.filter("more").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "doc")  # all pairs of the others are tried
+        most *= PAIRS
 
     joined = found.select("id", "n_shingles").join(homes.select("id", "rep"), "id", "left")
     state = grouped.select(F.col("id").alias("known_id"), F.col("component"))
