@@ -5,11 +5,11 @@ least value of a bin is kept, and empty bins borrow from others by the optimal
 densification.  Bands of bins make buckets; each bucket proposes a star, its
 least document against each other, so candidates grow with the bucket and not
 its square.  Candidates are confirmed on full shingle sets.  A bucket whose
-documents do not all end in one component is divided by further bands, and all
-pairs of different components in its parts are tried: a sketch gives a bound on
-the similarity of each pair, and those that it does not exclude are confirmed.
-A document gives a bounded number of pairs a round, those of the best bounds;
-a part is done once no document in it had more.
+documents do not all end in one component is searched whole, so that every pair
+that shares a band is tried or connected: a sketch gives a bound on the
+similarity of each pair of different components, and those that it does not
+exclude are confirmed.  A document gives a bounded number of pairs a round,
+those of the best bounds; a bucket is done once no document in it had more.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .shared import saved
 #: Bands and bins of each: a pair at 0.8 misses all of them once in 15,000 times.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Further bands that divide a bucket in which not all documents are connected.
-FINER = 3
 #: Documents of a bucket that a group compares, with as many others at most.
 BLOCK = 1000
 #: Pairs that a document gives in a bucket's first round, and the factor of each further round.
@@ -306,26 +304,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
         state = grouped.select(F.col("id").alias("known_id"), "component")
         return df.join(state, F.col("doc.id") == F.col("known_id"), "left").withColumn("component", F.coalesce("component", "doc.id")).drop("known_id")
 
-    # buckets of several components: each is divided by two more bands, which parts what only shares a passage
-    state = with_component(members.select("bucket", "doc"))
-    mixed_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    wanted = state.join(mixed_, "bucket").groupBy("doc").agg(F.collect_set("bucket").alias("mixed"))  # at most a row a band
-    finer = F.filter(
-        F.flatten(
-            F.transform("bands", lambda k, i: F.transform(F.array(*map(F.lit, range(1, FINER + 1))), lambda j: F.when(F.array_contains("mixed", k), F.xxhash64(k, F.get("bands", (i + j) % BANDS)))))
-        ),
-        lambda k: k.isNotNull(),
-    )
-    rest = saved(firsts.join(wanted, "doc").select("doc", F.explode(finer).alias("bucket")))
-    involved = rest.select(F.col("doc.id").alias("id")).distinct()
-    sketched = saved(sketches(texts.join(involved, "id", "left_semi"), shingle))
-    most = PAIRS
+    # buckets of several components: all their pairs of different components are tried, whatever other bands they share
+    rest = members.select("bucket", "doc")
+    sketched, most = None, PAIRS
     while True:
         now = with_component(rest)
         split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
         now = saved(now.join(split, "bucket").select("bucket", "doc", "component"))
         if now.isEmpty():
             break
+        if sketched is None:
+            sketched = saved(sketches(texts.join(now.select(F.col("doc.id").alias("id")).distinct(), "id", "left_semi"), shingle))
         proposed = saved(candidates(now, sketched, percent, most))
         new = saved(proposed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
