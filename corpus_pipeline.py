@@ -24,11 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; rows without an id stay as they are, repeated rows become one."""
+    """One document of each group stays; rows without an id stay as they are, rows of one id and text become one."""
     found = near_duplicates(docs, percent=80, shingle=5)
     gone = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
-    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(rest.filter("doc_id is null")).select(*docs.columns)
 
 

@@ -69,6 +69,18 @@ def test_one_id_with_several_texts(spark):
     assert got == {1: 1, 7: 1, 3: 1, 9: 1, 8: 8}
 
 
+def test_near_copies_of_each_text_of_an_id(spark):
+    from corpus_pipeline import near_dedup
+
+    one, two = [" ".join(f"{x}{i}" for i in range(100)) for x in "xy"]
+    rows = [(7, one), (7, two), (7, one), (9, one + " z"), (11, two + " z"), (12, "q q q q q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 80, 5).collect()} == {7: 7, 9: 7, 11: 7, 12: 12}
+    texts = spark.createDataFrame([(1, "a b c d e f"), (1, " "), (2, "q r s t u v"), (2, "")], "id long, text string")
+    assert near_dup.confirmed(spark.createDataFrame([(1, 2)], "a long, b long"), texts, 5, 80).isEmpty()  # blank texts are not alike
+    assert sorted(map(tuple, near_dedup(spark, docs, "").collect())) == [(7, one), (7, two), (12, "q q q q q")]
+
+
 def test_long_chain(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in components(edges).collect()} == {0}

@@ -125,18 +125,18 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full shingle sets are similar enough."""
+    """Pairs ``a, b`` whose full shingle sets are similar enough, of any two of their texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, own = None, None
         for pdf in batches:
             keep = []
-            for a, text_a, text_b in zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True):
-                if last != a:
-                    last, own = a, shingles(word_hashes(text_a), shingle)
+            for text_a, text_b in zip(pdf["text_a"], pdf["text_b"], strict=True):
+                if last != text_a:
+                    last, own = text_a, shingles(word_hashes(text_a), shingle)
                 other = shingles(word_hashes(text_b), shingle)
                 common = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(own) + len(other) - common))
+                keep.append(common > 0 and 100 * common >= percent * (len(own) + len(other) - common))
             yield pdf.loc[keep, ["a", "b"]]
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -242,7 +242,7 @@ def candidates(now: DataFrame, sketched: DataFrame, percent: int, most: int) ->
     parted = owned.select("bucket", "doc", "component", block).join(ends, ["bucket", "block"]).withColumn("lot", F.col("job"))
 
     columns = ["lot", "job", "side", "bucket", "doc", "component"]
-    rows = small.select(columns).union(parted.select(columns)).select("*", F.col("doc.id").alias("id")).join(sketched, "id").drop("doc")
+    rows = small.select(columns).union(parted.select(columns)).select("*", F.col("doc.id").alias("id"), F.col("doc.n").alias("size")).join(sketched, ["id", "size"]).drop("doc")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("job", kind="stable")
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     stars = placed.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("top")).filter("centre.id < top.id").drop("top")
     members = saved(placed.join(stars, "bucket"))
     involved = members.select(F.col("doc.id").alias("id")).distinct()
-    texts = saved(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]))
+    texts = saved(rows.filter("text is not null").join(involved, "id", "left_semi").distinct())
 
     def fits(doc: str, centre: str) -> Column:
         few, many = F.least(f"{doc}.n", f"{centre}.n"), F.greatest(f"{doc}.n", f"{centre}.n")
