@@ -68,6 +68,45 @@ def iban_valid(value: Column) -> Column:
     return let(plain, check)
 
 
+# Alphabets and generator of public address formats.
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+BECH32_GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
+
+
+def base58_valid(value: Column) -> Column:
+    """A Base58Check address: 25 bytes, the last four being the begin of the double SHA-256 of the others."""
+    zero = F.array_repeat(F.lit(0), 25)
+
+    def add(acc: Column, c: Column) -> Column:
+        step = lambda s, b: F.struct(F.shiftright(b * 58 + s["carry"], 8).alias("carry"), F.concat(F.array((b * 58 + s["carry"]).bitwiseAND(255)), s["out"]).alias("out"))
+        begin = F.struct((F.instr(F.lit(BASE58), c) - 1).alias("carry"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(F.reverse(acc), begin, step, lambda s: s["out"])
+
+    def check(b: Column) -> Column:
+        digits = F.array_join(F.transform(b, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
+        twice = F.sha2(F.unhex(F.sha2(F.unhex(F.substring(digits, 1, 42)), 256)), 256)
+        return F.substring(twice, 1, 8) == F.substring(digits, 43, 8)
+
+    return let(F.aggregate(F.split(value, "(?!^)(?!$)"), zero, add), check)
+
+
+def bech32_valid(value: Column) -> Column:
+    """The checksum of a ``bc1`` address, of either version."""
+    prefix = [ord(c) >> 5 for c in "bc"] + [0] + [ord(c) & 31 for c in "bc"]
+    own = F.transform(F.split(F.substring(F.lower(value), 4, 90), "(?!^)(?!$)"), lambda c: F.instr(F.lit(BECH32), c) - 1)
+
+    def step(acc: Column, v: Column) -> Column:
+        top = F.shiftright(acc, 25)
+        out = F.shiftleft(acc.bitwiseAND(0x1FFFFFF), 5).bitwiseXOR(v)
+        for i, g in enumerate(BECH32_GENERATOR):
+            out = out.bitwiseXOR(F.when(F.shiftright(top, i).bitwiseAND(1) == 1, F.lit(g)).otherwise(F.lit(0)))
+        return out
+
+    total = F.aggregate(F.concat(F.array(*map(F.lit, prefix)), own), F.lit(1), step)
+    return total.isin(1, 0x2BC830A3)
+
+
 def clean_person(text: Column, span: Column) -> Column:
     """A name's span without ragged ends, or null.
 

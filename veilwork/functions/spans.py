@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lets import let
+
 SPAN = "struct<start:int,end:int>"
 
 
@@ -23,9 +25,6 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     With ``group`` 1, the span of the group, which must be the whole match or
     its tail.  The pattern must not match the empty string.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.arrays_zip(whole.alias("m"), part.alias("p"), F.split(text, pattern, -1).alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x["g"]) + F.length(x["m"])
@@ -33,7 +32,14 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
 
     begin = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
-    return F.aggregate(F.slice(pieces, 1, F.size(whole)), begin, step, lambda acc: acc["found"])
+
+    def spans(whole: Column) -> Column:
+        part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        pieces = F.arrays_zip(whole.alias("m"), part.alias("p"), F.split(text, pattern, -1).alias("g"))
+        return F.aggregate(F.slice(pieces, 1, F.size(whole)), begin, step, lambda acc: acc["found"])
+
+    # a text without a match, by far the most frequent case, is searched once
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: F.when(F.size(whole) > 0, spans(whole)).otherwise(no_spans()))
 
 
 def cut(text: Column, span: Column) -> Column:

@@ -42,7 +42,7 @@ def mask_json(json: Column, mask: Masker = anonymize) -> Column:
 
     def values(text: Column) -> Column:
         def of(s: Column) -> Column:
-            is_key = F.regexp_like(F.substring(text, s["end"] + 1, F.lit(64)), F.lit(r"^\s*:"))
+            is_key = F.regexp_like(F.substring(text, s["end"] + 1, F.length(text)), F.lit(r"^\s*+:"))
             plain = F.from_json(F.concat(F.lit("["), cut(text, s), F.lit("]")), "array<string>")[0]
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), is_key.alias("is_key"), F.when(~is_key, mask(plain)).alias("r"))
 

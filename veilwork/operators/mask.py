@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lets import is_blank, let
 from ..functions.spans import cut, no_spans, overlap
-from .recognizers import SPAN, Recognizer, detect, registry
+from .person import complete
+from .recognizers import SPAN, Recognizer, detect
 
 # Types that are never masked, and the placeholder of each type.
 EXCLUDED = ("LOCATION", "NRP")
@@ -30,7 +31,7 @@ ENTITY = "struct<entity_type:string,start:int,end:int,score:double,value:string>
 
 def policy(recognizers: Iterable[Recognizer] | None = None) -> list[str]:
     """The types that may be masked."""
-    return sorted({r.entity for r in (registry() if recognizers is None else recognizers)} - set(EXCLUDED))
+    return sorted({r.entity for r in (complete() if recognizers is None else recognizers)} - set(EXCLUDED))
 
 
 def narrowed(disable: Column, types: list[str]) -> Column:
@@ -70,14 +71,15 @@ def resolve(spans: Column) -> Column:
     return F.aggregate(ordered, no_spans(SPAN), keep)
 
 
-def placeholder(entity: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])
+def placeholder(entity: Column, operators: dict[str, str] | None = None) -> Column:
+    """What stands for a type; ``operators`` replaces or adds to the fixed placeholders."""
+    names = F.create_map(*[F.lit(x) for kv in (PLACEHOLDERS | (operators or {})).items() for x in kv])
     return F.coalesce(F.try_element_at(names, entity), F.lit(OTHER))
 
 
-def numbered(resolved: Column, text: Column) -> Column:
+def numbered(resolved: Column, text: Column, operators: dict[str, str] | None = None) -> Column:
     """Spans by start, with the value and the placeholder numbered by its occurrence in the text."""
-    by_start = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.round(s["score"], 2).alias("score"), placeholder(s["entity_type"]).alias("base"), cut(text, s).alias("value"))
+    by_start = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), F.round(s["score"], 2).alias("score"), placeholder(s["entity_type"], operators).alias("base"), cut(text, s).alias("value"))
 
     def number(spans: Column) -> Column:
         def one(s: Column, i: Column) -> Column:
@@ -101,7 +103,7 @@ def rebuilt(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, last + 1, F.length(text)))
 
 
-def masked(text: Column, detections: Column, disable: Column | None = None) -> Column:
+def masked(text: Column, detections: Column, disable: Column | None = None, operators: dict[str, str] | None = None) -> Column:
     """``original, anonymized, entities_found, mapping`` of a text, given its detections."""
 
     def result(spans: Column) -> Column:
@@ -115,20 +117,30 @@ def masked(text: Column, detections: Column, disable: Column | None = None) -> C
         )
 
     kept = F.when(is_blank(text), no_spans(SPAN)).otherwise(allowed(detections, disable))
-    return F.when(text.isNotNull(), let(numbered(let(kept, resolve), text), result))
+    return F.when(text.isNotNull(), let(numbered(let(kept, resolve), text, operators), result))
 
 
-def anonymize(text: Column, disable: Column | list[str] | None = None, recognizers: tuple[Recognizer, ...] | None = None) -> Column:
+def anonymize(
+    text: Column,
+    disable: Column | list[str] | None = None,
+    recognizers: tuple[Recognizer, ...] | None = None,
+    operators: dict[str, str] | None = None,
+    found: Column | None = None,
+) -> Column:
     """Mask a text reversibly; null stays null, blank text stays as it is.
 
+    Without ``recognizers``, the whole registry and the rules for names work.
+    ``operators`` maps types to placeholders of the form ``<NAME>``; ``found``
+    are further detections, like those of a model for names.
     A list of disabled types that is known when the plan is built also removes
     their recognizers from it.
     """
-    chosen = registry() if recognizers is None else recognizers
+    chosen = complete() if recognizers is None else recognizers
     if isinstance(disable, list):
         off = {t.strip().upper() for t in disable}
         chosen, disable = tuple(r for r in chosen if r.entity not in off), None
-    return let(text, lambda t: masked(t, detect(t, chosen), disable))
+    every = lambda t: detect(t, chosen) if found is None else F.concat(detect(t, chosen), found)
+    return let(text, lambda t: masked(t, every(t), disable, operators))
 
 
 def gated(result: Column, show_mapping: Column | bool = False, drop_original: bool = False) -> Column:

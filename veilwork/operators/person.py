@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import clean_person
 from ..functions.spans import cut, find_all, no_spans
-from .recognizers import SPAN, Recognizer
+from .recognizers import SPAN, Recognizer, registry
 
 SCORE = 0.9
 # Stems of common given names.
@@ -71,8 +71,19 @@ class PersonModel(Recognizer):
         return run(text)
 
 
+def complete(*more: Recognizer, without: tuple[str, ...] = ()) -> tuple[Recognizer, ...]:
+    """What masks when nothing else is chosen: the registry and the rules for names, so that no name goes unnoticed for want of a model."""
+    return registry(*more, *([] if "person_rules" in without else [PersonRules()]), without=without)
+
+
 def require_person(recognizers: tuple[Recognizer, ...], allow_no_person: bool = False) -> tuple[Recognizer, ...]:
     """Refuse to work without a source of names unless that is allowed."""
     if not allow_no_person and not any(r.entity == "PERSON" for r in recognizers):
         raise ValueError("no recognizer finds names; pass one or allow_no_person=True")
     return recognizers
+
+
+def model_spans(df: DataFrame, text: str, model: PersonModel, name: str = "person_spans") -> DataFrame:
+    """Add the model's detections of a text column; null texts have none."""
+    raw = df.withColumn(name, model.column(F.col(text)))
+    return raw.withColumn(name, F.when(F.col(text).isNotNull(), scored(F.col(text), F.col(name), -1)).otherwise(no_spans(SPAN)))

@@ -39,8 +39,6 @@ ADDRESS = (
 )
 
 # Words near a span that raise its score, as stems of their lemmas.
-INN_CONTEXT = ("инн",)
-SNILS_CONTEXT = ("снилс",)
 PASSPORT_CONTEXT = ("паспорт", "сери", "документ", "загранпаспорт", "удостоверен")
 BIRTH_CONTEXT = ("родил", "рожд", "рождён", "д.р", "г.р", "др", "гр", "дат")
 CARD_CONTEXT = ("карт", "банковск", "мир", "виз")
@@ -90,7 +88,7 @@ def anchored(name: str, entity: str, patterns: tuple[str, ...], digits: tuple[in
 
 # Patterns and scores.
 RECOGNIZERS: tuple[Recognizer, ...] = (
-    Recognizer("address", "ADDRESS", ((ADDRESS, 0.95),), needs=rf"(?iU){STREET}", context=ADDRESS_CONTEXT),
+    Recognizer("address", "ADDRESS", ((ADDRESS, 0.95),), needs=rf"(?iU)(?=[убпшнкт]){STREET}", context=ADDRESS_CONTEXT),
     Recognizer(
         "phone",
         "PHONE_NUMBER",
@@ -100,10 +98,11 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
             (r"(?<!\d)[78][\s\-]?9(?:[\s\-]?\d){9}(?!\d)", 0.6),
             (r"(?<!\d)9\d{9}(?!\d)", 0.5),
         ),
+        r"(?U)\d(?:[\s\-()]{0,2}\d){9}",
     ),
     Recognizer("inn", "INN", ((r"\b\d{12}\b", 0.5), (r"\b\d{10}\b", 0.4)), r"[0-9]{10}", valid=checks.inn_valid),
     anchored("inn_anchored", "INN", (rf"ИНН{GAP}({INN_NUMBER})", rf"идентификационн\w*\s+номер\w*{GAP}({INN_NUMBER})"), (10, 12), 0.9, "(?iU)инн|идентификационн"),
-    Recognizer("snils", "SNILS", ((r"\b\d{3}-\d{3}-\d{3}\s?\d{2}\b", 0.85), (r"\b\d{3}\s\d{3}\s\d{3}\s?\d{2}\b", 0.8)), valid=checks.snils_valid),
+    Recognizer("snils", "SNILS", ((r"\b\d{3}-\d{3}-\d{3}\s?\d{2}\b", 0.85), (r"\b\d{3}\s\d{3}\s\d{3}\s?\d{2}\b", 0.8)), r"(?U)\d{3}[\s\-]\d{3}[\s\-]\d{3}", valid=checks.snils_valid),
     anchored("snils_anchored", "SNILS", (rf"СНИЛС{GAP}({SNILS_NUMBER})", rf"страхов\w*\s+свидетельств\w*{GAP}({SNILS_NUMBER})"), (11,), 0.9, "(?iU)снилс|страхов"),
     Recognizer("passport", "PASSPORT", ((r"\b\d{4}\s*(?:номер|н[оo]мер|№)\s*\d{6}\b", 0.7),), "(?iU)н[оo]мер|№", context=PASSPORT_CONTEXT),
     anchored(
@@ -120,9 +119,9 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     ),
     Recognizer("email", "EMAIL_ADDRESS", ((r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0.9),), "@"),
     Recognizer("email_spoken", "EMAIL_ADDRESS", ((rf"{LOCAL}\s*{AT}\s*[\w\-]+\s*{DOT}\s*[A-Za-z]{{2,6}}", 0.85),), rf"(?iU){AT}\s*[\w\-]+\s*{DOT}\s*[A-Za-z]"),
-    Recognizer("birth", "DATE_OF_BIRTH", ((r"\b\d{2}\.\d{2}\.\d{4}\b", 0.4), (r"\b\d{2}/\d{2}/\d{4}\b", 0.4)), context=BIRTH_CONTEXT),
+    Recognizer("birth", "DATE_OF_BIRTH", ((r"\b\d{2}\.\d{2}\.\d{4}\b", 0.4), (r"\b\d{2}/\d{2}/\d{4}\b", 0.4)), r"(?U)\d{2}[./]\d{2}[./]\d{4}", context=BIRTH_CONTEXT),
     anchored("birth_anchored", "DATE_OF_BIRTH", (r"дата\s+рожд\w*(?:\W+\w+){0,3}?\W{0,5}(\d{2}[.\-/]?\d{2}[.\-/]?\d{4}|\d{8})",), (8,), 0.7, "(?iU)рожд"),
-    Recognizer("card", "CREDIT_CARD", ((r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b", 0.7), (r"\b\d{2}(?:[\s\-_.]?\d{2}){7}\b", 0.55)), context=CARD_CONTEXT),
+    Recognizer("card", "CREDIT_CARD", ((r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b", 0.7), (r"\b\d{2}(?:[\s\-_.]?\d{2}){7}\b", 0.55)), r"(?U)\d(?:[\s\-_.]?\d){15}", context=CARD_CONTEXT),
     anchored(
         "card_anchored",
         "CREDIT_CARD",
@@ -135,13 +134,22 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
 
 # What a general framework finds in any language; it is masked as <PII>.
 GENERAL: tuple[Recognizer, ...] = (
-    Recognizer("date", "DATE_TIME", ((r"\b(?:\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2})\b", 0.6),)),
+    Recognizer("date", "DATE_TIME", ((r"\b(?:\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2})\b", 0.6),), r"(?U)\d[./-]\d"),
     Recognizer("url", "URL", ((r"\bhttps?://[^\s<>\"']+", 0.6),), "://"),
-    Recognizer("ip", "IP_ADDRESS", ((r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.6),)),
+    Recognizer("ip", "IP_ADDRESS", ((r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.6),), r"[0-9]\.[0-9]{1,3}\.[0-9]"),
+    Recognizer("ipv6", "IP_ADDRESS", ((r"(?<![\w:])(?=[0-9A-F:]*[0-9])(?:(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}|(?:[0-9A-F]{1,4}:){1,7}:|(?:[0-9A-F]{1,4}:){1,6}(?::[0-9A-F]{1,4}){1,6}|::(?:[0-9A-F]{1,4}:){0,6}[0-9A-F]{1,4})(?![\w:])", 0.6),), r"(?i)[0-9A-F:]:[0-9A-F:]"),
+    Recognizer("wallet", "CRYPTO", ((r"\b(?-i:[13][a-km-zA-HJ-NP-Z1-9]{25,33})\b", 0.5),), r"[13][A-Za-z0-9]{25}", valid=checks.base58_valid),
+    Recognizer("segwit", "CRYPTO", ((r"\bbc1[02-9ac-hj-np-z]{11,71}\b", 0.5),), "(?i)bc1", valid=checks.bech32_valid),
     Recognizer("iban", "IBAN_CODE", ((r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?\b", 0.5),), r"[A-Za-z]{2}[0-9]{2}", valid=checks.iban_valid),
 )
 
 
+def describe(recognizers: tuple[Recognizer, ...] | None = None, excluded: tuple[str, ...] = ("LOCATION", "NRP")) -> dict:
+    """``status, person_ready, supported``: whether names can be found, and the sorted types that may be masked."""
+    known = {r.entity for r in (registry() if recognizers is None else recognizers)}
+    return {"status": "ok" if "PERSON" in known else "degraded", "person_ready": "PERSON" in known, "supported": sorted(known.difference(excluded))}
+
+
 def registry(*more: Recognizer, without: tuple[str, ...] = ()) -> tuple[Recognizer, ...]:
     """The ordered recognizers: the Russian ones, the general ones, then ``more``, but for those named in ``without``."""
     return tuple(r for r in (*RECOGNIZERS, *GENERAL, *more) if r.name not in without)
