@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import overlap, overlap_length
+from ..functions.spans import cut, overlap, overlap_length
 
-# The types that an evaluation counts, and the type that stands for another.
+# The types that an evaluation counts, and the type that counts as another.
 TYPES = ("PERSON", "PHONE_NUMBER", "EMAIL_ADDRESS", "INN", "SNILS", "PASSPORT", "DATE_OF_BIRTH", "CREDIT_CARD")
 ALIAS = {"DATE_TIME": "DATE_OF_BIRTH"}
 
@@ -30,9 +32,16 @@ def greedy_matches(gold: Column, predicted: Column, strict: bool = True) -> Colu
     return F.aggregate(indexed, F.array().cast("array<struct<g:int,p:int>>"), step)
 
 
+def aliased(spans: Column, names: dict[str, str] = ALIAS) -> Column:
+    """Spans whose type counts as another get that type."""
+    kind = lambda s: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), s["entity_type"]), s["entity_type"])
+    return F.transform(spans, lambda s: s.withField("entity_type", kind(s)))
+
+
 def match_counts(df: DataFrame, gold: str = "gold", predicted: str = "predicted", strict: bool = True) -> DataFrame:
-    """``entity_type, tp, fp, fn`` over rows with arrays of gold and predicted spans."""
-    rows = df.select(F.col(gold).alias("g"), F.col(predicted).alias("p"), greedy_matches(F.col(gold), F.col(predicted), strict).alias("m"))
+    """``entity_type, tp, fp, fn`` over rows with arrays of gold and predicted spans, predictions by the type that they count as."""
+    rows = df.select(F.col(gold).alias("g"), aliased(F.col(predicted)).alias("p"))
+    rows = rows.select("g", "p", greedy_matches(F.col("g"), F.col("p"), strict).alias("m"))
     hit = lambda side: lambda i: F.exists(F.col("m"), lambda m: m[side] == i)
     gold_rows = F.transform("g", lambda s, i: F.struct(s["entity_type"].alias("t"), F.when(hit("g")(i), "tp").otherwise("fn").alias("k")))
     spare = F.transform("p", lambda s, i: F.struct(s["entity_type"].alias("t"), F.when(hit("p")(i), "-").otherwise("fp").alias("k")))
@@ -99,3 +108,57 @@ def latency(timings: DataFrame, by: str = "cell", ms: str = "ms") -> DataFrame:
 def has_placeholder(text: Column) -> Column:
     """Over-masking test; numbered placeholders count too."""
     return F.regexp_like(text, F.lit(r"<[A-Z_]+(?:_\d+)?>"))
+
+
+def type_presence(rows: DataFrame, detected: Callable[[Column], Column], text: str = "text", entity_type: str = "entity_type") -> DataFrame:
+    """``entity_type, found, total, recall``: how many labelled rows have their type among what is detected in their text.
+
+    Each distinct text is analysed once; ``detected`` gives its spans.
+    """
+    types = rows.select(text).distinct().select(text, F.transform(detected(F.col(text)), lambda s: s["entity_type"]).alias("types"))
+    joined = rows.select(text, F.col(entity_type).alias("entity_type")).join(types, text)
+    hit = F.array_contains("types", F.col("entity_type")).cast("int")
+    return joined.groupBy("entity_type").agg(F.sum(hit).alias("found"), F.count("*").alias("total"), F.avg(hit).alias("recall"))
+
+
+def letter_case(name: Column) -> Column:
+    """``lower`` for a name in small letters throughout, else ``capital``."""
+    return F.when(name == F.lower(name), "lower").otherwise("capital")
+
+
+def name_format(name: Column) -> Column:
+    """``initials`` if a letter before a dot is in the name, else its number of words."""
+    words = F.size(F.filter(F.split(name, r"(?U)\s+"), lambda w: w != ""))
+    return F.when(F.regexp_like(name, F.lit(r"(?U)\b\w\.")), "initials").when(words == 1, "1 word").when(words == 2, "2 words").otherwise("3 words")
+
+
+def recall_by(df: DataFrame, bucket: Callable[[Column], Column], text: str = "text", gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """``bucket, tp, fn, recall`` of gold spans, matched by overlap, by what ``bucket`` says of their text."""
+    rows = df.select(F.col(text).alias("t"), F.col(gold).alias("g"), greedy_matches(F.col(gold), F.col(predicted), strict=False).alias("m"))
+    one = lambda s, i: F.struct(bucket(cut(F.col("t"), s)).alias("bucket"), F.exists(F.col("m"), lambda m: m["g"] == i).alias("hit"))
+    each = rows.select(F.explode(F.transform("g", one)).alias("x")).select("x.*")
+    sums = each.groupBy("bucket").agg(F.count(F.when(F.col("hit"), 1)).alias("tp"), F.count(F.when(~F.col("hit"), 1)).alias("fn"))
+    return sums.withColumn("recall", F.col("tp") / (F.col("tp") + F.col("fn")))
+
+
+def error_classes(df: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """``class, n``: gold spans found with their bounds (correct), with others (partial) or not (missing), and predictions that overlap none (spurious)."""
+    rows = df.select(F.col(gold).alias("g"), F.col(predicted).alias("p"), greedy_matches(F.col(gold), F.col(predicted), strict=False).alias("m"))
+
+    def judged(s: Column, i: Column) -> Column:
+        at = F.get(F.filter("m", lambda m: m["g"] == i), F.lit(0))["p"]
+        hit = F.get(F.col("p"), at)
+        return F.when(at.isNull(), "missing").when((hit["start"] == s["start"]) & (hit["end"] == s["end"]), "correct").otherwise("partial")
+
+    spare = F.transform(F.filter("p", lambda p: ~F.exists("g", lambda g: overlap(g, p))), lambda p: F.lit("spurious"))
+    each = rows.select(F.explode(F.concat(F.transform("g", judged), spare)).alias("class"))
+    return each.groupBy("class").agg(F.count("*").alias("n"))
+
+
+def pick_diverse(df: DataFrame, n: int, order: str, spans: str = "spans", kind: str = "type") -> DataFrame:
+    """At most ``n`` rows, first those whose set of types no earlier row has, each by ``order``."""
+    types = F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s[kind]))), ",")
+    marked = df.withColumn("_types", types)
+    first = marked.groupBy("_types").agg(F.min(order).alias("_first"))
+    ranked = marked.join(first, "_types").orderBy(F.col(order) != F.col("_first"), order).limit(n)
+    return ranked.drop("_types", "_first")

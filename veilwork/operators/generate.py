@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import INN10, INN12_FIRST, INN12_SECOND, SNILS, weighted
@@ -45,6 +45,124 @@ def make_card(number: Column) -> Column:
     return let(digits(number, 15), lambda d: F.concat(F.lit("4"), F.substring(d, 1, 3), *[x for i in range(4, 16, 4) for x in (F.lit(" "), F.substring(d, i, 4))]))
 
 
+# Names whose forms follow from their endings by one rule each.
+MALE = ("Иван", "Антон", "Роман", "Максим", "Степан", "Виктор", "Павлин", "Фёдор")
+FEMALE = ("Анна", "Елена", "Ирина", "Светлана", "Марина", "Тамара", "Дина", "Алина")
+FATHERS = ("Иванов", "Антонов", "Романов", "Максимов", "Степанов", "Викторов", "Петров", "Фёдоров")
+SURNAMES = ("Смирнов", "Орлов", "Белов", "Лебедев", "Ильин", "Фомин", "Зайцев", "Крылов", "Голубев", "Пушкин")
+CASES = ("nomn", "gent", "datv", "accs", "ablt", "loct")
+#: Endings by case: of male names and patronymics in a consonant, of male surnames, of female names in ``-а`` and of female surnames.
+ENDINGS = {
+    "male": ("", "а", "у", "а", "ом", "е"),
+    "father_m": ("ич", "ича", "ичу", "ича", "ичем", "иче"),
+    "surname_m": ("", "а", "у", "а", "ым", "е"),
+    "female": ("а", "ы", "е", "у", "ой", "е"),
+    "father_f": ("на", "ны", "не", "ну", "ной", "не"),
+    "surname_f": ("а", "ой", "ой", "у", "ой", "ой"),
+}
+FORMATS = ("fps", "sfp", "fs", "sf", "fp", "ips")
+
+
+def draw(number: Column, salt: int) -> Column:
+    """A number below a million that looks random, from a number and a salt."""
+    return F.pmod(F.pmod(number, F.lit(999_983)) * (7919 + 2 * salt) + 104_729 * salt, F.lit(999_979))
+
+
+def choose(values: tuple[str, ...], number: Column, salt: int) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.floor(draw(number, salt) / 7) % len(values) + 1).cast("int"))
+
+
+def person(number: Column) -> Column:
+    """``text, gender, case, format`` of a name: six cases, six orders of its parts, one in five in small letters."""
+    male = draw(number, 1) % 2 == 0
+    case = (F.floor(draw(number, 2) / 7) % len(CASES) + 1).cast("int")
+    end = lambda kind: F.element_at(F.array(*map(F.lit, ENDINGS[kind])), case)
+    first = F.when(male, F.concat(choose(MALE, number, 3), end("male"))).otherwise(F.concat(F.rtrim(choose(FEMALE, number, 3), F.lit("а")), end("female")))
+    father = F.concat(choose(FATHERS, number, 4), F.when(male, end("father_m")).otherwise(end("father_f")))
+    surname = F.concat(choose(SURNAMES, number, 5), F.when(male, end("surname_m")).otherwise(end("surname_f")))
+    form = choose(FORMATS, number, 6)
+    initials = F.concat(F.substring(first, 1, 1), F.lit("."), F.substring(father, 1, 1), F.lit("."))
+    orders = {"fps": (first, father, surname), "sfp": (surname, first, father), "fs": (first, surname), "sf": (surname, first), "fp": (first, father), "ips": (initials, surname)}
+    text = F.coalesce(*[F.when(form == k, F.concat_ws(" ", *v)) for k, v in orders.items()])
+    low = F.floor(draw(number, 7) / 7) % 5 == 0
+    return F.struct(F.when(low, F.lower(text)).otherwise(text).alias("text"), F.when(male, "masc").otherwise("femn").alias("gender"), F.element_at(F.array(*map(F.lit, CASES)), case).alias("case"), form.alias("format"))
+
+
+def make_email(number: Column) -> Column:
+    return F.concat(choose(("ivan", "anna", "sales", "info", "client"), number, 11), F.lit("."), (draw(number, 12) % 1000).cast("string"), F.lit("@"), choose(("mail.ru", "yandex.ru", "example.com", "test.org"), number, 13))
+
+
+def make_passport(number: Column) -> Column:
+    """Series and number in the form ``dd dd dddddd``."""
+    two = lambda salt: (draw(number, salt) % 90 + 10).cast("string")
+    return F.concat(two(21), F.lit(" "), two(22), F.lit(" "), (draw(number, 23) % 900_000 + 100_000).cast("string"))
+
+
+def make_birth(number: Column) -> Column:
+    """A date from 1955 to 2005, with dots or strokes."""
+    two = lambda salt, n: F.lpad((draw(number, salt) % n + 1).cast("string"), 2, "0")
+    sep = choose((".", "/"), number, 34)
+    return F.concat(two(31, 28), sep, two(32, 12), sep, (draw(number, 33) % 51 + 1955).cast("string"))
+
+
+# Sentences whose capitalised words are no names, and sentences with a name.
+TOWNS = ("Тверь", "Казань", "Самара", "Пермь", "Рязань", "Томск", "Калуга", "Псков")
+THINGS = ("Счёт", "Договор", "Пропуск", "Отчёт", "Чек", "Талон", "Акт", "Бланк")
+STREETS = ("Лесная", "Садовая", "Полевая", "Речная", "Заводская", "Луговая")
+FIRMS = ("Заря", "Маяк", "Восход", "Родник", "Спектр", "Импульс")
+NEGATIVES = {
+    "town": (TOWNS, ("Поезд в город {x} уже ушёл.", "Склад в городе {x} открыт до шести.", "Город {x} ждёт поставку.")),
+    "thing": (THINGS, ("{x} готов, его можно забрать.", "Пришлите {x} до пятницы.", "{x} ещё не подписан.")),
+    "street": (STREETS, ("Остановка «{x} улица» перенесена.", "Улица {x}, дом 4, вход со двора.", "Пункт на улице {x} закрыт.")),
+    "firm": (FIRMS, ("Фирма {x} прислала счёт.", "С ООО {x} заключён договор.", "Поставка от ООО {x} задержана.")),
+}
+WITH_TOWN = ("{p} пишет из города {x}.", "Заявку принёс {p}, город {x}.", "В городе {x} отвечает {p}.")
+CHATS = ("Добрый день, меня зовут {p}.", "Это {p}, где мой заказ?", "Передайте, что звонил {p}.", "{p} ждёт ответа.", "Возврат оформлен на {p}.")
+GLUE = ("спасибо", "привет", "алло")
+
+
+def _sentence(templates: tuple[str, ...], values: dict[str, Column], number: Column, salt: int) -> Column:
+    """One of the templates, filled, with the span of a person."""
+    filled = [fill(t, values, {"p": "PERSON"}) for t in templates]
+    return F.element_at(F.array(*filled), (F.floor(draw(number, salt) / 7) % len(templates) + 1).cast("int"))
+
+
+def negative(kind: str, number: Column) -> Column:
+    """A sentence of ``NEGATIVES`` without spans."""
+    words, templates = NEGATIVES[kind]
+    return _sentence(templates, {"x": choose(words, number, 41)}, number, 42)
+
+
+def negatives(spark: SparkSession, town: int = 80, thing: int = 80, street: int = 70, firm: int = 50, person_town: int = 70) -> DataFrame:
+    """``id, kind, text, spans``: sentences without names, and some with a name beside a town."""
+    frames, begin = [], 0
+    for kind, n in (("town", town), ("thing", thing), ("street", street), ("firm", firm), ("person_town", person_town)):
+        rows = spark.range(begin, begin + n)
+        number = F.col("id")
+        one = _sentence(WITH_TOWN, {"p": person(number)["text"], "x": choose(TOWNS, number, 41)}, number, 42) if kind == "person_town" else negative(kind, number)
+        frames.append(rows.select("id", F.lit(kind).alias("kind"), one.alias("s")).select("id", "kind", "s.text", "s.spans"))
+        begin += n
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def silver(number: Column) -> Column:
+    """An unlabelled sentence: 55 % with a name, of which 12 % stick to the word before, else one without."""
+    name = person(number)["text"]
+    stuck = F.concat(choose(GLUE, number, 51), F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)), F.lit(" на связи."))
+    chat = F.when(draw(number, 52) % 100 < 12, stuck).otherwise(_sentence(CHATS, {"p": name}, number, 53)["text"])
+    kind = draw(number, 54) % 100
+    other = F.when(kind < 30, negative("town", number)["text"]).when(kind < 55, negative("street", number)["text"]).when(kind < 78, negative("thing", number)["text"]).otherwise(negative("firm", number)["text"])
+    return F.when(draw(number, 55) % 100 < 55, chat).otherwise(other)
+
+
+def silver_corpus(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """``id, text``; ``write_corpus`` writes it a sentence a line."""
+    return spark.range(n).select("id", silver(F.col("id")).alias("text"))
+
+
 def fill(template: str, values: dict[str, Column], types: dict[str, str]) -> Column:
     """``text`` and exact ``spans (start, stop, type)`` of a template with ``{slots}``."""
     parts = re.split(r"(\{\w+\})", template)
