@@ -25,6 +25,44 @@ PARTS = re.compile(r"word/(document|header\d*|footer\d*)\.xml")
 PROPERTIES = ("creator", "lastModifiedBy", "title", "subject", "description", "keywords", "category", "contentStatus", "identifier", "version")
 
 
+#: Bytes that all parts of an archive may have when unpacked.
+MAX_UNPACKED = 200 * 1024 * 1024
+
+
+class TooLarge(ValueError):
+    """An archive that unpacks to more than is allowed."""
+
+
+def _opened(content: bytes) -> zipfile.ZipFile:
+    z = zipfile.ZipFile(io.BytesIO(content))
+    if sum(i.file_size for i in z.infolist()) > MAX_UNPACKED:
+        raise TooLarge("too large when unpacked")
+    return z
+
+
+def _read(z: zipfile.ZipFile, name: str) -> bytes:
+    """A part, of no more bytes than its entry tells."""
+    with z.open(name) as f:
+        data = f.read(z.getinfo(name).file_size + 1)
+    if len(data) > z.getinfo(name).file_size:
+        raise TooLarge("a part is larger than it tells")
+    return data
+
+
+def _written(root: ET.Element, source: bytes) -> bytes:
+    """XML with the namespace prefixes of ``source``, all declared at the root: some are named in attributes only."""
+    names = {}
+    for _, (prefix, uri) in ET.iterparse(io.BytesIO(source), events=["start-ns"]):
+        names.setdefault(prefix, uri)
+    for prefix, uri in names.items():
+        if not re.fullmatch(r"ns\d+", prefix):
+            ET.register_namespace(prefix, uri)
+    out = ET.tostring(root, encoding="unicode")
+    head = re.match(r"<[^\s/>]+", out)
+    missing = "".join(f' xmlns{":" * bool(p)}{p}="{u}"' for p, u in names.items() if f'xmlns{":" * bool(p)}{p}="' not in out[: out.index(">")] and p)
+    return ("<?xml version='1.0' encoding='UTF-8' standalone='yes'?>\n" + out[: head.end()] + missing + out[head.end() :]).encode()
+
+
 def _walk(node: ET.Element, at: tuple = (None, None, None)) -> Iterator[tuple[ET.Element, tuple]]:
     """Paragraphs in order, each with its innermost table, row and cell."""
     tables = 0
@@ -42,10 +80,10 @@ def _walk(node: ET.Element, at: tuple = (None, None, None)) -> Iterator[tuple[ET
 
 
 def _parts(content: bytes) -> Iterator[tuple[str, ET.Element]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with _opened(content) as z:
         for name in z.namelist():
             if PARTS.fullmatch(name):
-                yield name, ET.fromstring(z.read(name))
+                yield name, ET.fromstring(_read(z, name))
 
 
 def _runs(paragraph: ET.Element) -> list[ET.Element]:
@@ -63,7 +101,7 @@ def read_paragraphs(files: DataFrame) -> DataFrame:
                     for part, root in _parts(content):
                         for i, (p, (table, row, cell)) in enumerate(_walk(root)):
                             rows.append((path, part, i, table, row, cell, "".join(t.text or "" for t in _runs(p))))
-                except (zipfile.BadZipFile, ET.ParseError):
+                except (zipfile.BadZipFile, ET.ParseError, TooLarge):
                     continue
                 yield pd.DataFrame(rows, columns=["path", "part", "para", "tbl", "row", "cell", "text"])
 
@@ -91,7 +129,7 @@ def mask_paragraphs(paragraphs: DataFrame) -> DataFrame:
     rows = filled.groupBy(*place).agg(F.array_sort(F.collect_list(in_cell)).alias("cells"))
     rows = rows.withColumn("r", anonymize(F.array_join(F.transform("cells", lambda c: c["text"]), " ")))
     # of equal values, the last placeholder stands
-    last = lambda e: F.slice(F.reverse(F.map_entries(e)), 1, 1_000_000)
+    last = lambda e: F.reverse(F.map_entries(e))
     seen = lambda acc, e: F.when(F.exists(acc, lambda x: x["value"] == e["value"]), acc).otherwise(F.concat(acc, F.array(e)))
     values = let(F.col("r.mapping"), lambda m: F.aggregate(last(m), F.array().cast("array<struct<key:string,value:string>>"), seen))
     rows = rows.withColumn("values", values)
@@ -102,11 +140,11 @@ def mask_paragraphs(paragraphs: DataFrame) -> DataFrame:
 
 def _edited(content: bytes, edits: dict[tuple[str, int], str]) -> bytes:
     out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(content)) as src, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as dst:
+    with _opened(content) as src, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as dst:
         for name in src.namelist():
-            data = src.read(name)
+            data = _read(src, name)
             if PARTS.fullmatch(name):
-                root = ET.fromstring(data)
+                source, root = data, ET.fromstring(data)
                 for i, (p, _) in enumerate(list(_walk(root))):
                     runs, text = _runs(p), edits.get((name, i))
                     if runs and text is not None:
@@ -115,13 +153,13 @@ def _edited(content: bytes, edits: dict[tuple[str, int], str]) -> bytes:
                 for parent in root.iter():  # deleted text is still in the file
                     for child in [c for c in parent if c.tag == W + "del"]:
                         parent.remove(child)
-                data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+                data = _written(root, source)
             elif name == "docProps/core.xml":
                 root = ET.fromstring(data)
                 for e in root:
                     if e.tag.rpartition("}")[2] in PROPERTIES:
                         e.text = ""
-                data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+                data = _written(root, data)
             dst.writestr(name, data)
     return out.getvalue()
 
@@ -129,10 +167,11 @@ def _edited(content: bytes, edits: dict[tuple[str, int], str]) -> bytes:
 def write_back(files: DataFrame, masked: DataFrame) -> DataFrame:
     """``path, out_name, content`` of the masked documents, and what a reader should look at.
 
-    ``tracked_insertions`` and ``comments`` tell of text that stays in the file.
+    ``tracked_insertions`` and ``comments`` tell of text that stays in the file;
+    ``summary`` is JSON of counts and warnings, without any value.
     """
-    edits = masked.groupBy("path").agg(F.collect_list(F.struct("part", "para", "masked")).alias("edits"))
-    joined = files.select("path", "content").join(edits, "path", "left")
+    edits = masked.groupBy("path").agg(F.collect_list(F.struct("part", "para", "masked")).alias("edits"), F.sum("n").alias("entities"), F.count("*").alias("paragraphs"))
+    joined = files.select("path", "content").join(edits.drop("entities", "paragraphs"), "path", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -141,11 +180,14 @@ def write_back(files: DataFrame, masked: DataFrame) -> DataFrame:
                 todo = {(e["part"], e["para"]): e["masked"] for e in (own if own is not None else [])}
                 try:
                     done = _edited(content, todo)
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        inserted, noted = b"<w:ins " in z.read("word/document.xml"), "word/comments.xml" in z.namelist()
-                except (zipfile.BadZipFile, ET.ParseError, KeyError):
+                    with _opened(content) as z:
+                        inserted, noted = b"<w:ins " in _read(z, "word/document.xml"), "word/comments.xml" in z.namelist()
+                except (zipfile.BadZipFile, ET.ParseError, KeyError, TooLarge):
                     done, inserted, noted = None, None, None
                 rows.append((path, "anonymized_" + path.rpartition("/")[2], done, inserted, noted))
             yield pd.DataFrame(rows, columns=["path", "out_name", "content", "tracked_insertions", "comments"])
 
-    return joined.mapInPandas(run, "path string, out_name string, content binary, tracked_insertions boolean, comments boolean")
+    done = joined.mapInPandas(run, "path string, out_name string, content binary, tracked_insertions boolean, comments boolean")
+    counts = edits.select("path", "entities", "paragraphs")
+    summary = F.struct(F.coalesce("entities", F.lit(0)).alias("entities"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), "tracked_insertions", "comments")
+    return done.join(counts, "path", "left").withColumn("summary", F.when(F.col("content").isNotNull(), F.to_json(summary))).drop("entities", "paragraphs")

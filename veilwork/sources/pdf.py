@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import MAX_PAGES
+
 
 def word_offsets(words: DataFrame) -> DataFrame:
     """Add ``start, end``: where each word lies in its page's text, words joined by one space."""
@@ -17,6 +19,12 @@ def word_offsets(words: DataFrame) -> DataFrame:
     return words.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
 
+def within_limit(words: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """``doc, pages, rejected``: the reason for each document that has too many pages."""
+    pages = words.groupBy("doc").agg((F.max("page") - F.min("page") + 1).alias("pages"))
+    return pages.withColumn("rejected", F.when(F.col("pages") > max_pages, "too many pages"))
+
+
 def page_texts(words: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
     return words.groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))

@@ -36,15 +36,34 @@ def check_text(text: Column) -> Column:
     return F.when(text.isNull() | (F.length(text) < 1), "empty").when(F.length(text) > MAX_TEXT, "too long")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """``path, kind, length, content, rejected``: office documents, with the reason for each that is not taken."""
     files = spark.read.format("binaryFile").load(path)
     name = F.lower("path")
     kind = F.when(name.endswith(".docx"), "docx").when(name.endswith(".pdf"), "pdf")
-    why = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_FILE_BYTES, "too large").when(F.col("kind").isNull(), "unsupported format")
+    why = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when(F.col("kind").isNull(), "unsupported format")
     return files.select("path", kind.alias("kind"), "length", "content").withColumn("rejected", why)
 
 
+def union_weighted(*parts: tuple[DataFrame, float]) -> DataFrame:
+    """Datasets of equal columns in one, each row with the ``weight`` of its dataset."""
+    weighed = [df.drop("weight").withColumn("weight", F.lit(float(w))) for df, w in parts]
+    out = weighed[0]
+    for df in weighed[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that has fewer partitions than the cluster has cores, as one file of one row group has.
+
+    Worth its shuffle before costly expressions on a small table; large tables
+    have more partitions and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -60,5 +79,6 @@ def write_corpus(df: DataFrame, path: str, text: str = "text") -> None:
 
 def audit(results: DataFrame, result: str = "result") -> DataFrame:
     """Counts and types only, never values: ``entity_type, n_entities, n_texts``."""
-    each = results.select(F.monotonically_increasing_id().alias("row"), F.explode(f"{result}.entities_found").alias("e"))
+    numbered = results.select(F.monotonically_increasing_id().alias("row"), F.col(f"{result}.entities_found").alias("found"))
+    each = numbered.select("row", F.explode("found").alias("e"))
     return each.groupBy("e.entity_type").agg(F.count("*").alias("n_entities"), F.countDistinct("row").alias("n_texts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,6 +63,19 @@ def mask_events(events: DataFrame, body: str = "value") -> DataFrame:
     )
 
 
+def respond(events: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, secret: str | None = None, once: bool = True) -> StreamingQuery:
+    """Gate and mask a stream and give each batch of responses to ``handle``.
+
+    A batch that is tried again after a failure is passed on again, unless
+    ``once``: then an event's ``message_id`` is answered once within the last
+    hour by the column ``received``, if the stream has one.
+    """
+    masked = mask_events(signed(events, secret))
+    if once and "received" in masked.columns:
+        masked = masked.withWatermark("received", "1 hour").dropDuplicatesWithinWatermark(["message_id"])
+    return masked.writeStream.foreachBatch(lambda batch, _: handle(batch)).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
 def stream(events: DataFrame, path: str, checkpoint: str, secret: str | None = None) -> StreamingQuery:
     """Gate, mask and append a stream of events as Parquet."""
     return mask_events(signed(events, secret)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
