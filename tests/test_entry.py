@@ -34,7 +34,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [k for k in core.FOUND if k not in ("conversation_join", "batch_totals", "webhook_mask")])
+@pytest.mark.parametrize("name", [k for k in core.FOUND if k != "batch_totals"])
 def test_query(spark, name):
     if core.FOUND[name].sql:
         same_as_sql(spark, core.FOUND[name].run, core.FOUND[name].sql)

@@ -6,6 +6,7 @@ expressions that Spark and DuckDB share.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from ..operators.jsonmask import mask_json
 from ..operators.person import PersonRules
 from ..operators.recognizers import RECOGNIZERS, Recognizer, registry
 from ..sources import pdf
+from ..sources.tables import spread, union_weighted
 from ..streaming import webhook
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +59,8 @@ def values(text: Column, *names: str) -> Column:
 
 # --- Detection over real texts --------------------------------------------------
 
-EMAIL_RX = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
-CARD_RX = r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b"
-IP_RX = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
+EMAIL_RX, IP_RX, DATE_RX, URL_RX = (BY_NAME[n].patterns[0][0] for n in ("email", "ip", "date", "url"))
+CARD_RX = BY_NAME["card"].patterns[1][0]  # it finds all that the other one finds
 
 
 def _found_sql(rx: str) -> str:
@@ -70,7 +71,7 @@ def _found_sql(rx: str) -> str:
 
 def _found(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spans = BY_NAME[name].spans(F.col("text"), 0)
-    one = table(spark, sf_dir, "documents").select("doc_id", "text", spans.alias("s"))
+    one = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", spans.alias("s"))
     return one.select("doc_id", F.size("s").alias("n"), F.array_join(F.transform("s", lambda s: cut(F.col("text"), s)), "|").alias("found"))
 
 
@@ -86,8 +87,8 @@ def find_ip(spark, sf_dir):
 
 @query(_found_sql(CARD_RX))
 def find_card(spark, sf_dir):
-    spans = find_all(F.col("text"), "(?iUsm)" + CARD_RX)
-    one = table(spark, sf_dir, "documents").select("doc_id", "text", spans.alias("s"))
+    kept = mask.resolve(BY_NAME["card"].spans(F.col("text"), 0))
+    one = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("s"))
     return one.select("doc_id", F.size("s").alias("n"), F.array_join(F.transform("s", lambda s: cut(F.col("text"), s)), "|").alias("found"))
 
 
@@ -105,7 +106,8 @@ def find_email_offsets(spark, sf_dir):
 @query(None)
 def mask_documents(spark, sf_dir):
     """The flagship: every document masked, with its entities and mapping."""
-    r = table(spark, sf_dir, "documents").select("doc_id", mask.anonymize(F.col("text")).alias("r"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = docs.select("doc_id", mask.anonymize(F.col("text")).alias("r"))
     return r.select("doc_id", "r.anonymized", F.to_json("r.entities_found").alias("entities_found"), F.to_json("r.mapping").alias("mapping"))
 
 
@@ -143,6 +145,17 @@ _by_key("address_spans", "concat('Живу: г. Москва, ул. Ленина
 _by_key("spoken_email", "concat('Пишите: user', CAST(c_custkey AS STRING), ' собака mail точка ru.')", "concat('user', CAST(c_custkey AS STRING), ' собака mail точка ru')", "email_spoken")
 _by_key("passport_by_word", f"concat('Документ ', substr(lpad({N}, 12, '7'), 1, 4), ' номер ', substr(lpad({N}, 12, '7'), 5, 6), '.')", f"concat(substr(lpad({N}, 12, '7'), 1, 4), ' номер ', substr(lpad({N}, 12, '7'), 5, 6))", "passport")
 
+_by_key("find_birth", f"concat('Родился ', {BORN}, ' в Твери; счёт от 3.4.2020.')", BORN, "birth")
+_by_key("passport_series_first", "concat('Вот: серия 45', ' ', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), ' номер 123 ', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '.')", "concat('серия 45', ' ', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), ' номер 123 ', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'))", "passport_anchored")
+_by_key("passport_number_first", "concat('Вот: номер 123', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), ', серия 45 ', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), '.')", "concat('номер 123', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), ', серия 45 ', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'))", "passport_anchored")
+STREETS = "CASE c_custkey % 4 WHEN 0 THEN 'улице Садовой' WHEN 1 THEN 'проспекте Мира' WHEN 2 THEN 'переулке Тихом' ELSE 'набережной Реки' END"
+_by_key("address_inflected", f"concat('Адрес: ', {STREETS}, ', дом ', CAST(c_custkey % 90 AS STRING), ', квартира ', CAST(c_custkey % 400 AS STRING), '.')", f"concat({STREETS}, ', дом ', CAST(c_custkey % 90 AS STRING), ', квартира ', CAST(c_custkey % 400 AS STRING))", "address")
+_by_key("find_dates", f"concat('С ', {BORN}, ' по 2024-01-', lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0'), ', не 1.2.345')", f"concat({BORN}, '|2024-01-', lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0'))", "date")
+_by_key("find_urls", "concat('См. https://site', CAST(c_custkey AS STRING), '.ru/a?b=1 и http://x.org, не ftp://y')", "concat('https://site', CAST(c_custkey AS STRING), '.ru/a?b=1|http://x.org,')", "url")
+_by_key("find_iban", "concat('Счёт DE89 3704 0044 0532 0130 ', CASE WHEN c_custkey % 2 = 0 THEN '00' ELSE '01' END, ' открыт')", "CASE WHEN c_custkey % 2 = 0 THEN 'DE89 3704 0044 0532 0130 00' ELSE '' END", "iban")
+_by_key("find_wallets", "concat('Кошельки 1A1zP1eP5QGefi2DMPTfTL5SLmv7Divf', CASE WHEN c_custkey % 3 = 0 THEN 'Na' ELSE 'Nb' END, ', bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t', CASE WHEN c_custkey % 2 = 0 THEN '4' ELSE '5' END)", "concat(CASE WHEN c_custkey % 3 = 0 THEN '1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa' ELSE '' END, CASE WHEN c_custkey % 6 = 0 THEN '|' ELSE '' END, CASE WHEN c_custkey % 2 = 0 THEN 'bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4' ELSE '' END)", "wallet", "segwit")
+_by_key("find_ipv6", "concat('Узел 2001:db8::', lower(lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')), ' и fe80:0:0:0:1:2:3:', CAST(c_custkey % 10 AS STRING), ' в 12:30:45')", "concat('2001:db8::', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), '|fe80:0:0:0:1:2:3:', CAST(c_custkey % 10 AS STRING))", "ipv6")
+
 D9 = "lpad(CAST(o_orderkey * 7919 % 1000000000 AS STRING), 9, '0')"
 
 
@@ -169,6 +182,25 @@ def snils_checksum(spark, sf_dir):
     return o.select("o_orderkey", checks.snils_valid(number).alias("valid"), generate.make_snils(F.col("o_orderkey") * 7919).alias("made"))
 
 
+def _numbers(spark, sf_dir, number: str, *names: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(f"concat('Код ', {number}, '.')").alias("t"))
+    return o.select("o_orderkey", values(F.col("t"), *names).alias("found"))
+
+
+INN_TEXT = f"concat({D9}, CAST(o_orderkey % 10 AS STRING))"
+SNILS_TEXT = f"concat(substr({D9}, 1, 3), '-', substr({D9}, 4, 3), '-', substr({D9}, 7, 3), ' ', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'))"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {INN_CONTROL} = o_orderkey % 10 THEN {INN_TEXT} ELSE '' END AS found FROM orders")
+def find_inn(spark, sf_dir):
+    return _numbers(spark, sf_dir, INN_TEXT, "inn")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {SNILS_CONTROL} = o_orderkey % 100 THEN {SNILS_TEXT} ELSE '' END AS found FROM orders")
+def find_snils(spark, sf_dir):
+    return _numbers(spark, sf_dir, SNILS_TEXT, "snils")
+
+
 @query("SELECT p_partkey, length(regexp_replace(concat(p_name, ' ', CAST(p_partkey AS STRING), '-', CAST(p_size AS STRING)), '[^0-9]', '', 'g')) AS n FROM part")
 def digit_count_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", checks.digit_count(F.expr("concat(p_name, ' ', CAST(p_partkey AS STRING), '-', CAST(p_size AS STRING))")).cast("long").alias("n"))
@@ -234,6 +266,21 @@ def deanonymize_roundtrip(spark, sf_dir):
     return _masked(spark, sf_dir).select("c_custkey", mask.deanonymize(F.col("r.anonymized"), F.col("r.mapping")).alias("d")).select("c_custkey", "d.text", "d.replaced")
 
 
+@query("SELECT c_custkey, 'Тел. <PHONE>, почта <MAIL>, карта <CREDIT_CARD>.' AS anonymized FROM customer")
+def placeholder_map(spark, sf_dir):
+    """Another placeholder for a type, as a parameter."""
+    c = _customers(spark, sf_dir, t=CONTACT)
+    return c.select("c_custkey", mask.anonymize(F.col("t"), recognizers=only("phone", "email", "card"), operators={"EMAIL_ADDRESS": "<MAIL>"})["anonymized"].alias("anonymized"))
+
+
+@query("SELECT c_custkey, 'Меня зовут <PERSON>, живу в Твери.' AS anonymized, 1 AS n FROM customer")
+def names_by_default(spark, sf_dir):
+    """Nothing is chosen: names must not leak for want of a model."""
+    name = "CASE c_custkey % 3 WHEN 0 THEN 'Иванова Мария Петровна' WHEN 1 THEN 'Сергей Кузнецов' ELSE 'Олег Ильич' END"
+    c = _customers(spark, sf_dir, t=f"concat('Меня зовут ', {name}, ', живу в Твери.')").select("c_custkey", mask.anonymize(F.col("t")).alias("r"))
+    return c.select("c_custkey", "r.anonymized", F.size("r.entities_found").alias("n"))
+
+
 @query(f"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat('Тел. ', {PHONE}, ', почта <EMAIL>, карта <CREDIT_CARD>.')
              WHEN 1 THEN concat('Тел. <PHONE>, почта ', {MAIL}, ', карта <CREDIT_CARD>.') ELSE 'Тел. <PHONE>, почта <EMAIL>, карта <CREDIT_CARD>.' END AS anonymized,
              CASE c_custkey % 3 WHEN 2 THEN 'NOTHING' ELSE '' END AS ignored FROM customer""")
@@ -276,21 +323,20 @@ def _chat(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query("""
   SELECT o_orderkey AS id, '<EMAIL>' AS email, '<PHONE>' AS phone, coalesce(n, 0) AS n_messages, CAST(coalesce(e, 0) + 2 AS BIGINT) AS total_entities_found
   FROM orders JOIN customer ON o_custkey = c_custkey
-  LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS e FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey
-  WHERE o_orderkey % 10 = 0""")
+  LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS e FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")
 def conversation_join(spark, sf_dir):
     orders, contacts, lines = _chat(spark, sf_dir)
-    ids = orders.filter("id % 10 = 0").select("id").union(spark.range(-3, 0).toDF("id"))
+    ids = orders.select("id").union(spark.range(-3, 0).toDF("id"))
     r = conversation.assemble(orders, contacts, lines, ids)
     return r.select("id", "contact.email", "contact.phone", F.size("messages").cast("long").alias("n_messages"), "total_entities_found")
 
 
 @query("""
   SELECT count(*) * 2 AS total, count(*) AS processed, CAST(sum(2 + coalesce(e, 0)) AS BIGINT) AS total_entities FROM orders
-  LEFT JOIN (SELECT l_orderkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS e FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0""")
+  LEFT JOIN (SELECT l_orderkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS e FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")
 def batch_totals(spark, sf_dir):
     orders, contacts, lines = _chat(spark, sf_dir)
-    ids = orders.filter("id % 10 = 0").select("id")
+    ids = orders.select("id")
     ids = ids.union(ids)
     return conversation.batch_totals(ids, conversation.assemble(orders, contacts, lines, ids))
 
@@ -335,6 +381,97 @@ def template_fill(spark, sf_dir):
     return r.select("c_custkey", "f.text", s[0]["start"].alias("b1"), s[0]["stop"].alias("e1"), s[1]["start"].alias("b2"), s[1]["stop"].alias("e2"))
 
 
+def _draw_sql(salt: int, n: str) -> str:
+    return f"((({n}) % 999983 * {7919 + 2 * salt} + {104_729 * salt}) % 999979)"
+
+
+def _choose_sql(values: tuple[str, ...], salt: int, n: str) -> str:
+    return "([" + ", ".join(f"'{v}'" for v in values) + f"])[{_draw_sql(salt, n)} // 7 % {len(values)} + 1]"
+
+
+def _template_sql(templates: tuple[str, ...], filled: dict[str, str], salt: int, n: str) -> str:
+    """One of the templates with its slots filled."""
+    cases = []
+    for i, t in enumerate(templates):
+        parts = [filled[x[1:-1]] if x[0] == "{" else "'" + x + "'" for x in re.split(r"(\{\w\})", t) if x]
+        cases.append(f"WHEN {i} THEN concat({', '.join(parts)})")
+    return f"CASE {_draw_sql(salt, n)} // 7 % {len(templates)} {' '.join(cases)} END"
+
+
+def _person_sql(n: str) -> str:
+    """``p``: names by the rules of their endings, written out by case."""
+    forms = lambda kind: "([" + ", ".join(f"'{e}'" for e in generate.ENDINGS[kind]) + f"])[{_draw_sql(2, n)} // 7 % 6 + 1]"
+    male = f"{_draw_sql(1, n)} % 2 = 0"
+    women = tuple(x[:-1] for x in generate.FEMALE)
+    first = f"CASE WHEN {male} THEN concat({_choose_sql(generate.MALE, 3, n)}, {forms('male')}) ELSE concat({_choose_sql(women, 3, n)}, {forms('female')}) END"
+    father = f"concat({_choose_sql(generate.FATHERS, 4, n)}, CASE WHEN {male} THEN {forms('father_m')} ELSE {forms('father_f')} END)"
+    surname = f"concat({_choose_sql(generate.SURNAMES, 5, n)}, CASE WHEN {male} THEN {forms('surname_m')} ELSE {forms('surname_f')} END)"
+    return f"""(SELECT k, CASE WHEN low THEN lower(t) ELSE t END AS p, form FROM (
+        SELECT k, low, form, CASE form WHEN 'fps' THEN concat(f, ' ', p, ' ', s) WHEN 'sfp' THEN concat(s, ' ', f, ' ', p) WHEN 'fs' THEN concat(f, ' ', s) WHEN 'sf' THEN concat(s, ' ', f)
+          WHEN 'fp' THEN concat(f, ' ', p) ELSE concat(substr(f, 1, 1), '.', substr(p, 1, 1), '. ', s) END AS t
+        FROM (SELECT {n} AS k, {first} AS f, {father} AS p, {surname} AS s, {_choose_sql(generate.FORMATS, 6, n)} AS form, {_draw_sql(7, n)} // 7 % 5 = 0 AS low FROM keys) a) b)"""
+
+
+CUSTOMERS = "WITH keys AS (SELECT c_custkey FROM customer)"
+
+
+@query(f"{CUSTOMERS} SELECT k AS c_custkey, p AS name, form FROM {_person_sql('c_custkey')} x")
+def person_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", generate.person(F.col("c_custkey")).alias("p")).select("c_custkey", F.col("p.text").alias("name"), F.col("p.format").alias("form"))
+
+
+@query(f"""SELECT c_custkey, concat({_choose_sql(("ivan", "anna", "sales", "info", "client"), 11, "c_custkey")}, '.', CAST({_draw_sql(12, "c_custkey")} % 1000 AS VARCHAR), '@', {_choose_sql(("mail.ru", "yandex.ru", "example.com", "test.org"), 13, "c_custkey")}) AS email,
+  concat(CAST({_draw_sql(21, "c_custkey")} % 90 + 10 AS VARCHAR), ' ', CAST({_draw_sql(22, "c_custkey")} % 90 + 10 AS VARCHAR), ' ', CAST({_draw_sql(23, "c_custkey")} % 900000 + 100000 AS VARCHAR)) AS passport,
+  concat(lpad(CAST({_draw_sql(31, "c_custkey")} % 28 + 1 AS VARCHAR), 2, '0'), sep, lpad(CAST({_draw_sql(32, "c_custkey")} % 12 + 1 AS VARCHAR), 2, '0'), sep, CAST({_draw_sql(33, "c_custkey")} % 51 + 1955 AS VARCHAR)) AS birth
+  FROM (SELECT c_custkey, {_choose_sql((".", "/"), 34, "c_custkey")} AS sep FROM customer) c""")
+def generated_values(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", generate.make_email(k).alias("email"), generate.make_passport(k).alias("passport"), generate.make_birth(k).alias("birth"))
+
+
+def _negative_sql(kind: str, n: str) -> str:
+    words, templates = generate.NEGATIVES[kind]
+    return _template_sql(templates, {"x": _choose_sql(words, 41, n)}, 42, n)
+
+
+_SIZES = {"town": 80, "thing": 80, "street": 70, "firm": 50}
+
+
+def _negatives_sql() -> str:
+    out, at = [], 0
+    for kind, n in _SIZES.items():
+        out.append(f"SELECT i AS id, '{kind}' AS kind, {_negative_sql(kind, 'i')} AS text, '' AS name FROM range({at}, {at + n}) r(i)")
+        at += n
+    town = _template_sql(generate.WITH_TOWN, {"p": "p", "x": _choose_sql(generate.TOWNS, 41, "k")}, 42, "k")
+    out.append(f"SELECT k AS id, 'person_town' AS kind, {town} AS text, p AS name FROM {_person_sql('i')} x")
+    return f"WITH keys AS (SELECT i FROM range({at}, {at + 70}) r(i)) " + " UNION ALL ".join(out)
+
+
+@query(_negatives_sql())
+def negative_texts(spark, sf_dir):
+    s = F.col("spans")
+    name = F.when(F.size(s) > 0, F.substring(F.col("text"), F.get(s, F.lit(0))["start"] + 1, F.get(s, F.lit(0))["stop"] - F.get(s, F.lit(0))["start"])).otherwise("")
+    return generate.negatives(spark).select("id", "kind", "text", name.alias("name"))
+
+
+def _silver_sql(n: str) -> str:
+    other = f"CASE WHEN {_draw_sql(54, n)} % 100 < 30 THEN {_negative_sql('town', n)} WHEN {_draw_sql(54, n)} % 100 < 55 THEN {_negative_sql('street', n)} WHEN {_draw_sql(54, n)} % 100 < 78 THEN {_negative_sql('thing', n)} ELSE {_negative_sql('firm', n)} END"
+    stuck = f"concat({_choose_sql(generate.GLUE, 51, n)}, upper(substr(p, 1, 1)), substr(p, 2), ' на связи.')"
+    chat = f"CASE WHEN {_draw_sql(52, n)} % 100 < 12 THEN {stuck} ELSE {_template_sql(generate.CHATS, {'p': 'p'}, 53, n)} END"
+    return f"CASE WHEN {_draw_sql(55, n)} % 100 < 55 THEN {chat} ELSE {other} END"
+
+
+@query(f"WITH keys AS (SELECT o_orderkey FROM orders) SELECT k AS o_orderkey, {_silver_sql('k')} AS text FROM {_person_sql('o_orderkey')} x")
+def silver_texts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", generate.silver(F.col("o_orderkey")).alias("text"))
+
+
+@query("SELECT weight, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM (SELECT c_custkey AS k, 1.0 AS weight FROM customer UNION ALL SELECT s_suppkey, 0.5 FROM supplier UNION ALL SELECT p_partkey, 3.0 FROM part) t GROUP BY weight")
+def weighted_union(spark, sf_dir):
+    parts = [(table(spark, sf_dir, t).select(F.col(c).cast("long").alias("k")), w) for t, c, w in (("customer", "c_custkey", 1.0), ("supplier", "s_suppkey", 0.5), ("part", "p_partkey", 3.0))]
+    return union_weighted(*parts).groupBy("weight").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+
+
 @query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (ORDER BY c_custkey) <= floor(round(count(*) OVER () * 0.7, 6)) THEN 'train' WHEN row_number() OVER (ORDER BY c_custkey) <= floor(round(count(*) OVER () * 0.85, 6)) THEN 'dev' ELSE 'test' END AS split FROM customer) t GROUP BY split")
 def dataset_split(spark, sf_dir):
     s = generate.split_exact(table(spark, sf_dir, "customer"), {"train": 0.7, "dev": 0.15, "test": 0.15}, "c_custkey")
@@ -427,6 +564,63 @@ def overmask_rate(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(evaluate.has_placeholder(text).cast("double")), 6).alias("overmask"))
 
 
+@query("""SELECT kind AS entity_type, CAST(sum(CASE WHEN kind = 'INN' OR kind = 'PHONE_NUMBER' AND c_custkey % 4 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS found, count(*) AS total,
+  round(avg(CASE WHEN kind = 'INN' OR kind = 'PHONE_NUMBER' AND c_custkey % 4 = 0 THEN 0.0 ELSE 1.0 END), 6) AS recall FROM customer, (VALUES ('PHONE_NUMBER'), ('EMAIL_ADDRESS'), ('CREDIT_CARD'), ('INN')) v(kind) GROUP BY kind""")
+def type_presence(spark, sf_dir):
+    """Each text is labelled with four types, of which one is never in it and one not in every fourth."""
+    rows = _customers(spark, sf_dir, text=f"CASE WHEN c_custkey % 4 = 0 THEN concat('почта ', {MAIL}, ', карта ', {CARD}, ' у №', CAST(c_custkey AS STRING)) ELSE concat({CONTACT}, CAST(c_custkey AS STRING)) END")
+    kinds = F.explode(F.array(*map(F.lit, ("PHONE_NUMBER", "EMAIL_ADDRESS", "CREDIT_CARD", "INN"))))
+    r = evaluate.type_presence(rows.withColumn("entity_type", kinds), lambda t: mask.anonymize(t, recognizers=only("phone", "email", "card", "inn_anchored"))["entities_found"])
+    return r.withColumn("recall", F.round("recall", 6))
+
+
+def _recall_sql(bucket: str) -> str:
+    return f"{CUSTOMERS} SELECT bucket, CAST(sum(hit) AS BIGINT) AS tp, CAST(sum(1 - hit) AS BIGINT) AS fn, round(avg(hit), 6) AS recall FROM (SELECT {bucket} AS bucket, CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END AS hit FROM {_person_sql('c_custkey')} x) y GROUP BY bucket"
+
+
+def _recall(spark, sf_dir, bucket) -> DataFrame:
+    """Names found but for every fourth, with bounds that are one character off."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", generate.person(F.col("c_custkey"))["text"].alias("text"))
+    span = lambda begin: F.struct(F.lit(begin).alias("start"), F.length("text").alias("end"), F.lit("PERSON").alias("entity_type"))
+    empty = F.array().cast("array<struct<start:int,end:int,entity_type:string>>")
+    c = c.withColumn("gold", F.array(span(0))).withColumn("predicted", F.when(F.col("c_custkey") % 4 != 0, F.array(span(1))).otherwise(empty))
+    return evaluate.recall_by(c, bucket).withColumn("recall", F.round("recall", 6))
+
+
+@query(_recall_sql("CASE WHEN p = lower(p) THEN 'lower' ELSE 'capital' END"))
+def recall_by_letter_case(spark, sf_dir):
+    return _recall(spark, sf_dir, evaluate.letter_case)
+
+
+@query(_recall_sql("CASE form WHEN 'ips' THEN 'initials' WHEN 'fps' THEN '3 words' WHEN 'sfp' THEN '3 words' ELSE '2 words' END"))
+def recall_by_name_format(spark, sf_dir):
+    return _recall(spark, sf_dir, evaluate.name_format)
+
+
+@query(f"""SELECT class, count(*) AS n FROM (
+    SELECT CASE WHEN missed OR t <> u THEN 'missing' WHEN d = 0 THEN 'correct' ELSE 'partial' END AS class FROM {MATCH} UNION ALL SELECT 'spurious' FROM {MATCH} WHERE extra) c GROUP BY class""")
+def error_classes(spark, sf_dir):
+    return evaluate.error_classes(_arrays(*_spans(spark, sf_dir)))
+
+
+@query(f"""
+  WITH t AS (SELECT doc_id, string_agg(DISTINCT t, ',' ORDER BY t) AS types FROM {MATCH} WHERE doc_id >= 0 GROUP BY doc_id),
+  f AS (SELECT doc_id, types, doc_id <> min(doc_id) OVER (PARTITION BY types) AS later FROM t)
+  SELECT doc_id, types FROM f ORDER BY later, doc_id LIMIT 6""")
+def diverse_examples(spark, sf_dir):
+    """A report of six documents, of different types first."""
+    gold = _spans(spark, sf_dir)[0].groupBy("doc_id").agg(F.collect_list(F.struct(F.col("entity_type").alias("type"))).alias("spans"))
+    types = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["type"]))), ",")
+    return evaluate.pick_diverse(gold, 6, "doc_id").select("doc_id", types.alias("types"))
+
+
+@query(f"SELECT c_custkey, c_custkey % 3 <> 0 AS leaked FROM customer")
+def name_parts_leak(spark, sf_dir):
+    shown = "CASE c_custkey % 3 WHEN 0 THEN '<PERSON> из И. ждёт' WHEN 1 THEN 'ждёт Петрова' ELSE 'Анна звонила' END"
+    c = _customers(spark, sf_dir, a=shown)
+    return c.select("c_custkey", evaluate.name_leaked(F.lit("Петрова Анна И."), F.col("a")).alias("leaked"))
+
+
 @query(f"SELECT t AS entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM {MATCH} GROUP BY t")
 def type_distribution(spark, sf_dir):
     return _spans(spark, sf_dir)[0].groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
