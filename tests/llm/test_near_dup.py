@@ -7,7 +7,8 @@ import pytest
 
 from veilwork.llm import near_dup
 from veilwork.llm.components import components
-from veilwork.llm.near_dup import near_duplicates
+from veilwork.llm.near_dup import deduplicated, near_duplicates
+from veilwork.llm.shared import saved
 
 
 def brute(rows, percent, size):
@@ -76,11 +77,56 @@ def test_near_copies_of_each_text_of_an_id(spark):
     rows = [(7, one), (7, two), (7, one), (9, one + " z"), (11, two + " z"), (12, "q q q q q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, 80, 5).collect()} == {7: 7, 9: 7, 11: 7, 12: 12}
-    texts = spark.createDataFrame([(1, "a b c d e f"), (1, " "), (2, "q r s t u v"), (2, "")], "id long, text string")
-    assert near_dup.confirmed(spark.createDataFrame([(1, 2)], "a long, b long"), texts, 5, 80).isEmpty()  # blank texts are not alike
+    assert not near_dup.similar(np.empty(0, np.uint64), np.empty(0, np.uint64), 80)  # blank texts are not alike
     assert sorted(map(tuple, near_dedup(spark, docs, "").collect())) == [(7, one), (7, two), (12, "q q q q q")]
 
 
+def test_links_of_many_ids_with_two_texts(spark):
+    word = lambda x, i, k: f"{x}{i}w{k}"
+    text = lambda x, i: " ".join(word(x, i, k) for k in range(60))
+    rows = [(i, text(x, i)) for i in range(80) for x in "ab"] + [(1000 + i, text("ab"[i % 2], i) + " z") for i in range(80)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 80, 4).collect()}
+    assert got == {i: i for i in range(80)} | {1000 + i: i for i in range(80)}
+
+
+def test_blank_rows_of_an_id_go_with_its_texts(spark):
+    rows = [(1, "a b c d e"), (7, "a b c d e"), (7, " "), (7, None), (9, None)]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 4).collect())
+    assert got == [(1, 1, 2), (7, 1, 0), (7, 1, 0), (7, 1, 2), (9, 9, 0)]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000 + "y")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_one_of_each_group_stays(spark):
+    one, two = [" ".join(f"{x}{i}" for i in range(100)) for x in "xy"]
+    rows = [(5, one, "a"), (5, one, "a"), (None, one, "a"), (9, one + " z", "b"), (None, two, "c"), (None, two + " z", "c"), (None, None, "d"), (3, "", "e"), (3, "", "e"), (5, "other words are in this one", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, same string").repartition(3)
+    got = deduplicated(df, 80, 5).collect()
+    two_left = [r for r in got if r.same == "c"]
+    assert len(two_left) == 1 and two_left[0].text in (two, two + " z")
+    assert sorted((str(r.doc_id), r.text or "", r.same) for r in got if r.same != "c") == [("3", "", "e"), ("3", "", "e"), ("5", "other words are in this one", "f"), ("5", one, "a"), ("None", "", "d")]
+    assert deduplicated(df.limit(0), 80, 5).count() == 0
+
+
+def test_confirmation_runs_once(spark, monkeypatch):
+    from veilwork.llm import components as graph
+
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(df)
+
+    monkeypatch.setattr(graph, "saved", spy)
+    near_duplicates(spark.createDataFrame(corpus(), "doc_id long, text string"), 80, 4).count()
+    assert max(p.count("MapInArrow") for p in plans) == 1
+
+
 def test_long_chain(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in components(edges).collect()} == {0}

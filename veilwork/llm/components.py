@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     Ids without links do not appear.  Every node keeps one row a round, so no
     task holds a component; rounds grow with the logarithm of the longest path.
     """
-    now = saved(_small_star(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct()).distinct())
+    given = saved(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())  # the steps below read their input several times
+    now = saved(_small_star(given).distinct())
     while not _is_forest(now):
-        now = saved(_small_star(_large_star(now).distinct()).distinct())
+        now = saved(_small_star(_large_star(now)).distinct())
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -3,13 +3,16 @@
 One hash of every shingle fills all bins: its upper bits choose the bin, the
 least value of a bin is kept, and empty bins borrow from others by the optimal
 densification.  Bands of bins make buckets; each bucket proposes a star, its
-least document against each other, so candidates grow with the bucket and not
-its square.  Candidates are confirmed on full shingle sets.  A bucket whose
-documents do not all end in one component is searched whole, so that every pair
-that shares a band is tried or connected: a sketch gives a bound on the
-similarity of each pair of different components, and those that it does not
-exclude are confirmed.  A document gives a bounded number of pairs a round,
-those of the best bounds; a bucket is done once no document in it had more.
+least text against each other, so candidates grow with the bucket and not its
+square.  Candidates are confirmed on full shingle sets.  A bucket whose texts
+do not all end in one component is searched whole, so that every pair that
+shares a band is tried or connected: a sketch gives a bound on the similarity
+of each pair of different components, and those that it does not exclude are
+confirmed.  A text gives a bounded number of pairs a round, those of the best
+bounds; a bucket is done once no text in it had more.
+
+Texts of equal words are one class, named by a digest of its words.  All search
+is over classes; rows come back in only at the end, so copies cost one row each.
 """
 
 from __future__ import annotations
@@ -24,19 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import saved
+from .shared import key_filter, may_hold, memory, parts, saved
 
 #: Bands and bins of each: a pair at 0.8 misses all of them once in 15,000 times.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Documents of a bucket that a group compares, with as many others at most.
-BLOCK = 1000
-#: Pairs that a document gives in a bucket's first round, and the factor of each further round.
-PAIRS = 8
-#: Hashes of words that a worker remembers.
-MEMORY = 1_000_000
-
-_seen: dict[bytes, int] = {}
+#: Classes of a bucket that a group compares, with as many others at most.
+BLOCK = 500
+#: Pairs that a class gives in a bucket's first round, and the factor of each further round.
+PAIRS = 16
+#: Longer words are not remembered by a worker.
+LONG_WORD = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,13 +50,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word, A-Z in lower case."""
-    global _seen
+    seen = memory("words of near_dup")
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both know ASCII alone
-    if len(_seen) > MEMORY:
-        _seen = {}
-    for w in [w for w in set(words) if w not in _seen]:
-        _seen[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_seen.__getitem__, words), dtype=np.uint64, count=len(words))
+    own = {w: xxhash.xxh3_64_intdigest(w) for w in set(words) if w not in seen}
+    seen.update((w, h) for w, h in own.items() if len(w) <= LONG_WORD)
+    get = seen.__getitem__ if all(len(w) <= LONG_WORD for w in own) else lambda w: own[w] if w in own else seen[w]
+    return np.fromiter(map(get, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -106,43 +106,67 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def features(docs: DataFrame, shingle: int) -> DataFrame:
-    """``id, n_shingles``, the digest ``same`` of the words and the band keys."""
+def features(rows: DataFrame, shingle: int) -> DataFrame:
+    """``id, tag, text`` to ``id, tag, n_shingles``, the digest ``same`` of the words and the band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 2):
+                n, same, keys = [], [], []
+                for text in part.column(2).to_pylist():
+                    words = word_hashes(text)
+                    own = shingles(words, shingle)
+                    n.append(len(own))
+                    same.append(xxhash.xxh3_128_digest(words.tobytes()) if len(own) else None)
+                    keys.append(band_keys(own) if len(own) else None)
+                arrays = [*part.columns[:2], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "tag", "n_shingles", "same", "bands"])
+
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, tag string, n_shingles long, same binary, bands array<long>")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """``text`` to ``same, size, hashes``: the sorted hashes of its shingles as unsigned 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 0):
+                words = [word_hashes(text) for text in part.column(0).to_pylist()]
+                own = [shingles(w, shingle) for w in words]
+                same = [xxhash.xxh3_128_digest(w.tobytes()) for w in words]
+                arrays = [pa.array(same, pa.binary()), pa.array(map(len, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["same", "size", "hashes"])
+
+    return rows.select("text").mapInArrow(run, "same binary, size long, hashes binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of their union; empty ones are like nothing."""
+    if not len(a) or not len(b):
+        return False
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes whose full shingle sets are similar enough.
+
+    Both joins are of tables as they are, so Spark can split the pairs of a hot
+    class among tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, same, keys = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = word_hashes(text)
-                own = shingles(words, shingle)
-                n.append(len(own))
-                same.append(xxhash.xxh3_128_digest(words.tobytes()) if len(own) else None)
-                keys.append(band_keys(own) if len(own) else None)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_shingles", "same", "bands"])
-
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n_shingles long, same binary, bands array<long>")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full shingle sets are similar enough, of any two of their texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, None
-        for pdf in batches:
-            keep = []
-            for text_a, text_b in zip(pdf["text_a"], pdf["text_b"], strict=True):
-                if last != text_a:
-                    last, own = text_a, shingles(word_hashes(text_a), shingle)
-                other = shingles(word_hashes(text_b), shingle)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(own) + len(other) - common))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}")
+            for part in parts(batch, 2, 3):
+                left, right = part.column(2), part.column(3)
+                set_of = lambda c, i: np.frombuffer(c[i].as_buffer(), np.uint64)
+                keep = [similar(set_of(left, i), set_of(right, i), percent) for i in range(part.num_rows)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    set_a = sets.select(F.col("same").alias("a"), F.col("hashes").alias("set_a"))
+    set_b = sets.select(F.col("same").alias("b"), F.col("hashes").alias("set_b"))
+    both = pairs.select("a", "b").join(set_b, "b").join(set_a, "a")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -152,17 +176,16 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """``id, size, sketch`` of the shingles of each text."""
+def sketches(sets: DataFrame) -> DataFrame:
+    """``same, size, hashes`` to ``id, size, sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(word_hashes(text), shingle) for text in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(map(sketch, own), pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "sketch"])
+            for part in parts(batch, 2):
+                found = [sketch(np.frombuffer(x, np.uint64)) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, pa.binary())], names=["id", "size", "sketch"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, size long, sketch binary")
+    return sets.select("same", "size", "hashes").mapInArrow(run, "id binary, size long, sketch binary")
 
 
 def folded(sketched: list[bytes], size: int) -> np.ndarray:
@@ -211,26 +234,15 @@ def nearest(left: np.ndarray, right: np.ndarray, bounds: np.ndarray, most: int)
     return (rank[: len(left)] < most) | (rank[len(left) :] < most)
 
 
-def candidates(now: DataFrame, sketched: DataFrame, percent: int, most: int) -> DataFrame:
-    """``bucket, a, b, more``: pairs of different components in each bucket that may be similar enough.
-
-    ``now`` has ``bucket, doc, component``.  A document gives the ``most`` best
-    in a group of at most two blocks; ``more`` tells that a group has others.
-    A bucket of over a block is parted into blocks of sizes that are near, a
-    large component by itself, and pairs of blocks that can have pairs make groups.
-    """
-    kind = now.schema["doc"].dataType["id"].dataType.simpleString()
-    large = now.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket")
-    lots = max(1, now.count() * 5 // BLOCK)
-    small = now.join(large, "bucket", "left_anti").withColumn("job", F.col("bucket")).withColumn("lot", F.pmod(F.xxhash64("bucket"), F.lit(lots))).withColumn("side", F.lit(0))
-
+def _parted(now: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Rows of large buckets with the ``job`` of each pair of blocks that can have pairs, and the block's ``side`` in it."""
     level = F.floor(F.log(F.col("doc.n").cast("double")) / float(np.log(100 / max(1, percent)) + 1e-6)).alias("level")  # over one apart: too different
     leveled = now.join(large, "bucket").select("bucket", "doc", "component", level)
-    alone = leveled.groupBy("bucket", "component").count().filter(F.col("count") > BLOCK).select("bucket", "component", F.lit(True).alias("alone"))
-    owned = leveled.join(alone, ["bucket", "component"], "left").withColumn("own", F.when(F.col("alone"), F.col("component").cast("string"))).drop("alone")
+    alone = saved(leveled.groupBy("bucket", "component").count().filter(F.col("count") > BLOCK).select("bucket", "component", F.lit(True).alias("alone")))
+    owned = leveled.join(alone, ["bucket", "component"], "left").withColumn("own", F.when(F.col("alone"), F.hex("component"))).drop("alone")
     key = F.xxhash64("level", F.col("own").isNull(), "own").alias("key")
     owned = owned.select("bucket", "doc", "component", "level", "own", key)
-    counts = owned.groupBy("bucket", "key").agg(F.count("*").alias("rows"))
+    counts = saved(owned.groupBy("bucket", "key").agg(F.count("*").alias("rows")))
     owned = saved(owned.join(counts, ["bucket", "key"]).withColumn("part", F.pmod(F.xxhash64("doc.id"), F.ceil(F.col("rows") / BLOCK))))
     block = F.struct("key", "part").alias("block")
     blocks = owned.select("bucket", block, "level", "own").distinct()
@@ -239,10 +251,27 @@ def candidates(now: DataFrame, sketched: DataFrame, percent: int, most: int) ->
     differ = F.col("x.own").isNull() | F.col("y.own").isNull() | (F.col("x.own") != F.col("y.own"))
     jobs = x.join(y, close & differ).select(F.col("x.bucket").alias("bucket"), F.col("x.block").alias("x"), F.col("y.block").alias("y")).withColumn("job", F.xxhash64("bucket", "x", "y"))
     ends = jobs.select("bucket", F.col("x").alias("block"), "job", F.lit(0).alias("side")).union(jobs.filter("x <> y").select("bucket", F.col("y").alias("block"), "job", F.lit(1).alias("side")))
-    parted = owned.select("bucket", "doc", "component", block).join(ends, ["bucket", "block"]).withColumn("lot", F.col("job"))
+    return owned.select("bucket", "doc", "component", block).join(ends, ["bucket", "block"]).withColumn("lot", F.col("job"))
+
 
+def candidates(now: DataFrame, sketched: DataFrame, percent: int, most: int) -> DataFrame:
+    """``bucket, a, b, more``: pairs of different components in each bucket that may be similar enough.
+
+    ``now`` has ``bucket, doc, component``.  A document gives the ``most`` best
+    in a group of at most two blocks; ``more`` tells that a group has others.
+    A bucket of over a block is parted into blocks of sizes that are near, a
+    large component by itself, and pairs of blocks that can have pairs make groups.
+    """
+    kind = now.schema["doc"].dataType["id"].dataType.simpleString()
+    # sums are written before they are joined, so that Spark can split the rows of a hot bucket
+    large = saved(now.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket"))
     columns = ["lot", "job", "side", "bucket", "doc", "component"]
-    rows = small.select(columns).union(parted.select(columns)).select("*", F.col("doc.id").alias("id"), F.col("doc.n").alias("size")).join(sketched, ["id", "size"]).drop("doc")
+    some = not large.isEmpty()
+    lots = max(1, now.count() * 5 // BLOCK)
+    small = (now.join(large, "bucket", "left_anti") if some else now).withColumn("job", F.col("bucket")).withColumn("lot", F.pmod(F.xxhash64("bucket"), F.lit(lots))).withColumn("side", F.lit(0))
+
+    rows = small.select(columns).union(_parted(now, large, percent).select(columns)) if some else small.select(columns)
+    rows = rows.select("*", F.col("doc.id").alias("id"), F.col("doc.n").alias("size")).join(sketched, ["id", "size"]).drop("doc")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("job", kind="stable")
@@ -264,67 +293,118 @@ def candidates(now: DataFrame, sketched: DataFrame, percent: int, most: int) ->
     return found.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents that share ``percent`` of their shingles, by links.
+def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: int, shingle: int) -> DataFrame:
+    """``same`` to ``component``, the least class that it reaches, for classes with links.
 
-    Words are what white space separates, A-Z in lower case; a document with
-    fewer words than a shingle has one shingle of them all.  Returns one row an
-    input row: ``doc_id, n_shingles, component_id`` (the least id reachable) and
-    ``kept`` (the id is its component's).  A document without words has no
-    shingles and no links; a row with a null id stands alone, with a null
-    component, and is kept; rows of one id count as one document; an empty table
-    gives an empty one; other columns are not read.
+    ``found`` are the features of ``rows`` (``id, tag, text``); ``more`` has
+    further links ``a, b`` of classes.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = saved(features(rows, shingle))
-    known = found.filter(F.col("same").isNotNull() & F.col("id").isNotNull())
-    classes = saved(known.groupBy("same").agg(F.min("id").alias("rep")))
-    placing = known.select("id", "same").join(classes, "same").select("id", "rep")
-    homes = saved(placing.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("top")))
-    # an id whose rows have different texts links their classes
-    twice = placing.withColumnRenamed("rep", "b").join(homes.filter("rep < top"), "id").filter("b <> rep").select(F.col("rep").alias("a"), "b")
-
-    small = F.struct(F.col("id"), F.col("n_shingles").alias("n"))
-    firsts = known.join(classes, (known["same"] == classes["same"]) & (known["id"] == classes["rep"])).select(small.alias("doc"), "bands")
-    placed = firsts.select("doc", F.explode("bands").alias("bucket"))
-    stars = placed.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("top")).filter("centre.id < top.id").drop("top")
+    known = found.filter(F.col("same").isNotNull())
+    where = F.struct("id", "tag")
+    classes = saved(known.groupBy("same").agg(F.min(where).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    placed = classes.select("same", "n", F.explode("bands").alias("bucket"))
+    # sums are written before they are joined, so that Spark can split the rows of a hot bucket
+    stars = placed.groupBy("bucket").agg(F.min(F.struct("same", "n")).alias("centre"), F.max("same").alias("top"))
+    stars = saved(stars.filter("centre.same < top").drop("top"))
     members = saved(placed.join(stars, "bucket"))
-    involved = members.select(F.col("doc.id").alias("id")).distinct()
-    texts = saved(rows.filter("text is not null").join(involved, "id", "left_semi").distinct())
 
-    def fits(doc: str, centre: str) -> Column:
-        few, many = F.least(f"{doc}.n", f"{centre}.n"), F.greatest(f"{doc}.n", f"{centre}.n")
-        return (F.col(f"{doc}.id") != F.col(f"{centre}.id")) & (100 * few >= percent * many)
+    involved = saved(members.select("same").distinct().join(classes.select("same", "at"), "same").select("same", F.col("at.id").alias("at_id"), F.col("at.tag").alias("tag")))
+    bits = saved(key_filter(involved.select(F.xxhash64("at_id", "tag").alias("key")))).scalar()  # so that few other texts are shuffled
+    asked = involved.select("at_id", F.col("tag").alias("at_tag"))
+    some = rows.filter(may_hold(bits, F.xxhash64("id", "tag"))).join(asked, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("tag") == F.col("at_tag")), "left_semi")
+    sets = saved(shingle_sets(some, shingle).groupBy("same").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes")))
 
-    pair = F.least("doc.id", "centre.id").alias("a"), F.greatest("doc.id", "centre.id").alias("b")
-    tried = saved(members.filter(fits("doc", "centre")).select(*pair).distinct())
-    grouped = components(confirmed(tried, texts, shingle, percent).union(twice))
-
-    def with_component(df: DataFrame) -> DataFrame:
-        state = grouped.select(F.col("id").alias("known_id"), "component")
-        return df.join(state, F.col("doc.id") == F.col("known_id"), "left").withColumn("component", F.coalesce("component", "doc.id")).drop("known_id")
+    few, many = F.least("n", "centre.n"), F.greatest("n", "centre.n")
+    fits = (F.col("same") != F.col("centre.same")) & (100 * few >= percent * many)
+    tried = saved(members.filter(fits).select(F.col("centre.same").alias("a"), F.col("same").alias("b")).distinct())
+    links = confirmed(tried, sets, percent)
+    grouped = components(links if more is None else links.union(more))
 
     # buckets of several components: all their pairs of different components are tried, whatever other bands they share
-    rest = members.select("bucket", "doc")
+    rest = members.select("bucket", F.struct(F.col("same").alias("id"), "n").alias("doc"))
     sketched, most = None, PAIRS
     while True:
-        now = with_component(rest)
-        split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        state = grouped.select(F.col("id").alias("known_id"), "component")
+        now = rest.join(state, F.col("doc.id") == F.col("known_id"), "left").withColumn("component", F.coalesce("component", "doc.id")).drop("known_id")
+        split = saved(now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"))
         now = saved(now.join(split, "bucket").select("bucket", "doc", "component"))
         if now.isEmpty():
             break
         if sketched is None:
-            sketched = saved(sketches(texts.join(now.select(F.col("doc.id").alias("id")).distinct(), "id", "left_semi"), shingle))
+            sketched = saved(sketches(sets.join(now.select(F.col("doc.id").alias("same")).distinct(), "same", "left_semi")))
         proposed = saved(candidates(now, sketched, percent, most))
         new = saved(proposed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             tried = tried.union(new)
-            grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(new, texts, shingle, percent)))
-        rest = now.join(proposed.filter("more").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "doc")  # all pairs of the others are tried
+            grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(new, sets, percent)))
+        open_ = saved(proposed.filter("more").select("bucket").distinct())
+        if open_.isEmpty():  # all pairs of every bucket are tried
+            break
+        rest = now.join(open_, "bucket", "left_semi").select("bucket", "doc")
         most *= PAIRS
+    return grouped.select(F.col("id").alias("same"), "component")
+
 
-    joined = found.select("id", "n_shingles").join(homes.select("id", "rep"), "id", "left")
-    state = grouped.select(F.col("id").alias("known_id"), F.col("component"))
-    joined = joined.join(state, F.col("rep") == F.col("known_id"), "left")
-    component: Column = F.coalesce("component", "rep", "id")
+def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text`` and a ``tag`` of the text."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.md5(text.cast("binary")).alias("tag"), text.alias("text"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents that share ``percent`` of their shingles, by links.
+
+    Words are what white space separates, A-Z in lower case; a document with
+    fewer words than a shingle has one shingle of them all.  Returns one row an
+    input row: ``doc_id, n_shingles, component_id`` (the least id reachable) and
+    ``kept`` (the id is its component's).  A document without words has no
+    shingles and no links; a row with a null id stands alone, with a null
+    component, and is kept; rows of one id count as one document, which has the
+    links of each of its texts; an empty table gives an empty one; other columns
+    are not read.
+    """
+    rows = tagged(docs, id_col, text_col)
+    found = saved(features(rows, shingle))
+    known = found.filter(F.col("id").isNotNull())
+    texts = known.groupBy("id").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.max(F.col("same").isNull()).alias("blank"))
+    several = saved(texts.filter("low < high or low is not null and blank").select("id", "low"))
+    more = known.join(several, "id").filter("same <> low").select(F.col("low").alias("a"), F.col("same").alias("b"))
+    grouped = groups(known, rows.filter(F.col("id").isNotNull()), more, percent, shingle)
+
+    placed = known.filter(F.col("same").isNotNull()).groupBy("same").agg(F.min("id").alias("rep"))
+    placed = saved(placed.join(grouped, "same", "left").select("same", "rep", F.coalesce("component", "same").alias("component")))
+    least = saved(placed.groupBy("component").agg(F.min("rep").alias("component_id")))
+    named = saved(placed.join(least, "component").select("same", "component_id"))
+    if not several.isEmpty():  # a row without words goes with the others of its id
+        found = found.join(several, "id", "left").withColumn("same", F.coalesce("same", "low"))
+    joined = found.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("same")).alias("same")).join(named, "same", "left")
+    component: Column = F.coalesce("component_id", "id")
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each group of linked texts stays.
+
+    Texts decide, not ids: rows of one id with different texts stay unless their
+    texts are linked.  Of a group stays the row of the least id (null last), then
+    of the least digest of its text; of rows alike in both, one.  Rows without
+    words stay as they are; all columns stay; an empty table gives an empty one.
+    """
+    rows = tagged(docs, id_col, text_col)
+    found = saved(features(rows, shingle))
+    grouped = groups(found, rows, None, percent, shingle)
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "tag")
+    spots = found.filter(F.col("same").isNotNull()).groupBy("id", "tag", "same").agg(F.count("*").alias("copies"))
+    spots = saved(spots.join(grouped, "same", "left").select("id", "tag", "copies", F.coalesce("component", "same").alias("component")))
+    best = saved(spots.groupBy("component").agg(F.min(place).alias("best")))
+    judged = saved(spots.join(best, "component").select("id", "tag", "copies", place.eqNullSafe(F.col("best")).alias("stays")))
+    gone = judged.filter("not stays").select(F.col("id").alias("gone_id"), F.col("tag").alias("gone_tag"))
+    alike = judged.filter("stays and copies > 1").select(F.col("id").alias("gone_id"), F.col("tag").alias("gone_tag"))
+
+    own_id, own_tag = F.col(f"`{id_col}`"), F.md5(F.col(f"`{text_col}`").cast("binary"))
+    at = own_id.eqNullSafe(F.col("gone_id")) & (own_tag == F.col("gone_tag"))
+    kept = docs.join(gone, at, "left_anti")
+    if alike.isEmpty():
+        return kept
+    repeated = kept.join(alike, at, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(alike, at, "left_anti").unionByName(repeated)

@@ -4,12 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words in every contract of this subpackage (Java syntax).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that a Python worker unpacks at a time, entries of what it remembers, and rows of a batch.
+BATCH_BYTES, MEMORY, BATCH_ROWS = 1_000_000, 100_000, 2000
+
+#: Words of 64 bits in a filter of keys (1 MB), whatever the number of keys.
+FILTER_WORDS = 1 << 17
+
+_held: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What a Python worker remembers for one operator.
+
+    Workers outlive stages: what another operator has left goes, and so does a
+    memory of over ``MEMORY`` entries.  It only saves time, results are the same.
+    """
+    if owner not in _held or len(_held[owner]) > MEMORY:
+        _held.clear()
+        _held[owner] = {}
+    return _held[owner]
+
+
+def parts(batch: pa.RecordBatch, *at: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in the columns ``at``, one row at least."""
+    size = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in at) + 1)
+    begin = 0
+    while begin < batch.num_rows:
+        stop = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most, side="right"))
+        stop = max(begin + 1, stop)
+        yield batch.slice(begin, stop - begin)
+        begin = stop
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,16 +64,51 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     Lost executors cost nothing of what is written; the files go when the
-    application ends.
+    application ends.  Batches for Python are small meanwhile, as executors hold
+    several at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilwork/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def key_filter(keys: DataFrame) -> DataFrame:
+    """One row with ``bits``: a Bloom filter of the column ``key`` (long), of the same size for any table.
+
+    It goes to the rows that are asked for instead of a join with all keys; with
+    more keys it lets more through in error, but never leaves out a key.
+    """
+    spots = keys.select(F.pmod(F.col("key"), F.lit(FILTER_WORDS * 64)).alias("spot"))
+    words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot % 64 AS INT))")).alias("set"))
+    every = keys.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "word").join(words, "word", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
+    return every.agg(F.transform(ordered, lambda w: w["set"]).alias("bits"))  # FILTER_WORDS numbers
+
+
+def may_hold(bits: Column, key: Column) -> Column:
+    """Whether a filter's ``bits`` have a key; true for all of its keys and a few others."""
+    spot = F.pmod(key, F.lit(FILTER_WORDS * 64))
+    word = F.get(bits, F.shiftright(spot, 6).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(spot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
