@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Chunks a worker remembers; beyond it the memory starts afresh.
-MEMORY = 1_000_000
-#: Characters of text that are held as Python strings at a time.
-TEXT_AT_A_TIME = 4_000_000
+from .shared import memory, parts
+
+#: Longer chunks are not remembered by a worker.
+LONG_CHUNK = 64
 NEVER = np.iinfo(np.int64).max
 
 
@@ -39,7 +41,6 @@ class MergeTable:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -55,12 +56,25 @@ class MergeTable:
         self.key, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.library = Tokenizer.from_file(path)
+        self.spaces = regex.compile(r"\s+").split
+        self.memory = f"chunks of {path}"
+        self.path, self._library = path, None
         self.special = [t["content"] for t in spec["added_tokens"]]
         # Up to U+02FF, NFC changes nothing and lower case is by character; the
         # separators U+001C to U+001F are white space to Python alone.
         self.odd = re.compile("[\x1c-\x1f\u0300-\U0010ffff]").search
-        self.ids: dict[str, bytes] = {}
+        # Unicode versions differ in which marks they reorder: those after 3.2 are the library's to judge.
+        old = unicodedata.ucd_3_2_0.combining
+        new_marks = [chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c)) and not old(chr(c))]
+        self.new_marks = re.compile("[" + "".join(new_marks) + "]").search
+
+    def by_library(self, text: str) -> bytes:
+        """The ids of a text that only the library can judge; it is loaded for the first of them."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ranks(self, sym: np.ndarray, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The rank of the pairs that begin at these symbols."""
@@ -106,36 +120,46 @@ class MergeTable:
         order = np.argsort(seq, kind="stable")
         return sym[order], np.bincount(seq, minlength=len(words))
 
-    def learn(self, chunks: set[str]) -> None:
-        """Merge chunks that are not yet in memory."""
-        new = {c for c in chunks if c not in self.ids}
-        whole = [c for c in new if c.isalpha()]  # letters only: one pre-token
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of chunks between white space."""
+        whole = [c for c in new if c.isascii() and c.isalpha()]  # letters only: one pre-token
         parts = {c: self.split(c) for c in new.difference(whole)}
         words = list(set(whole).union(*parts.values()))
-        if words:
-            ids, n = self.merge(words)
-            flat, stop = ids.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
-            by_word = {w: flat[b:e] for w, b, e in zip(words, [0, *stop], stop, strict=False)}
-            self.ids.update((c, by_word[c]) for c in whole)
-            self.ids.update((c, b"".join([by_word[w] for w in p])) for c, p in parts.items())
-        else:
-            self.ids.update(dict.fromkeys(new, b""))
+        if not words:
+            return dict.fromkeys(new, b"")
+        ids, n = self.merge(words)
+        flat, stop = ids.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
+        by_word = {w: flat[b:e] for w, b, e in zip(words, [0, *stop], stop, strict=False)}
+        return {c: by_word[c] for c in whole} | {c: b"".join([by_word[w] for w in p]) for c, p in parts.items()}
+
+    def chunks(self, text: str | None) -> list[str] | None:
+        """What lies between white space, normalised like the library does; None if a special string or a recent mark is in it."""
+        if not text:
+            return []
+        if any(s in text for s in self.special):
+            return None
+        if not self.odd(text):
+            return text.lower().split()
+        if self.new_marks(text):
+            return None
+        normal = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # a capital sigma has one lower case, also at the end of a word
+        return [c for c in self.spaces(normal.lower()) if c]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.ids) > MEMORY:
-            self.ids = {}
-        chunks: list[list[str] | None] = []
-        for t in texts:
-            plain = not (t and (self.odd(t) or any(s in t for s in self.special)))
-            chunks.append((t or "").lower().split() if plain else None)
-        self.learn(set().union(*filter(None, chunks)))
-        get = self.ids.__getitem__
+        ids = memory(self.memory)
+        chunks = [self.chunks(t) for t in texts]
+        fresh = self.learn({c for row in chunks if row for c in row if c not in ids})
+        ids.update(fresh)
+        get = ids.__getitem__
         for t, row in zip(texts, chunks, strict=True):
             if row is None:
-                yield np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                yield self.by_library(t)
             else:
                 yield b"".join(map(get, row))
+        for c in fresh:
+            if len(c) > LONG_CHUNK:
+                del ids[c]
 
 
 _TABLES: dict[str, MergeTable] = {}
@@ -148,19 +172,6 @@ def merge_table(path: str) -> MergeTable:
     return _TABLES[path]
 
 
-def text_slices(texts: list[str | None], limit: int = TEXT_AT_A_TIME) -> Iterator[slice]:
-    """Consecutive slices of about ``limit`` characters, one text at least."""
-    begin = held = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if held and held + n > limit:
-            yield slice(begin, i)
-            begin, held = i, 0
-        held += n
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text.
 
@@ -172,13 +183,13 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = merge_table(vocab_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [len(b) // 4 for s in text_slices(texts) for b in bpe.encode(texts[s])]
-            size = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())],
-                names=[id_col, "n_bytes", "n_tokens", "over_limit"],
-            )
+            for part in parts(batch, 1):
+                n = [len(b) // 4 for b in bpe.encode(part.column(1).to_pylist())]
+                size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), size, pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())],
+                    names=[id_col, "n_bytes", "n_tokens", "over_limit"],
+                )
 
     rows = docs.select(id_col, text_col)
     return rows.mapInArrow(count, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

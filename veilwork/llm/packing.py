@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import merge_table, text_slices
-from .shared import saved
+from .bpe import merge_table
+from .shared import parts, saved
 
 #: Pieces of one length are numbered in so many groups a shuffle partition.
 SALTS_PER_PARTITION = 4
@@ -99,10 +99,9 @@ def token_pieces(docs: DataFrame, vocab_path: str, window: int, end_id: int, kee
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = merge_table(vocab_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in text_slices(texts):
+            for part in parts(batch, 1):
                 rows = []
-                for doc_id, raw in zip(ids[part], bpe.encode(texts[part]), strict=True):
+                for doc_id, raw in zip(part.column(0).to_pylist(), bpe.encode(part.column(1).to_pylist()), strict=True):
                     raw += end
                     total = len(raw) // 4
                     for start in range(0, total, window):

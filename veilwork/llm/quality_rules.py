@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import parts, saved
 
 #: Steps of a logarithm's unit, and of the logarithm of a distance.
 UNIT = 64
@@ -42,8 +42,9 @@ def repeated_words(words: list[bytes]) -> int:
     if len(words) < 4:
         return 0
     code = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
-    n = int(code.max()) + 1
-    window = pd.factorize((code[:-2] * n + code[1:-1]) * n + code[2:])[0]
+    n = len(words)  # a pair of codes is below n squared, so that no text overflows
+    pair = pd.factorize(code[:-1] * n + code[1:])[0].astype(np.int64)
+    window = pd.factorize(pair[:-1] * n + code[2:])[0]
     twice = np.bincount(window)[window] > 1
     covered = np.zeros(len(words), dtype=bool)
     for k in range(3):
@@ -66,9 +67,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_statistics(t.as_py()) for t in batch.column(3)]
-            own = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["doc_id", "lang", "source", *names])
+            for part in parts(batch, 3):
+                rows = [text_statistics(t.as_py()) for t in part.column(3)]
+                own = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *own], names=["doc_id", "lang", "source", *names])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema[:3]]
     return docs.mapInArrow(run, ", ".join([*kinds, *[f"{n} long" for n in names]]))
