@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, secrets, urls
 from .bpe import count_tokens
 from .chat import format_preferences, preference_pairs
-from .cotrain import classify
+from .cotrain import decisions
 from .media import store_texts
 from .mixing import mix_sources
 from .near_dup import near_duplicates
@@ -29,8 +29,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", "p_text", "p_meta", "p_quality", "kept")
+    return decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
