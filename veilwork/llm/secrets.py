@@ -1,12 +1,13 @@
-"""Secret scans with trigram queries derived from the rules.
+"""Secret scans with a trigram inverted index.
 
 Each rule's regular expression is read as a syntax tree from which a Boolean
-query over mandatory trigrams follows.  The index is partitioned like the
-documents: beside every text lies the bitmap of the query trigrams that occur
-in it, bit t being the text's entry in the posting list of trigram t.
-Intersecting posting lists is then an AND of bits, with no shuffle of texts or
-postings; only candidates are matched against the expression itself, and rules
-without mandatory trigrams scan every text.
+query over mandatory trigrams follows.  One pass over the texts writes the
+posting lists of those trigrams: rows of a trigram and a document.  Lists are
+intersected and united by document, which yields the candidates of each rule.
+Candidates go back to the texts as the bits of a filter of a fixed size, so no
+text is shuffled; the expression itself verifies them where they lie, and a
+text that the filter lets through in error only costs a search.  Rules without
+mandatory trigrams scan every text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,12 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lets import let
+from .shared import fresh, key_filter, may_hold, saved
+
+#: Trigrams in a word of bits, and posting lists that are intersected for a run of letters.
+WORD_BITS, MOST_LISTS = 62, 2
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 #: A query is True (no mandatory trigram), a trigram, or ("and" | "or", parts).
 Query = bool | str | tuple
 #: Strings that a run of literals may stand for before it is cut.
@@ -58,7 +65,12 @@ def both(parts: list[Query]) -> Query:
 
 
 def either(parts: list[Query]) -> Query:
-    return True if any(p is True for p in parts) else parts[0] if len(set(parts)) == 1 else ("or", tuple(dict.fromkeys(parts)))
+    """Any of the parts; one that asks for all that another asks for, and more, says nothing."""
+    if any(p is True for p in parts):
+        return True
+    asked = {p: frozenset(p[1]) if p[0] == "and" else frozenset([p]) for p in parts}
+    needed = [p for p in asked if not any(asked[q] < asked[p] for q in asked)]
+    return needed[0] if len(needed) == 1 else ("or", tuple(needed))
 
 
 def of_string(s: str) -> Query:
@@ -123,39 +135,71 @@ def trigram_query(pattern: str) -> Query:
     return query_of(list(sre_parse.parse(pattern)))
 
 
+def rarity(trigram: str) -> int:
+    """How rare a trigram should be: letters by their order of frequency, all else above them."""
+    return sum(LETTERS.index(c) if c in LETTERS else len(LETTERS) for c in trigram)
+
+
+def selective(query: Query, most: int = MOST_LISTS) -> Query:
+    """A weaker query that reads fewer lists: of the trigrams that must all occur, the rarest."""
+    if query is True or isinstance(query, str):
+        return query
+    parts = [selective(p, most) for p in query[1]]
+    if query[0] == "or":
+        return either(parts)
+    plain = sorted((p for p in parts if isinstance(p, str)), key=lambda t: (-rarity(t), t))[:most]
+    return both(plain or [p for p in parts if not isinstance(p, str)])
+
+
 def trigrams_in(query: Query) -> list[str]:
     if query is True:
         return []
     return [query] if isinstance(query, str) else [t for p in query[1] for t in trigrams_in(p)]
 
 
-def postings(text: Column, trigrams: list[str]) -> Column:
-    """The bitmap, in words of 62 bits, of the trigrams that occur in a text."""
-    low = F.lower(text)
-    words = []
-    for k in range(0, len(trigrams), 62):
-        bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(trigrams[k : k + 62])]
-        word = bits[0]
-        for b in bits[1:]:
-            word = word.bitwiseOR(b)
-        words.append(word)
-    return F.array(*words) if words else F.array(F.lit(0).cast("long"))
+def postings(texts: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
+    """``trigram, document``: where each trigram occurs, in lower case; a document is named by its text's hash."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    lowered = texts.select(F.xxhash64(text).alias("document"), F.lower(text).alias("low"))  # a column, so that it is made once
+    found = F.concat_ws("\0", *[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams] or [F.lit(None).cast("string")])
+    held = lowered.select("document", found.alias("found")).filter("found <> ''")
+    return held.select("document", F.explode(F.split("found", "\0")).alias("trigram")).select("trigram", "document").distinct()
 
 
-def holds(query: Query, bitmap: Column, trigrams: list[str]) -> Column:
-    """A query over a bitmap of postings."""
+def holds(query: Query, occurs: dict[str, Column]) -> Column:
+    """A query over which trigrams occur."""
     if query is True:
         return F.lit(True)
     if isinstance(query, str):
-        i = trigrams.index(query)
-        return bitmap[i // 62].bitwiseAND(F.lit(1 << i % 62).cast("long")) != 0
+        return occurs[query]
     out = None
     for p in query[1]:
-        own = holds(p, bitmap, trigrams)
+        own = holds(p, occurs)
         out = own if out is None else (out & own if query[0] == "and" else out | own)
     return out
 
 
+def candidates(index: DataFrame, queries: list[Query]) -> DataFrame:
+    """``document, rule``: the documents that each rule's query finds in the posting lists.
+
+    The lists of all trigrams meet by document, of which each has one entry a
+    trigram, so no group is larger than the rules make it.
+    """
+    trigrams = list(dict.fromkeys(t for q in queries for t in trigrams_in(q)))
+    place = F.array_position(F.array(*map(F.lit, trigrams or [""])), F.col("trigram")) - 1
+    index = index.withColumn("place", place)
+    words = [F.bit_or(F.when(F.floor(F.col("place") / WORD_BITS) == k, F.expr(f"shiftleft(1L, CAST(place % {WORD_BITS} AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(-(-len(trigrams) // WORD_BITS))]
+    met = index.groupBy("document").agg(*(words or [F.count("*").alias("w0")]))
+    occurs = {t: F.col(f"w{i // WORD_BITS}").bitwiseAND(F.lit(1 << i % WORD_BITS).cast("long")) != 0 for i, t in enumerate(trigrams)}
+    rules = F.array_compact(F.array(*[F.when(holds(q, occurs), F.lit(i)) for i, q in enumerate(queries) if q is not True] or [F.lit(None).cast("int")]))
+    return met.select("document", F.explode(rules).alias("rule"))
+
+
+def _spot(document: Column, rule: Column) -> Column:
+    """The key of a document and a rule in the filter of candidates."""
+    return F.xxhash64(document, rule.cast("int"))
+
+
 def found_spans(text: Column, rule: Rule, index: int) -> Column:
     """All matches, left to right, as ``(start, kind index, kind, end)`` in code points.
 
@@ -163,20 +207,22 @@ def found_spans(text: Column, rule: Rule, index: int) -> Column:
     all that lies before it.
     """
     rx = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
-    part = F.regexp_extract_all(text, rx, F.lit(rule.group)) if rule.least else whole
-    pieces = F.arrays_zip(whole.alias("m"), part.alias("p"), F.split(text, rule.pattern, -1).alias("g"))
-    empty = F.lit(None).cast("array<struct<start:int,nth:int,kind:string,end:int>>")
+    kind = "array<struct<start:int,nth:int,kind:string,end:int>>"
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["g"])
         stop = begin + F.length(x["m"])
         span = F.struct(begin.alias("start"), F.lit(index).alias("nth"), F.lit(rule.kind).alias("kind"), stop.alias("end"))
         add = F.when(F.length(x["p"]) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(F.coalesce(stop, acc["at"]).alias("at"), add.alias("spans"))
+        return F.struct(stop.alias("at"), add.alias("spans"))
+
+    def spans(whole: Column) -> Column:
+        part = F.regexp_extract_all(text, rx, F.lit(rule.group)) if rule.least else whole
+        pieces = F.arrays_zip(whole.alias("m"), part.alias("p"), F.split(text, rule.pattern, -1).alias("g"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+        return F.aggregate(F.slice(pieces, 1, F.size(whole)), start, step, lambda acc: acc["spans"])
 
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,nth:int,kind:string,end:int>>")).alias("spans"))
-    return F.aggregate(F.slice(pieces, 1, F.size(whole)), start, step, lambda acc: acc["spans"])
+    return let(F.regexp_extract_all(text, rx, F.lit(0)), lambda whole: F.when(F.size(whole) > 0, spans(whole)).otherwise(F.array().cast(kind)))
 
 
 def joined(spans: Column) -> Column:
@@ -192,23 +238,26 @@ def scan_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, text_col:
     existing column of that name is replaced, all others stay as they are.
     """
     rules = (*BASE_RULES, *more)
-    queries = [trigram_query(r.pattern) for r in rules]
+    queries = [selective(trigram_query(r.pattern)) for r in rules]
     trigrams = list(dict.fromkeys(t for q in queries for t in trigrams_in(q)))
     kind = "array<struct<start:int,nth:int,kind:string,end:int>>"
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    bitmap = "__postings"
-    spans = [
-        F.when(holds(q, F.col(bitmap), trigrams), found_spans(text, r, i)).otherwise(F.array().cast(kind)) for i, (r, q) in enumerate(zip(rules, queries, strict=True))
-    ]
-    return docs.withColumn(bitmap, postings(text, trigrams)).withColumn(name, F.array_sort(F.concat(*spans))).drop(bitmap)
+    index = saved(postings(docs.select(F.col(f"`{text_col}`")), trigrams, text_col))
+    found = candidates(index, queries).select(_spot(F.col("document"), F.col("rule")).alias("key"))
+    bits = saved(key_filter(found)).scalar()
+    document, asked = F.xxhash64(text), fresh(docs, "asked")
+    flags = [F.lit(True) if q is True else may_hold(bits, _spot(document, F.lit(i))) for i, q in enumerate(queries)]
+    spans = [F.when(F.col(asked)[i], found_spans(text, r, i)).otherwise(F.array().cast(kind)) for i, r in enumerate(rules)]
+    return docs.withColumn(asked, F.array(*flags)).withColumn(name, F.array_sort(F.concat(*spans))).drop(asked)
 
 
 def redact_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, text_col: str = "text") -> DataFrame:
     """Replace every secret in each whole text by ``<secret:kind>``, overlapping ones by the first.
 
-    A null text stays null; texts without secrets stay as they are.
+    A null text stays null; texts without secrets and all other columns stay as
+    they are, whatever their names.
     """
-    name = "__secrets"
+    name = fresh(docs, "secrets")
     text = F.col(f"`{text_col}`")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -218,7 +267,7 @@ def redact_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, text_co
         return F.when(s["start"] >= acc["at"], longer).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts")))
 
     end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size(name) > 0, F.aggregate(name, start, step, end)).otherwise(text)
+    clean = F.when(F.size(F.col(name)) > 0, F.aggregate(F.col(name), start, step, end)).otherwise(text)
     return scan_secrets(docs, more, text_col, name).withColumn(text_col, clean).drop(name)
 
 
