@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm import mixing, registry, urls
 from veilwork.llm.mixing import mix_sources, mixed
-from veilwork.llm.secrets import BASE_RULES, MORE_RULES, holds, postings, python_pattern, redact_secrets, secret_columns, trigram_query, trigrams_in
+from veilwork.llm.secrets import BASE_RULES, MORE_RULES, Rule, candidates, postings, python_pattern, scan_secrets, redact_secrets, secret_columns, selective, trigram_query, trigrams_in
 from veilwork.llm.urls import filter_urls, rule_table
 
 SF = "/root/testdata/sf0.001"
@@ -108,13 +108,39 @@ def test_trigram_queries(spark):
     assert trigram_query(r"AKIA[A-Z0-9]{12,}") == ("and", ("aki", "kia"))
     assert trigram_query(r"[0-9a-f]{32,}") is True and trigram_query("ab?c") is True
     assert trigram_query("(abc|xyz)+d") == ("or", ("abc", "xyz"))
-    queries = [trigram_query(r.pattern) for r in BASE_RULES + MORE_RULES]
+    rules = BASE_RULES + MORE_RULES
+    assert selective(trigram_query("password|xyzzy")) == ("or", (("and", ("pas", "ssw")), ("and", ("yzz", "zzy"))))
+    assert trigram_query("abcd(xy)?") == ("and", ("abc", "bcd"))  # what an alternative adds says nothing
+    queries = [selective(trigram_query(r.pattern)) for r in rules]
     trigrams = list(dict.fromkeys(t for q in queries for t in trigrams_in(q)))
-    df = spark.createDataFrame([(t or "",) for t in SECRETS], "text string").withColumn("b", postings(F.col("text"), trigrams))
-    got = df.select("text", *[holds(q, F.col("b"), trigrams).alias(f"r{i}") for i, q in enumerate(queries)]).collect()
-    for row in got:  # no match is ever ruled out
-        for i, r in enumerate(BASE_RULES + MORE_RULES):
-            assert row[f"r{i}"] or not re.search(r.pattern, row.text, re.ASCII)
+    texts = [t or "" for t in SECRETS]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("document", F.xxhash64("text"))
+    named = {r.text: r.document for r in df.collect()}
+    index = postings(df, trigrams).cache()
+    assert {(r.trigram, r.document) for r in index.collect()} == {(t, named[x]) for t in trigrams for x in texts if t in x.lower()}
+    found = {(r.document, r.rule) for r in candidates(index, queries).collect()}
+
+    def fits(q, text):
+        return q in text.lower() if isinstance(q, str) else (all if q[0] == "and" else any)(fits(p, text) for p in q[1])
+
+    assert found == {(named[x], i) for x in texts for i, q in enumerate(queries) if q is not True and fits(q, x)}
+    for x in texts:  # no match is ever ruled out
+        for i, r in enumerate(rules):
+            assert queries[i] is True or (named[x], i) in found or not re.search(r.pattern, x, re.ASCII)
+
+
+def test_secrets_without_trigrams(spark):
+    rows = [(1, "abc 11 x", "kept"), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, document string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in scan_secrets(df, more=(Rule("pair", r"\d\d"),)).collect()}
+    assert got == {1: [("pair", 4, 6)], 2: []}
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh1", "a", "b", "c")], "doc_id long, text string, secrets string, __secrets string, Secrets_ string")
+    assert [tuple(r) for r in redact_secrets(df).collect()] == [(1, "<secret:assign>", "a", "b", "c")]
+    odd = spark.createDataFrame([(1, "w w", "s", "x", 5, 6, 7)], "doc_id long, text string, source string, __of string, __whole int, __threshold int, plan_of int")
+    assert {tuple(r) for r in mixed(odd).collect()} <= {(1, "w w", "s", "x", 5, 6, 7)}
 
 
 def test_urls_by_brute_force(spark):
@@ -137,3 +163,13 @@ def test_urls_by_brute_force(spark):
         r = got[i]
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[2], best[1]), url
     assert filter_urls(df.limit(0), rule_table(spark)).count() == 0
+
+
+def test_rows_without_ids_reach_their_targets(spark):
+    rng = random.Random(7)
+    rows = [(None if i % 3 else i, " ".join(rng.choices("abcdefghij", k=rng.randint(1, 60))), "abc"[i % 3]) for i in range(3000)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.source] - r.target) <= 120 for r in got)

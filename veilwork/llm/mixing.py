@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, saved
+from .shared import fresh, n_words, saved
 
 #: Hexadecimal digits of the hash at each level (12 bits), and levels.
 DIGITS, LEVELS = 3, 3
 
 
-def level_bits(id_col: str, level: int) -> Column:
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+def level_bits(id_col: str, text_col: str, level: int) -> Column:
+    """One level of a row's hash: of its id, or of its text where it has none."""
+    digest = F.coalesce(F.md5(F.col(f"`{id_col}`").cast("string")), F.md5(F.col(f"`{text_col}`").cast("string")), F.md5(F.lit("null")))
     return F.conv(F.substring(digest, 1 + DIGITS * level, DIGITS), 16, 10).cast("int")
 
 
@@ -83,8 +84,8 @@ def plan_of(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``doc_id, source``, the words of each text and the levels of its hash."""
-    levels = [level_bits(id_col, i).alias(f"b{i}") for i in range(LEVELS)]
-    return saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *levels))
+    levels = [level_bits(id_col, text_col, i).alias(f"b{i}") for i in range(LEVELS)]
+    return saved(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), *levels))
 
 
 def copies_taken() -> Column:
@@ -105,9 +106,10 @@ def mix_sources(
     Sources in the order of code points, null last, weigh ``weights`` in turn;
     none is taken over ``most`` times.  Returns ``doc_id, source, size,
     source_size, target, copies, taken``, one row an input row.  A null text has
-    size 0; a null id hashes like any other; equal ids are taken alike; a source
-    without words has target 0; an empty table gives an empty one; other columns
-    are not read.
+    size 0; a row without an id hashes by its text; rows of one id, or of one text
+    without ids, are taken alike, so a source's taken words miss its target by up
+    to half the words of such rows together; a source without words has target 0;
+    an empty table gives an empty one; other columns are not read.
     """
     rows = sized(docs, id_col, text_col, source_col)
     plan = plan_of(rows, weights, share, most)
@@ -133,11 +135,13 @@ def mixed(
     plan is small enough to be sent to them.
     """
     plan = plan_of(sized(docs, id_col, text_col, source_col), weights, share, most)
-    number = sum((level_bits(id_col, i).cast("long") * (1 << 4 * DIGITS * (LEVELS - 1 - i)) for i in range(LEVELS)), F.lit(0))
-    mine = plan.select(F.col("plan_of").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
-    copies = F.col("__whole") + F.when(number < F.col("__threshold"), 1).otherwise(0)
-    taken = docs.join(mine, F.col(f"`{source_col}`").eqNullSafe(F.col("__of"))).withColumn("__copies", copies.cast("int")).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])
+    number = sum((level_bits(id_col, text_col, i).cast("long") * (1 << 4 * DIGITS * (LEVELS - 1 - i)) for i in range(LEVELS)), F.lit(0))
+    of, whole, threshold = (fresh(docs, n) for n in ("of", "whole", "threshold"))
+    mine = plan.select(F.col("plan_of").alias(of), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    taken = docs.join(mine, F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
+    copies = (F.col(whole) + F.when(number < F.col(threshold), 1).otherwise(0)).cast("int")
+    again = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], again.alias(fresh(docs, "copy"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE_SQL = r"""
