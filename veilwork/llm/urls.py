@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 #: Hexadecimal digits of the digest on which expressions and rules are joined.
 SHORT = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +56,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id
     lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())  # at most as many as a path has characters
     labels = rules.agg(F.max("labels")).first()[0] or 0
     digest = F.sha2(F.col("rule").cast("binary"), 256)
-    known = rules.select("rule", "rule_verdict", "host_length", digest.alias("rule_digest"), F.substring(digest, 1, SHORT).alias("short"))
+    # what is joined is written first, so that Spark can split the rows of a hot prefix or host among tasks
+    known = saved(rules.select("rule", "rule_verdict", "host_length", digest.alias("rule_digest"), F.substring(digest, 1, SHORT).alias("short")))
 
     longest = max(lengths, default=0)
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -67,7 +70,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id
     asked = asked.withColumn("digest", F.sha2(F.col("e.text").cast("binary"), 256)).withColumn("short", F.substring("digest", 1, SHORT))
     hits = asked.join(known, "short").filter((F.col("digest") == F.col("rule_digest")) & (F.col("e.host_length") == F.col("host_length")))
     best = F.max(F.struct(F.length("rule").alias("n"), F.col("rule_verdict").alias("verdict"), F.col("rule").alias("rule"))).alias("best")
-    verdicts = hits.groupBy("host", "head").agg(best)
+    verdicts = saved(hits.groupBy("host", "head").agg(best))
     return judged.join(verdicts, ["host", "head"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(otherwise)).alias("verdict")
     )
