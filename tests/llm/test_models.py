@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilwork.llm import jpeg
+from veilwork.llm import cotrain, jpeg
 from veilwork.llm.chat import format_preferences, harmless, preference_pairs
 from veilwork.llm.cotrain import classify
 from veilwork.llm.media import decode_images, store_texts
@@ -29,6 +29,86 @@ def test_classifier(spark):
     assert classify(docs.limit(0), train).count() == 0
 
 
+def pages(spark, n=2500, told=240):
+    """Documents whose quality shows in a few of many words and, in nine of ten, in their source; few are labelled."""
+    rng = random.Random(12)
+    filler = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(1500)]
+    marks = {1: [f"good{i}" for i in range(30)], 0: [f"junk{i}" for i in range(30)]}
+    docs, labels = [], []
+    for i in range(n):
+        q = int(rng.random() < 0.6)
+        words = rng.choices(filler, k=40) + rng.choices(marks[q], k=2)
+        rng.shuffle(words)
+        source = f"{'site' if (q if rng.random() < 0.9 else 1 - q) else 'farm'}{rng.randint(0, 3)}"
+        docs.append((i, " ".join(words), "en", source, 500))
+        labels.append((i, q))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    known = spark.createDataFrame(labels[:told], "doc_id long, quality int")
+    return frame, known, dict(labels[told:])
+
+
+def test_views_teach_each_other(spark, monkeypatch):
+    docs, labels, held = pages(spark)
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+
+    def right(rounds):
+        models = []
+        real = cotrain.trained
+        monkeypatch.setattr(cotrain, "trained", lambda *a: models.append(real(*a)) or models[-1])
+        got = {r.doc_id: r for r in cotrain.classify(docs, labels, rounds=rounds).collect()}
+        monkeypatch.setattr(cotrain, "trained", real)
+        hits = {c: np.mean([(got[i][c] > 0.5) == (q == 1) for i, q in held.items()]) for c in ("p_text", "p_meta", "p_quality")}
+        return models[0], hits, got
+
+    alone, by_labels, _ = right(0)
+    model, together, got = right(3)
+    assert alone.given == [] and len(model.given) == 3
+    for counts in model.given:  # both views give both classes, in proportion to the prior and to the table
+        assert set(counts) == {(v, q) for v in ("text", "meta") for q in (0, 1)} and min(counts.values()) >= 30
+    assert model.given[2]["meta", 1] > model.given[0]["meta", 1]
+    assert together["p_text"] > by_labels["p_text"] and together["p_quality"] >= by_labels["p_quality"]
+    assert together["p_quality"] > max(together["p_text"], 0.9)  # both views count
+    again = {r.doc_id: r.p_quality for r in cotrain.classify(docs.repartition(2), labels, rounds=3).collect()}
+    assert all(abs(again[i] - r.p_quality) < 1e-8 for i, r in got.items())
+    short = {r.id: (r.p_quality, r.kept) for r in cotrain.decisions(docs, labels).collect()}
+    assert all(abs(short[i][0] - r.p_quality) < 1e-8 and short[i][1] == r.kept for i, r in got.items())
+    assert names == docs.columns
+
+
+def test_pseudo_labels_by_brute_force(spark):
+    docs, labels, _ = pages(spark, 400, 120)
+    names = list(cotrain.VIEW)
+    model = cotrain.trained(cotrain.stored_views(docs, names), labels, "doc_id", "quality", 5000, 0.995, 0)
+    stored = cotrain.stored_views(docs.filter("doc_id >= 120"), ["doc_id", "text", "lang", "source", "n_chars"])
+    at = cotrain.thresholds(stored, model, 0.2)
+    rows = stored.toPandas()
+    x = {"text": cotrain.text_matrix(list(rows.text)), "meta": cotrain.meta_matrix(list(rows.meta))}
+    odds = {"text": model.text.log_odds(x["text"]), "meta": model.meta.log_odds(x["meta"])}
+    good = 1 / (1 + math.exp(-model.prior))
+    found = cotrain.pseudo_labels(stored, model, at).groupby(["to", "label"])
+    for by, to in (("text", "meta"), ("meta", "text")):
+        step = np.floor(odds[by] * cotrain.STEP)
+        for label, chosen, share in ((1, step >= at[by][0], good), (0, step <= at[by][1], 1 - good)):
+            assert chosen.sum() >= math.floor(0.2 * share * len(rows))
+            own = found.get_group((to, label))
+            assert own["n"].sum() == chosen.sum()
+            assert np.allclose((np.stack(list(own["mean"])) * own["n"].to_numpy()[:, None]).sum(axis=0), x[to][chosen].sum(axis=0))
+
+
+def test_classifier_edges(spark):
+    docs, labels, _ = pages(spark, 300, 120)
+    odd = [(None, None, None, None, None), (3, "another text of a labelled id", "en", "x", -5), (7, "x " * 500_000, "en", "x", 10**12), (9, "y" * 3_000_000, None, None, None), (5000, "", "", "", 0)]
+    more = spark.createDataFrame(odd, docs.schema)
+    clash = docs.union(more).union(docs.filter("doc_id = 4")).withColumns({c: F.lit("x") for c in ("p_text", "label", "told_id", "id")})
+    ties = labels.union(labels.limit(10).selectExpr("doc_id", "1 - quality")).union(spark.createDataFrame([(None, 1), (11, None)], labels.schema))
+    got = cotrain.classify(clash, ties)
+    assert set(got.columns) == set(clash.columns) | {"p_meta", "p_quality", "kept"}
+    rows = got.collect()
+    assert len(rows) == 306 and all(0 <= r.p_quality <= 1 for r in rows)
+    assert len({r.p_quality for r in rows if r.doc_id == 4}) == 1
+    assert cotrain.classify(docs, labels.limit(0)).filter("kept").count() == 300
+
+
 def slow_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -193,7 +273,10 @@ def test_preferences(spark):
     got = {r.conv_id: r for r in format_preferences(preference_pairs(df)).collect()}
     assert set(got) == {1, 2, 3, 4, 5, None}
     two = got[2]
-    assert (two.chosen_id, two.rejected_id, two.n_common) == (None, 2, 1)  # null is the least id
+    assert (two.chosen_id, two.rejected_id, two.n_common) == (1, 2, 1)
+    assert (got[None].chosen_id, got[None].rejected_id, got[None].n_common) == (1, None, 1)  # ids come before null
+    assert (got[5].chosen_id, got[5].n_common, got[5].chosen_text, got[5].rejected_text) == (1, 4, "", "")
+    assert (got[1].chosen_id, got[1].rejected_id) == (1, None) and [t.text for t in got[1].rejected] == ["q", "good", "more", "good"]
     for r in got.values():
         chosen, rejected = [(t.role, t.text) for t in r.chosen], [(t.role, t.text) for t in r.rejected]
         n = 0

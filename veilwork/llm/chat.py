@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import saved
+
+#: Groups a shuffle partition over which conversations of one first turn are spread.
+SALTS_PER_PARTITION = 4
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SPANS = "array<struct<start:int,end:int>>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -73,26 +77,38 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     assistant turn is replaced by the assistant turn before it, or left out if
     there is none; ``rejected_id`` is then null.  So each conversation has one
     row.  Repeated turns count once; equal turn numbers are ordered by role and
-    text; a null id is an id like any other.
+    text; a turn without an id is a conversation of its own, after those with
+    ids, and of such ones alike there is one; an empty table gives an empty one.
+
+    Members of a hot first turn are spread over salts, with a copy of the chosen
+    conversation for each salt that has any.
     """
     turn = F.struct("turn", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.sha2(F.to_json(turn).cast("binary"), 256))
     ordered = F.array_sort(F.array_distinct(F.collect_list(turn)))
     plain = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    talks = turns.groupBy("conv_id").agg(plain.alias("turns"))
-    talks = talks.withColumn("first", F.sha2(F.to_json(F.col("turns")[0]).cast("binary"), 256))
-    best = talks.groupBy(F.col("first").alias("of")).agg(F.min(F.struct("conv_id", "turns")).alias("best"))
-    paired = talks.join(best, F.col("first") == F.col("of"))
+    talks = turns.groupBy("conv_id", alone.alias("alone")).agg(plain.alias("turns"))
+    key = F.struct(F.col("conv_id").isNull().alias("last"), "conv_id", "alone")
+    salts = SALTS_PER_PARTITION * int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    talks = talks.select("conv_id", "alone", "turns", F.sha2(F.to_json(F.col("turns")[0], {"ignoreNullFields": "false"}).cast("binary"), 256).alias("first"))
+    talks = saved(talks.withColumn("salt", F.pmod(F.xxhash64("conv_id", "alone"), F.lit(salts)).cast("int")))
+    least = talks.groupBy("first").agg(F.min(key).alias("best")).select(F.col("best.conv_id").alias("chosen_id"), F.col("best.alone").alias("chosen_alone"))
+    is_least = F.col("conv_id").eqNullSafe(F.col("chosen_id")) & F.col("alone").eqNullSafe(F.col("chosen_alone"))
+    chosen = talks.join(least, is_least).select("first", "chosen_id", "chosen_alone", F.col("turns").alias("best_turns"))
+    used = talks.select("first", "salt").distinct()
+    copies = used.join(chosen, "first")
+    paired = talks.join(copies, ["first", "salt"])
 
     own = F.col("turns")
     said = F.filter(F.transform(own, lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
     last, stale = F.try_element_at(said, F.lit(-1)), F.try_element_at(said, F.lit(-2))
     head = F.slice(own, 1, F.coalesce(last, F.size(own)))
     tail = F.when(stale.isNotNull(), F.slice(own, stale + 1, F.lit(1))).otherwise(F.array().cast(TURNS))
-    is_best = F.col("conv_id").eqNullSafe(F.col("best.conv_id"))
+    is_best = F.col("conv_id").eqNullSafe(F.col("chosen_id")) & F.col("alone").eqNullSafe(F.col("chosen_alone"))
     return paired.select(
         "conv_id",
-        F.col("best.conv_id").alias("chosen_id"),
-        F.col("best.turns").alias("chosen"),
+        "chosen_id",
+        F.col("best_turns").alias("chosen"),
         F.when(~is_best, F.col("conv_id")).alias("rejected_id"),
         F.when(is_best, F.concat(head, tail)).otherwise(own).alias("rejected"),
     )
