@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.cotrain import classify
 from veilwork.llm.mixing import mixed
-from veilwork.llm.near_dup import near_duplicates
+from veilwork.llm.near_dup import deduplicated
 from veilwork.llm.packing import pack_documents
 from veilwork.llm.registry import vocabulary
 from veilwork.llm.secrets import redact_secrets
@@ -24,12 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; rows without an id stay as they are, rows of one id and text become one."""
-    found = near_duplicates(docs, percent=80, shingle=5)
-    gone = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(rest.filter("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicate texts stays; texts decide, whatever their ids."""
+    return deduplicated(docs, percent=80, shingle=5).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
