@@ -263,6 +263,35 @@ def test_any_progressive_scan():
     assert abs(got - whole).max() <= 1.01
 
 
+def test_colours_by_brute_force():
+    """Planes by the cosine sums in floating point, chroma repeated, colours by their formula."""
+    payload = np.random.default_rng(7).integers(96, 160, 378 * 6, dtype=np.uint8).tobytes()
+    pic = jpeg.decode(jpeg.store(payload))
+    c = np.array([[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    planes = []
+    for part in pic.parts.values():
+        square = np.zeros((len(part.coef), 64))
+        square[:, jpeg.ZIGZAG] = part.coef * pic.quants[part.quant]
+        blocks = np.clip(np.einsum("bvu,ux,vy->byx", square.reshape(-1, 8, 8), c, c) + 128, 0, 255)
+        plane = blocks.reshape(-1, part.wide, 8, 8).transpose(0, 2, 1, 3).reshape(-1, part.wide * 8)
+        scale = 2 // part.h
+        planes.append(np.kron(plane, np.ones((scale, scale)))[: pic.height, : pic.width])
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)
+    assert (pic.parts[1].h, pic.parts[2].h) == (2, 1)
+    assert abs(jpeg.to_rgb(pic).astype(float) - np.clip(want, 0, 255)).max() <= 4
+
+
+def test_damaged_pictures(spark):
+    good = jpeg.store(bytes(range(64)))
+    frame = lambda h, w, *parts: b"\xff\xd8" + jpeg._HEAD + jpeg._segment(0xC2, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i, hv, 0]) for i, hv in enumerate(parts))) + b"\xff\xd9"
+    bad = [good[:n] for n in (3, 5, 30, 200, len(good) - 2)] + [b"\xff\xd8\xff\xc2", b"\xff\xd8\xff", frame(65535, 65535, 0x11), frame(8, 8, 0x11, 0x11, 0x11, 0x11), frame(8, 8, 0x33, 0x21, 0x11), frame(8, 8, 0x11, 0, 0x11), frame(0, 8, 0x11), b"GIF89a"]
+    rows = [(i, bytearray(x)) for i, x in enumerate([good, *bad])]
+    got = {r.id: r for r in decode_images(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert got[0].error is None and got[0].rgb
+    assert all(got[i + 1].rgb is None and got[i + 1].error for i in range(len(bad)))
+
+
 def test_preferences(spark):
     rows = [
         (1, 0, "user", "q"), (1, 1, "assistant", "good"), (1, 2, "user", "more"), (1, 3, "assistant", "end<|im_end|>"),

@@ -214,16 +214,16 @@ def _ac_refine(part: Component, blocks: np.ndarray, table: Huffman, segments: li
             n += max(run, 1)
 
 
-def decode(data: bytes) -> Picture:
-    """Read all scans of a progressive JPEG into coefficients."""
+def decode(data: bytes, most: int = 0) -> Picture:
+    """Read all scans of a progressive JPEG into coefficients; with ``most``, of that many pixels at most."""
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
     raw = np.frombuffer(data, np.uint8)
     ff = np.flatnonzero(raw[:-1] == 0xFF)
     after = raw[ff + 1]
     ends = ff[(after != 0) & (after != 0xFF) & ((after < 0xD0) | (after > 0xD7))]
     restarts = ff[(after >= 0xD0) & (after <= 0xD7)]
     out, tables, every, at = Picture(), {}, 0, 2
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG")
     while data[at + 1] != 0xD9:
         kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
@@ -246,7 +246,13 @@ def decode(data: bytes) -> Picture:
             for i in range(body[5]):
                 name, hv, q = body[6 + 3 * i : 9 + 3 * i]
                 out.parts[name] = Component(hv >> 4, hv & 15, q)
+            if len(out.parts) not in (1, 3):
+                raise ValueError(f"{len(out.parts)} components are not supported")
             hm, vm = max(c.h for c in out.parts.values()), max(c.v for c in out.parts.values())
+            if not all(0 < c.h <= 4 and 0 < c.v <= 4 and hm % c.h == vm % c.v == 0 for c in out.parts.values()):
+                raise ValueError("the ratio of sampling is not whole")
+            if not out.height or not out.width or (most and out.height * out.width > most):
+                raise ValueError(f"a picture of {out.height} x {out.width} is not supported")
             cols, rows = -(-out.width // (8 * hm)), -(-out.height // (8 * vm))
             for c in out.parts.values():
                 c.wide, c.real = cols * c.h, (-(-(-(-out.height * c.v // vm)) // 8), -(-(-(-out.width * c.h // hm)) // 8))

@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from . import jpeg
 
 
-def decode_images(images: DataFrame, media_col: str = "media") -> DataFrame:
+#: Pixels of a picture that a worker decodes; a header may claim more than its data can fill.
+MAX_PIXELS = 1 << 26
+
+
+def decode_images(images: DataFrame, media_col: str = "media", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """Add ``height, width, rgb`` (row-major bytes of a ``(height, width, 3)`` tensor) and ``error``.
 
-    A null or empty value gives nulls; one that is no progressive JPEG gives
-    nulls and the reason in ``error``; all columns stay, those of these names
-    are replaced; an empty table gives an empty one.
+    A null or empty value gives nulls; whatever cannot be decoded (no progressive
+    JPEG, cut short, damaged, over ``max_pixels``, of other than one or three
+    components or of sampling that is not a whole ratio) gives nulls and the
+    reason in ``error``, and never ends the job; all columns stay, those of these
+    names are replaced; an empty table gives an empty one.
     """
     new = ("height", "width", "rgb", "error")
     kept = images.drop(*new)
@@ -30,9 +36,9 @@ def decode_images(images: DataFrame, media_col: str = "media") -> DataFrame:
                 data = row.column(row.schema.get_field_index(media_col))[0].as_py()
                 try:
                     if data:
-                        tensor = jpeg.to_rgb(jpeg.decode(data))
+                        tensor = jpeg.to_rgb(jpeg.decode(data, max_pixels))
                         h, w, rgb = tensor.shape[0], tensor.shape[1], tensor.tobytes()
-                except (ValueError, IndexError, KeyError) as e:
+                except Exception as e:  # noqa: BLE001 - any damage of one picture is that row's
                     error = str(e) or type(e).__name__
                 extra = [pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([rgb], pa.binary()), pa.array([error], pa.string())]
                 yield pa.RecordBatch.from_arrays([*row.columns, *extra], names=[*row.schema.names, *new])
