@@ -11,6 +11,7 @@ from veilwork.llm import cotrain, jpeg
 from veilwork.llm.chat import format_preferences, harmless, preference_pairs
 from veilwork.llm.cotrain import classify
 from veilwork.llm.media import decode_images, store_texts
+from veilwork.llm import quality_rules as quality_rules_module
 from veilwork.llm.quality_rules import quality_rules, text_statistics
 
 SF = "/root/testdata/sf0.01"
@@ -143,6 +144,56 @@ def test_outliers_go(spark):
     assert again == {r.doc_id: r.distance for r in got}
 
 
+def test_distances_by_brute_force(spark):
+    """The same steps over whole arrays in numpy, group by group."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))
+    rows = [(i, prose(rng.randint(50, 500)) + " #" * rng.choice([0, 0, 3, 30]), rng.choice(["en", "de", None]), rng.choice(["hot", "hot", "rare"])) for i in range(400)]
+    rows += [(1000, prose(80), "fr", "single"), (1001, prose(20), "xx", "failed"), (1002, None, "en", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    x, failed = {}, {}
+    for i, t, *_ in rows:
+        n, chars, *rest = text_statistics(t)
+        w = max(n, 1)
+        v = [math.log1p(n), math.log1p(chars / w), *[math.log1p(100 * k / w) for k in rest]]
+        x[i] = np.array([math.floor(abs(a * quality_rules_module.UNIT) + 0.5) for a in v], float)
+        failed[i] = n < 50 or 100 * rest[2] > 50 * n
+    floor = np.diag((quality_rules_module.FLOOR * quality_rules_module.UNIT) ** 2)
+    scale = quality_rules_module.consistency()
+    far = lambda m, v: float((v - m[0]) @ m[1] @ (v - m[0]))
+
+    def steps(members, model, lent):
+        last = None
+        for _ in range(quality_rules_module.STEPS):
+            step = np.array([math.floor(math.log1p(far(model, v)) * quality_rules_module.UNIT) for v in members])
+            need = math.ceil(len(members) * quality_rules_module.SUBSET)
+            cut = np.sort(step)[need - 1]
+            inner = members[step <= cut]
+            m = [float(len(inner)), inner.sum(axis=0), inner.T @ inner]
+            both = m if lent is None else [a + b for a, b in zip(m, lent, strict=True)]
+            mean = both[1] / both[0]
+            model = mean, np.linalg.inv((both[2] / both[0] - np.outer(mean, mean)) * scale + floor)
+            if last is not None and all(np.array_equal(a, b) for a, b in zip(m, last, strict=True)):
+                break
+            last = m
+        return model, m
+
+    good = np.array([x[i] for i, *_ in rows if not failed[i]])
+    centre = np.median(good, axis=0)
+    mad = np.median(abs(good - centre), axis=0)
+    general, m = steps(good, (centre, np.diag(1 / ((mad * 1.4826) ** 2 + np.diag(floor)))), None)
+    lent = [a * quality_rules_module.BORROWED / m[0] for a in m]
+    models = {}
+    for key in {(r[2], r[3]) for r in rows}:
+        own = np.array([x[r[0]] for r in rows if (r[2], r[3]) == key and not failed[r[0]]])
+        models[key] = steps(own, general, lent)[0] if len(own) else general
+    got = {r.doc_id: r for r in quality_rules(df).collect()}
+    for i, _, lang, source in rows:
+        want = far(models[lang, source], x[i])
+        assert abs(got[i].distance - want) < 1e-6 * max(1, want), i
+        assert got[i].kept == (not failed[i] and want <= quality_rules_module.CUTOFF)
+
+
 def test_pictures_keep_their_bytes():
     for n in (64, 378, 379, 6400, 64 * 9000):
         payload = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()

@@ -4,9 +4,11 @@ Statistics of each text become a vector of logarithms.  For every language and
 source the minimum covariance determinant is approached by concentration steps
 over *all* rows: distances are summed into a histogram with the moments of each
 step of it, the histogram is cut where ``SUBSET`` of the rows lie below, and
-the moments below the cut are the next centre and covariance.  A document far
-from its group's centre is rejected.  Vectors are fixed-point integers, so sums
-are exact and reruns agree.
+the moments below the cut are the next centre and covariance, until they stay.
+The whole table is estimated first; each group begins there and counts it as
+``BORROWED`` rows of its own, so groups of any size, one row included, are
+judged alike.  A document far from its group's centre is rejected.  Vectors are
+fixed-point integers, so sums are exact and reruns agree.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from .shared import parts, saved
 
 #: Steps of a logarithm's unit, and of the logarithm of a distance.
 UNIT = 64
-#: Share of a group that the estimate concentrates on, and concentration steps.
-SUBSET, STEPS = 0.75, 4
-#: Smaller groups are estimated together.
-LEAST_GROUP = 50
+#: Share of a group that the estimate concentrates on, and concentration steps at most.
+SUBSET, STEPS = 0.75, 8
+#: Rows of its own that a group counts the whole table as.
+BORROWED = 50
 #: Least standard deviation of each statistic, in logarithms: what never varies in a group may still vary a little.
 FLOOR = np.array([0.5, 0.15, 0.5, 0.5, 0.5])
 #: Squared distance beyond which a document is rejected: 5 in 10 billion of a normal sample.
@@ -90,19 +92,18 @@ def squared_distance(centre: str, inverse: str) -> Column:
     return sum((d[i] * d[j] * F.col(inverse)[k] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def inverted(moments: DataFrame, scale: float) -> DataFrame:
-    """Centre and inverse covariance of each group, from its moments."""
+def inverted(moments: DataFrame, scale: float, lent: np.ndarray | None = None) -> DataFrame:
+    """Centre and inverse covariance of each group, from its moments and those that it is ``lent``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = np.diag((FLOOR * UNIT) ** 2)
         for f in frames:
             centres, inverses = [], []
-            for row in f[MOMENTS].to_numpy(dtype=object):
-                n, s = row[0], np.array(row[1 : 1 + P], dtype=float) / row[0]
-                cov = np.zeros((P, P))
+            for row in f[MOMENTS].to_numpy(dtype=float):
+                row = row if lent is None else row + lent
+                s, cov = row[1 : 1 + P] / row[0], np.zeros((P, P))
                 for (i, j), c in zip(PAIRS, row[1 + P :], strict=True):
-                    exact = (n * c - row[1 + i] * row[1 + j]) / (n * n)  # of integers
-                    cov[i, j] = cov[j, i] = float(exact)
+                    cov[i, j] = cov[j, i] = c / row[0] - s[i] * s[j]
                 found = np.linalg.inv(cov * scale + floor)
                 centres.append(s)
                 inverses.append([found[i, j] for i, j in PAIRS])
@@ -123,6 +124,20 @@ def subset_moments(rows: DataFrame, distance: Column) -> DataFrame:
     return running.filter((F.col("n") >= F.col("need")) & (F.col("n") - F.col("own") < F.col("need"))).select("grp", *MOMENTS)
 
 
+def concentrated(rows: DataFrame, model: DataFrame, scale: float, lent: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
+    """The model of each group and the moments it comes from, after steps until no moment changes."""
+    mark = None
+    for _ in range(STEPS):
+        near = rows.join(model, F.col("grp") == F.col("of"))
+        moments = saved(subset_moments(near, squared_distance("centre", "inverse")))
+        model = saved(inverted(moments, scale, lent))
+        now = moments.agg(F.sum(F.pmod(F.xxhash64("grp", *MOMENTS), F.lit(2**40)))).first()[0]
+        if now == mark:
+            break
+        mark = now
+    return model, moments
+
+
 def consistency() -> float:
     """What the covariance of the inner part of a normal sample must be multiplied by."""
     x = np.random.default_rng(5).chisquare(P, 400_000)
@@ -144,32 +159,38 @@ def quality_rules(
     n_repeat_words, base_failed, distance, kept``, one row an input row.
     ``base_failed``: under 50 words, or over half of them in repeated windows.
     Estimates are over the rows that do not fail, by language and source, nulls
-    being a value; groups of under 50 rows are estimated together, and if even
-    they are under 50, ``distance`` is null and the row is kept.  A null text has
-    no words; an empty table gives an empty one; other columns are not read.
+    being a value; a row of a group without any has the whole table's, and
+    without those a null ``distance``, which keeps it.  A null text has no words;
+    an empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     every = statistics(rows).withColumn("base_failed", failed).withColumn("own", F.to_json(F.struct("lang", "source")))
     every = saved(every.select("*", *vector()))
-    large = saved(every.filter(~F.col("base_failed")).groupBy(F.col("own").alias("large")).count().filter(F.col("count") >= LEAST_GROUP).select("large"))
-    placed = every.join(large, F.col("own") == F.col("large"), "left").withColumn("grp", F.coalesce("large", F.lit(""))).drop("own", "large", "lang", "source")
-    good = placed.filter(~F.col("base_failed"))
+    good = every.filter(~F.col("base_failed"))
 
     names = [f"x{i}" for i in range(P)]
-    middle = saved(good.groupBy("grp").agg(F.array(*[F.percentile(c, F.lit(0.5)) for c in names]).alias("centre"), F.count("*").alias("size")))
-    middle = middle.filter(F.col("size") >= LEAST_GROUP).select(F.col("grp").alias("of"), "centre")
+    middle = saved(good.agg(F.array(*[F.percentile(c, F.lit(0.5)) for c in names]).alias("centre")))
+    if middle.first()["centre"][0] is None:
+        return every.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.lit(None).cast("double").alias("distance"), (~F.col("base_failed")).alias("kept"))
+    whole = good.withColumn("grp", F.lit(""))
+    at = middle.select(F.lit("").alias("of"), "centre")
     off = [F.percentile(F.abs(F.col(c) - F.col("centre")[i]), F.lit(0.5)) for i, c in enumerate(names)]
-    spread = good.join(middle, F.col("grp") == F.col("of")).groupBy("grp").agg(F.array(*off).alias("mad"))
+    spread = whole.join(at, F.col("grp") == F.col("of")).agg(F.array(*off).alias("mad"))
     variance = [F.pow(F.col("mad")[i] * 1.4826, 2.0) + float((FLOOR[i] * UNIT) ** 2) for i in range(P)]
     diagonal = F.array(*[(1.0 / variance[i] if i == j else F.lit(0.0)) for i, j in PAIRS])
-    model = saved(spread.select("grp", diagonal.alias("inverse")).join(middle, F.col("grp") == F.col("of")).select("of", "centre", "inverse"))
+    start = saved(spread.select(F.lit("").alias("at"), diagonal.alias("inverse")).join(at, F.col("at") == F.col("of")).select("of", "centre", "inverse"))
     scale = consistency()
-    for _ in range(STEPS):
-        near = good.join(model, F.col("grp") == F.col("of"))
-        model = saved(inverted(subset_moments(near, squared_distance("centre", "inverse")), scale))
-
-    judged = placed.join(model, F.col("grp") == F.col("of"), "left").withColumn("distance", squared_distance("centre", "inverse"))
+    general, moments = concentrated(whole, start, scale, None)
+    row = moments.select(*MOMENTS).first()
+    lent = np.array([float(v) for v in row]) * (BORROWED / float(row["n"]))
+
+    begin = good.select(F.col("own").alias("of")).distinct().join(general.select("centre", "inverse"))  # one row of the whole table's
+    model, _ = concentrated(good.withColumn("grp", F.col("own")), saved(begin), scale, lent)
+    fallback = general.select(F.col("centre").alias("centre_"), F.col("inverse").alias("inverse_"))  # one row
+    placed = every.drop("lang", "source").join(model, F.col("own") == F.col("of"), "left").join(fallback)
+    placed = placed.withColumn("centre", F.coalesce("centre", "centre_")).withColumn("inverse", F.coalesce("inverse", "inverse_"))
+    judged = placed.withColumn("distance", squared_distance("centre", "inverse"))
     inside = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     kept = ~F.col("base_failed") & inside
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
