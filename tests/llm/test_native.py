@@ -6,7 +6,7 @@ from collections import defaultdict
 import duckdb
 from pyspark.sql import functions as F
 
-from veilwork.llm import mixing, registry, urls
+from veilwork.llm import chat, mixing, registry, urls
 from veilwork.llm.mixing import mix_sources, mixed
 from veilwork.llm.secrets import BASE_RULES, MORE_RULES, Rule, candidates, postings, python_pattern, scan_secrets, redact_secrets, secret_columns, selective, trigram_query, trigrams_in
 from veilwork.llm.urls import filter_urls, rule_table
@@ -16,14 +16,14 @@ SF = "/root/testdata/sf0.001"
 
 def sql_rows(sql):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = con.execute(sql)
     return [d[0] for d in got.description], got.fetchall()
 
 
 def test_sql(spark):
-    for name, sql in ((mixing.ORACLE_SQL, "op5_mixing"), (urls.ORACLE_SQL, "op7_url_filter")):
+    for name, sql in ((mixing.ORACLE_SQL, "op5_mixing"), (urls.ORACLE_SQL, "op7_url_filter"), (chat.ORACLE_SQL, "op10_preferences")):
         names, want = sql_rows(name)
         df = registry.queries()[sql](spark, SF).select(*names)
         flat = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in [tuple("" if x is None else x for x in r) for r in rows])

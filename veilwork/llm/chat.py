@@ -112,3 +112,45 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
         F.when(~is_best, F.col("conv_id")).alias("rejected_id"),
         F.when(is_best, F.concat(head, tail)).otherwise(own).alias("rejected"),
     )
+
+
+def preference_rows(turns: DataFrame) -> DataFrame:
+    """The formatted pairs of a table of turns, with their loss spans as text."""
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    made = format_preferences(preference_pairs(turns)).drop("chosen", "rejected")
+    return made.withColumns({c: text(c) for c in ("chosen_loss", "rejected_loss")})
+
+
+def _sql_parts(turns: str) -> tuple[str, str]:
+    """SQL for the rendering of a list of turns, and for its loss spans."""
+    safe = lambda c: f"replace(coalesce({c}, ''), '<|', concat('<', chr(8203), '|'))"
+    one = lambda t: f"concat('{OPEN}', {safe(t + '.role')}, chr(10), {safe(t + '.text')}, '<|im_end|>', chr(10))"
+    text = f"coalesce(array_to_string(list_transform({turns}, lambda t: {one('t')}), ''), '')"
+    before = f"coalesce(list_sum(list_transform({turns}[1:i - 1], lambda t: length({one('t')}))), 0)"
+    begin = f"({before} + {len(OPEN) + 1} + length({safe(f'{turns}[i].role')}))"
+    end = f"({begin} + length({safe(f'{turns}[i].text')}) + {len(CLOSE) - 1})"
+    said = f"list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant')"
+    return text, f"coalesce(array_to_string(list_transform({said}, lambda i: concat(CAST({begin} AS BIGINT), ':', CAST({end} AS BIGINT))), ','), '')"
+
+
+_PROMPT = _sql_parts("common")[0]
+_CHOSEN, _CHOSEN_LOSS = _sql_parts("rest_a")
+_REJECTED, _REJECTED_LOSS = _sql_parts("rest_b")
+ORACLE_SQL = f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+talks AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM t GROUP BY conv_id),
+firsts AS (
+  SELECT conv_id, turns, min(conv_id) OVER (PARTITION BY turns[1].role, turns[1].text) AS best,
+         list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS said FROM talks),
+paired AS (
+  SELECT f.conv_id, f.best AS chosen_id, CASE WHEN f.conv_id <> f.best THEN f.conv_id END AS rejected_id, b.turns AS a,
+         CASE WHEN f.conv_id <> f.best THEN f.turns
+              ELSE list_concat(f.turns[1:coalesce(f.said[-1] - 1, len(f.turns))], CASE WHEN len(f.said) > 1 THEN [f.turns[f.said[-2]]] ELSE [] END) END AS b
+  FROM firsts f JOIN talks b ON b.conv_id = f.best),
+counted AS (
+  SELECT *, CAST(coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, len(a)) AS INTEGER) AS n_common FROM paired),
+parted AS (SELECT *, a[1:n_common] AS common, a[n_common + 1:] AS rest_a, b[n_common + 1:] AS rest_b FROM counted)
+SELECT conv_id, chosen_id, rejected_id, n_common, {_PROMPT} AS prompt, {_CHOSEN} AS chosen_text, {_CHOSEN_LOSS} AS chosen_loss,
+       {_REJECTED} AS rejected_text, {_REJECTED_LOSS} AS rejected_loss FROM parted
+"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, urls
+from . import chat, mixing, secrets, urls
 from .bpe import count_tokens
-from .chat import format_preferences, preference_pairs
+from .chat import preference_rows
 from .cotrain import decisions
 from .media import store_texts
 from .mixing import mix_sources
@@ -65,7 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(preference_pairs(table(spark, sf_dir, "conversations"))).drop("chosen", "rejected")
+    return preference_rows(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = (op1_quality_classifier, op2_packing, op3_token_counts, op4_near_duplicates, op5_mixing, op6_secrets, op7_url_filter, op8_media, op9_quality_rules, op10_preferences)
@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_secrets": secrets.oracle_sql(), "op7_url_filter": urls.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_secrets": secrets.oracle_sql(), "op7_url_filter": urls.ORACLE_SQL, "op10_preferences": chat.ORACLE_SQL}
