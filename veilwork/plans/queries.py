@@ -103,7 +103,41 @@ def find_email_offsets(spark, sf_dir):
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("nth"), cut(F.col("text"), F.col("span")).alias("value"), F.col("span.start").alias("start_at"))
 
 
-@query(None)
+def _masked_sql() -> str:
+    """Masking as SQL, for the kinds that occur in the texts: their matches, resolved one by one in order, numbered, put in."""
+    kinds = [(n, i) for n in ("email", "email_spoken", "birth", "card", "date", "url", "ip") for i in range(len(BY_NAME[n].patterns))]
+    found = []
+    for name, i in kinds:
+        r = BY_NAME[name]
+        rx, score = r.patterns[i]
+        rx = "(?i)" + rx.replace("'", "''").replace(r"[\w", r"[\p{L}\p{M}\p{N}_")
+        base = mask.PLACEHOLDERS.get(r.entity, mask.OTHER)
+        found.append(f"""SELECT doc_id, '{r.entity}' AS kind, '{base}' AS base, {score} AS score, {list(BY_NAME).index(name)} AS nth,
+          regexp_extract_all(text, '{rx}') AS m, string_split_regex(text, '{rx}') AS g FROM documents WHERE regexp_matches(text, '{rx}')""")
+    return f"""
+  WITH RECURSIVE found AS ({" UNION ALL ".join(found)}),
+  each_ AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+  spans AS (
+    SELECT doc_id, kind, base, score, nth, m[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b FROM each_),
+  ordered AS (SELECT *, b + length(v) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(v) DESC, b, nth) AS k FROM spans),
+  walk AS (
+    SELECT doc_id, k, [{{'b': b, 'e': e, 'k': k}}] AS kept FROM ordered WHERE k = 1
+    UNION ALL
+    SELECT w.doc_id, o.k, CASE WHEN len(list_filter(w.kept, lambda x: x.b < o.e AND o.b < x.e)) > 0 THEN w.kept ELSE list_append(w.kept, {{'b': o.b, 'e': o.e, 'k': o.k}}) END
+    FROM walk w JOIN ordered o ON o.doc_id = w.doc_id AND o.k = w.k + 1),
+  chosen AS (SELECT doc_id, unnest(kept).k AS k FROM (SELECT doc_id, kept, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS r FROM walk) t WHERE r = 1),
+  named AS (
+    SELECT o.*, CASE WHEN row_number() OVER base_ = 1 THEN base ELSE concat(rtrim(base, '>'), '_', CAST(row_number() OVER base_ AS VARCHAR), '>') END AS name, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before
+    FROM ordered o JOIN chosen c USING (doc_id, k) WINDOW base_ AS (PARTITION BY doc_id, base ORDER BY b)),
+  joined AS (
+    SELECT n.doc_id, concat(string_agg(concat(substr(text, CAST(before + 1 AS BIGINT), CAST(b - before AS BIGINT)), name), '' ORDER BY b), substr(any_value(text), CAST(max(e) + 1 AS BIGINT))) AS anonymized,
+      concat('[', string_agg(concat('{{"entity_type":"', kind, '","start":', b, ',"end":', e, ',"score":', CAST(score AS DOUBLE), ',"value":', CAST(to_json(v) AS VARCHAR), '}}'), ',' ORDER BY b), ']') AS entities_found,
+      concat('{{', string_agg(concat('"', name, '":', CAST(to_json(v) AS VARCHAR)), ',' ORDER BY b), '}}') AS mapping
+    FROM named n JOIN documents d ON d.doc_id = n.doc_id GROUP BY n.doc_id)
+  SELECT d.doc_id, coalesce(anonymized, text) AS anonymized, coalesce(entities_found, '[]') AS entities_found, coalesce(mapping, '{{}}') AS mapping FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id"""
+
+
+@query(_masked_sql())
 def mask_documents(spark, sf_dir):
     """The flagship: every document masked, with its entities and mapping."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
