@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
 from . import chat, mixing, secrets, urls
 from .bpe import count_tokens
 from .chat import preference_rows
@@ -28,20 +29,25 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work in Python; one small file is dealt out to all cores first."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+    return decisions(documents(spark, sf_dir), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return pack_documents(documents(spark, sf_dir), vocabulary())
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
+    return count_tokens(documents(spark, sf_dir), vocabulary())
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=80, shingle=4)
+    return near_duplicates(documents(spark, sf_dir), percent=80, shingle=4)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +63,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_texts(table(spark, sf_dir, "documents"))
+    return store_texts(documents(spark, sf_dir))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(documents(spark, sf_dir))
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
