@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +21,23 @@ def _json(c: str) -> Column:
     return mask_json(F.nullif(F.col(c), F.lit("")))
 
 
+def _each(columns: tuple[str, ...], mask: Callable[[Column], Column]) -> Column:
+    """The results of several fields in one array, so that the plan holds the expression once."""
+    return F.transform(F.array(*[F.nullif(F.col(c), F.lit("")) for c in columns]), lambda c: mask(c))
+
+
 def _entities(*results: str) -> Column:
     return F.concat(*[F.coalesce(F.col(f"{r}.entities_found"), no_spans(ENTITY)) for r in results])
 
 
+TEXTS, JSONS = ("name", "email", "phone"), ("additional_attributes", "custom_attributes")
+
+
 def mask_contacts(contacts: DataFrame) -> DataFrame:
     """``contact_id, contact``: masked fields and the entities of name, e-mail, phone and both JSON columns, in that order."""
-    done = contacts.select(
-        F.col("id").alias("contact_id"),
-        *[_field(c).alias(f"r_{c}") for c in ("name", "email", "phone")],
-        *[_json(c).alias(f"r_{c}") for c in ("additional_attributes", "custom_attributes")],
-    )
-    names = ("name", "email", "phone", "additional_attributes", "custom_attributes")
+    done = contacts.select(F.col("id").alias("contact_id"), _each(TEXTS, anonymize).alias("r_text"), _each(JSONS, mask_json).alias("r_json"))
+    done = done.select("contact_id", *[F.col(r)[i].alias(f"r_{c}") for r, names in (("r_text", TEXTS), ("r_json", JSONS)) for i, c in enumerate(names)])
+    names = (*TEXTS, *JSONS)
     fields = [F.col(f"r_{c}.anonymized").alias(c) for c in names]
     return done.select("contact_id", F.struct(F.col("contact_id").alias("id"), *fields, _entities(*[f"r_{c}" for c in names]).alias("entities_found")).alias("contact"))
 
@@ -69,7 +76,8 @@ def assemble(conversations: DataFrame, contacts: DataFrame, messages: DataFrame,
     if ids is not None:
         conversations = conversations.join(ids.select("id").distinct(), "id", "left_semi")
         messages = messages.join(ids.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi")
-    own = conversations.select("id", "contact_id", "uuid", "display_id", _field("identifier").alias("r_identifier"), *[_json(c).alias(f"r_{c}") for c in ("additional_attributes", "custom_attributes")])
+    own = conversations.select("id", "contact_id", "uuid", "display_id", _field("identifier").alias("r_identifier"), _each(JSONS, mask_json).alias("r_json"))
+    own = own.select("*", *[F.col("r_json")[i].alias(f"r_{c}") for i, c in enumerate(JSONS)]).drop("r_json")
     joined = own.join(mask_contacts(contacts), "contact_id", "left").join(ordered_messages(mask_messages(messages)), F.col("id") == F.col("conversation_id"), "left")
     total = F.size(_entities("r_identifier", "r_additional_attributes", "r_custom_attributes")) + F.coalesce(F.size("contact.entities_found"), F.lit(0)) + F.coalesce(F.col("n_entities"), F.lit(0))
     return joined.select(
