@@ -309,7 +309,7 @@ def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: i
     members = saved(placed.join(stars, "bucket"))
 
     involved = saved(members.select("same").distinct().join(classes.select("same", "at"), "same").select("same", F.col("at.id").alias("at_id"), F.col("at.tag").alias("tag")))
-    bits = saved(key_filter(involved.select(F.xxhash64("at_id", "tag").alias("key")))).scalar()  # so that few other texts are shuffled
+    bits = saved(key_filter(involved.select(F.xxhash64("at_id", "tag").alias("key")), involved.count())).scalar()  # so that few other texts are shuffled
     asked = involved.select("at_id", F.col("tag").alias("at_tag"))
     some = rows.filter(may_hold(bits, F.xxhash64("id", "tag"))).join(asked, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("tag") == F.col("at_tag")), "left_semi")
     sets = saved(shingle_sets(some, shingle).groupBy("same").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes")))

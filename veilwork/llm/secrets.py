@@ -243,8 +243,8 @@ def scan_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, text_col:
     kind = "array<struct<start:int,nth:int,kind:string,end:int>>"
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     index = saved(postings(docs.select(F.col(f"`{text_col}`")), trigrams, text_col))
-    found = candidates(index, queries).select(_spot(F.col("document"), F.col("rule")).alias("key"))
-    bits = saved(key_filter(found)).scalar()
+    found = saved(candidates(index, queries).select(_spot(F.col("document"), F.col("rule")).alias("key")))
+    bits = saved(key_filter(found, found.count())).scalar()
     document, asked = F.xxhash64(text), fresh(docs, "asked")
     flags = [F.lit(True) if q is True else may_hold(bits, _spot(document, F.lit(i))) for i, q in enumerate(queries)]
     spans = [F.when(F.col(asked)[i], found_spans(text, r, i)).otherwise(F.array().cast(kind)) for i, r in enumerate(rules)]

@@ -17,8 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch that a Python worker unpacks at a time, entries of what it remembers, and rows of a batch.
 BATCH_BYTES, MEMORY, BATCH_ROWS = 1_000_000, 100_000, 2000
 
-#: Words of 64 bits in a filter of keys (1 MB), whatever the number of keys.
-FILTER_WORDS = 1 << 17
+#: Words of 64 bits in a filter of keys, at least and at most (8 KB to 32 MB); between, 16 bits a key.
+FILTER_LEAST, FILTER_MOST = 1 << 10, 1 << 22
 
 _held: dict[str, dict] = {}
 
@@ -81,24 +81,63 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def key_filter(keys: DataFrame) -> DataFrame:
-    """One row with ``bits``: a Bloom filter of the column ``key`` (long), of the same size for any table.
+def filter_words(n: int) -> int:
+    """Words of 64 bits of a filter for ``n`` keys: 16 bits a key or more, a power of two, at most ``FILTER_MOST``."""
+    return min(FILTER_MOST, max(FILTER_LEAST, 1 << max(0, n * 16 // 64 - 1).bit_length()))
 
-    It goes to the rows that are asked for instead of a join with all keys; with
-    more keys it lets more through in error, but never leaves out a key.
+
+def _filter_rows(keys: DataFrame, words: int) -> DataFrame:
+    """``word, set``: the words of a Bloom filter of the column ``key`` (long) that are not 0."""
+    spots = keys.select(F.explode(F.array(*[F.pmod(k, F.lit(words * 64)) for k in (F.col("key"), _second(F.col("key")))])).alias("spot"))
+    return spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot % 64 AS INT))")).alias("set"))
+
+
+def _second(key: Column) -> Column:
+    """Other bits of a key for its second place in a filter."""
+    return F.call_function("shiftrightunsigned", key, F.lit(27))
+
+
+def key_filter(keys: DataFrame, n: int) -> DataFrame:
+    """One row with ``bits``: a Bloom filter of ``n`` keys, the column ``key`` (long).
+
+    It goes to the rows that are asked for instead of a join with all keys; it
+    may let more through in error, but never leaves out a key.  Its size follows
+    the number of keys up to ``FILTER_MOST``.
     """
-    spots = keys.select(F.pmod(F.col("key"), F.lit(FILTER_WORDS * 64)).alias("spot"))
-    words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot % 64 AS INT))")).alias("set"))
-    every = keys.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "word").join(words, "word", "left")
+    words = filter_words(n)
+    every = keys.sparkSession.range(words).withColumnRenamed("id", "word").join(_filter_rows(keys, words), "word", "left")
     ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
-    return every.agg(F.transform(ordered, lambda w: w["set"]).alias("bits"))  # FILTER_WORDS numbers
+    return every.agg(F.transform(ordered, lambda w: w["set"]).alias("bits"))  # a bounded number of words
 
 
 def may_hold(bits: Column, key: Column) -> Column:
     """Whether a filter's ``bits`` have a key; true for all of its keys and a few others."""
-    spot = F.pmod(key, F.lit(FILTER_WORDS * 64))
-    word = F.get(bits, F.shiftright(spot, 6).cast("int"))
-    return F.call_function("shiftright", word, F.pmod(spot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0
+
+    def one(k: Column) -> Column:
+        spot = F.pmod(k, F.size(bits).cast("long") * 64)
+        word = F.get(bits, F.shiftright(spot, 6).cast("int"))
+        return F.call_function("shiftright", word, F.pmod(spot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0
+
+    return one(key) & one(_second(key))
+
+
+def filter_bits(keys: DataFrame, n: int) -> np.ndarray:
+    """The same filter as an array for tasks in Python; at most ``FILTER_MOST`` words reach the driver."""
+    words = filter_words(n)
+    found = _filter_rows(keys, words).toArrow()
+    out = np.zeros(words, dtype=np.uint64)
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
+    return out
+
+
+def has_key(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64-bit integers) the filter may hold."""
+    size = np.int64(len(bits) * 64)
+    keep = np.ones(len(keys), dtype=bool)
+    for k in (keys, (keys.view(np.uint64) >> np.uint64(27)).view(np.int64)):
+        spot = (k % size).astype(np.uint64)  # as pmod: never negative
+        keep &= (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) != 0
+    return keep
 
 
 def fresh(df: DataFrame, name: str) -> str:
