@@ -31,6 +31,24 @@ def test_merging_equals_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in table.encode(texts)] == want
 
 
+def test_every_character_is_split_like_the_library_does():
+    table, library = MergeTable(PATH), Tokenizer.from_file(PATH)
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)}." for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    for b in range(0, len(texts), 20_000):
+        part = texts[b : b + 20_000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
+        wrong = [t for t, got, own in zip(part, table.encode(part), want, strict=True) if got != own]
+        assert not wrong
+
+
+def test_random_texts_of_all_scripts():
+    table, library = MergeTable(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(7)
+    texts = ["".join(chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x30000), rng.randrange(0x20, 0x250)])) for _ in range(12)) for _ in range(30_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, got, own in zip(texts, table.encode(texts), want, strict=True) if got != own] == []
+
+
 def test_counts(docs):
     library = Tokenizer.from_file(PATH)
     got = {r.doc_id: r for r in count_tokens(docs, PATH, limit=100).collect()}

@@ -133,14 +133,14 @@ class MergeTable:
         return {c: by_word[c] for c in whole} | {c: b"".join([by_word[w] for w in p]) for c, p in parts.items()}
 
     def chunks(self, text: str | None) -> list[str] | None:
-        """What lies between white space, normalised like the library does; None if a special string or a recent mark is in it."""
+        """What lies between white space, normalised like the library does; None if a special string, a recent mark or an unassigned character is in it."""
         if not text:
             return []
         if any(s in text for s in self.special):
             return None
         if not self.odd(text):
             return text.lower().split()
-        if self.new_marks(text):
+        if self.new_marks(text) or any(unicodedata.category(c) == "Cn" for c in set(text)):  # letters to one library may be nothing to another
             return None
         normal = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # a capital sigma has one lower case, also at the end of a word
         return [c for c in self.spaces(normal.lower()) if c]
