@@ -153,10 +153,9 @@ def family(spark, words, members, pairs):
     return list(zip(sorted(r.id for r in ids), map(" ".join, pages), strict=True))
 
 
-@pytest.mark.parametrize("block, pairs", [(1000, 8), (30, 2)])
-def test_pairs_within_a_template_family(spark, monkeypatch, block, pairs):
-    monkeypatch.setattr(near_dup, "BLOCK", block)
-    monkeypatch.setattr(near_dup, "PAIRS", pairs)
+@pytest.mark.parametrize("counters", [1 << 22, 64])
+def test_pairs_within_a_template_family(spark, monkeypatch, counters):
+    monkeypatch.setattr(near_dup, "COUNTERS", counters)  # with few of them, rare shingles are hardly known
     rows = family(spark, 600, 200, 40)
     want, _ = brute(rows, 80, 5)
     assert 100 < len(set(want.values())) < 200
@@ -164,15 +163,27 @@ def test_pairs_within_a_template_family(spark, monkeypatch, block, pairs):
     assert {r.doc_id: r.component_id for r in near_duplicates(df, 80, 5).collect()} == want
 
 
-@pytest.mark.parametrize("percent", [50, 80, 100])
-def test_sketches_exclude_no_similar_pair(percent):
+@pytest.mark.parametrize("percent, counters", [(50, 1 << 22), (80, 1 << 22), (80, 256), (100, 1 << 22)])
+def test_index_leaves_out_no_similar_pair(spark, monkeypatch, percent, counters):
+    monkeypatch.setattr(near_dup, "COUNTERS", counters)
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**64, 3000, dtype=np.uint64)
     sets = [np.unique(rng.choice(pool[: rng.choice([1, 3, 40, 3000])], rng.integers(1, 900))) for _ in range(80)]
     sets += [np.unique(rng.choice(s, max(1, len(s) - 3), replace=False)) for s in sets]
-    n = np.array([len(s) for s in sets])
-    left, right, _ = near_dup.possible(n, np.arange(len(n)), np.zeros(len(n), int), [near_dup.sketch(s) for s in sets], percent)
-    found = {*zip(left.tolist(), right.tolist(), strict=True)}
+    rows = [(bytes([i]), bytes([min(i, 100)]), len(s), s.tobytes()) for i, s in enumerate(sets)]  # the last ones are one component
+    active = spark.createDataFrame(rows, "same binary, component binary, size long, hashes binary").repartition(3)
+    found = [(r.a[0], r.b[0]) for r in near_dup.indexed_pairs(active, percent).collect()]
+    assert len(found) == len(set(found)) and all(a < b and a < 100 for a, b in found)
     for a, b in itertools.combinations(range(len(sets)), 2):
         common = len(np.intersect1d(sets[a], sets[b]))
-        assert 100 * common < percent * (n[a] + n[b] - common) or (a, b) in found
+        similar = 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common)
+        assert not similar or a >= 100 or (a, b) in found
+
+
+def test_pages_of_one_template_do_not_meet(spark):
+    rng = np.random.default_rng(2)
+    template = rng.integers(0, 2**64, 700, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([template, rng.integers(0, 2**64, 300, dtype=np.uint64)])) for _ in range(400)]
+    rows = [(i.to_bytes(2, "big"), i.to_bytes(2, "big"), len(s), s.tobytes()) for i, s in enumerate(sets)]
+    active = spark.createDataFrame(rows, "same binary, component binary, size long, hashes binary")
+    assert near_dup.indexed_pairs(active, 80).count() == 0

@@ -4,12 +4,11 @@ One hash of every shingle fills all bins: its upper bits choose the bin, the
 least value of a bin is kept, and empty bins borrow from others by the optimal
 densification.  Bands of bins make buckets; each bucket proposes a star, its
 least text against each other, so candidates grow with the bucket and not its
-square.  Candidates are confirmed on full shingle sets.  A bucket whose texts
-do not all end in one component is searched whole, so that every pair that
-shares a band is tried or connected: a sketch gives a bound on the similarity
-of each pair of different components, and those that it does not exclude are
-confirmed.  A text gives a bounded number of pairs a round, those of the best
-bounds; a bucket is done once no text in it had more.
+square.  Candidates are confirmed on full shingle sets.  The texts of buckets
+that do not end in one component meet once more, so that every pair that shares
+a band is tried or connected: in an inverted index of each text's rarest
+shingles, as many as one of two similar texts must share.  It makes pairs of
+different components only, and those that fit are confirmed.
 
 Texts of equal words are one class, named by a digest of its words.  All search
 is over classes; rows come back in only at the end, so copies cost one row each.
@@ -20,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,10 +30,8 @@ from .shared import key_filter, may_hold, memory, parts, saved
 #: Bands and bins of each: a pair at 0.8 misses all of them once in 15,000 times.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Classes of a bucket that a group compares, with as many others at most.
-BLOCK = 500
-#: Pairs that a class gives in a bucket's first round, and the factor of each further round.
-PAIRS = 16
+#: Bytes at most of the table that tells common shingles from rare ones.
+COUNTERS = 1 << 22
 #: Longer words are not remembered by a worker.
 LONG_WORD = 64
 
@@ -169,128 +165,80 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the counts of hashes by their low bits; the bits are a power of two, four times the hashes or more."""
-    bits = 1 << max(64, 4 * len(hashes) - 1).bit_length()
-    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+def commonness(sets: DataFrame, total: int) -> np.ndarray:
+    """For hashes by their low bits, how common they are: 0 for one occurrence at most, then the logarithm of the count.
 
-
-def sketches(sets: DataFrame) -> DataFrame:
-    """``same, size, hashes`` to ``id, size, sketch``."""
+    The table follows the ``total`` number of hashes up to ``COUNTERS`` bytes; a
+    fuller one only orders hashes less well.
+    """
+    size = min(COUNTERS, 1 << max(10, int(total).bit_length() + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 2):
-                found = [sketch(np.frombuffer(x, np.uint64)) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, pa.binary())], names=["id", "size", "sketch"])
-
-    return sets.select("same", "size", "hashes").mapInArrow(run, "id binary, size long, sketch binary")
-
-
-def folded(sketched: list[bytes], size: int) -> np.ndarray:
-    """Sketches of ``size`` bytes, where longer ones are folded to that; rows of shorter ones stay empty."""
-    out = np.zeros((len(sketched), size // 8), dtype=np.uint64)
-    lengths = np.fromiter(map(len, sketched), np.int64, len(sketched))
-    for n in np.unique(lengths[lengths >= size]):
-        at = np.flatnonzero(lengths == n)
-        bits = np.frombuffer(b"".join([sketched[i] for i in at]), dtype=np.uint64)
-        out[at] = np.bitwise_xor.reduce(bits.reshape(len(at), n // size, size // 8), axis=1)
+            for part in parts(batch, 0):
+                own = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64)
+                spot, n = np.unique((own & np.uint64(size - 1)).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(n, pa.int64())], names=["spot", "n"])
+
+    counts = sets.select("hashes").mapInArrow(run, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n"))
+    found = counts.filter("n > 1").select("spot", F.ceil(F.log2("n")).cast("long").alias("n")).toArrow()  # COUNTERS rows at most
+    out = np.zeros(size, dtype=np.uint8)
+    out[found.column("spot").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def possible(n: np.ndarray, component: np.ndarray, side: np.ndarray, sketched: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different components that may be similar enough, and the bounds of their distance.
+def prefixes(active: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """``token, same, component, n, at``: the rarest hashes of each set, as many as one of two similar sets must share.
 
-    Sets differ in at least as many shingles as their sketches in bits, so no
-    pair that is similar enough is left out.  With two sides, pairs are across.
+    A set that shares ``percent`` of the union shares that share of its own
+    hashes, so of the others plus one, taken in any order that holds for all
+    sets, one is shared.  Hashes that occur once are passed over.
     """
-    lengths = np.fromiter(map(len, sketched), np.int64, len(sketched))
-    bits = {t: folded(sketched, t) for t in np.unique(lengths)}
-    across = side.any()
-    left, right, bounds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-    for i in np.flatnonzero(side == 0):
-        j = np.flatnonzero(side) if across else np.arange(i + 1, len(n))
-        j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-        least = np.minimum(lengths[j], lengths[i])
-        for t in np.unique(least):
-            k = j[least == t]
-            apart = np.bitwise_count(bits[t][k] ^ bits[t][i]).sum(axis=1, dtype=np.int64)
-            near = apart * (100 + percent) <= (n[k] + n[i]) * (100 - percent)
-            k = k[near]
-            left.append(np.full(len(k), i))
-            right.append(k)
-            bounds.append(apart[near] / (n[k] + n[i]))
-    return np.concatenate(left), np.concatenate(right), np.concatenate(bounds)
-
-
-def nearest(left: np.ndarray, right: np.ndarray, bounds: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs are among the ``most`` of least bounds of one of their ends."""
-    ends = np.concatenate([left, right])
-    order = np.lexsort((np.concatenate([bounds, bounds]), ends))
-    first = np.searchsorted(ends[order], ends[order])
-    rank = np.empty(len(ends), np.int64)
-    rank[order] = np.arange(len(ends)) - first
-    return (rank[: len(left)] < most) | (rank[len(left) :] < most)
-
-
-def _parted(now: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Rows of large buckets with the ``job`` of each pair of blocks that can have pairs, and the block's ``side`` in it."""
-    level = F.floor(F.log(F.col("doc.n").cast("double")) / float(np.log(100 / max(1, percent)) + 1e-6)).alias("level")  # over one apart: too different
-    leveled = now.join(large, "bucket").select("bucket", "doc", "component", level)
-    alone = saved(leveled.groupBy("bucket", "component").count().filter(F.col("count") > BLOCK).select("bucket", "component", F.lit(True).alias("alone")))
-    owned = leveled.join(alone, ["bucket", "component"], "left").withColumn("own", F.when(F.col("alone"), F.hex("component"))).drop("alone")
-    key = F.xxhash64("level", F.col("own").isNull(), "own").alias("key")
-    owned = owned.select("bucket", "doc", "component", "level", "own", key)
-    counts = saved(owned.groupBy("bucket", "key").agg(F.count("*").alias("rows")))
-    owned = saved(owned.join(counts, ["bucket", "key"]).withColumn("part", F.pmod(F.xxhash64("doc.id"), F.ceil(F.col("rows") / BLOCK))))
-    block = F.struct("key", "part").alias("block")
-    blocks = owned.select("bucket", block, "level", "own").distinct()
-    x, y = blocks.alias("x"), blocks.alias("y")
-    close = (F.col("x.bucket") == F.col("y.bucket")) & (F.abs(F.col("x.level") - F.col("y.level")) <= 1) & (F.col("x.block") <= F.col("y.block"))
-    differ = F.col("x.own").isNull() | F.col("y.own").isNull() | (F.col("x.own") != F.col("y.own"))
-    jobs = x.join(y, close & differ).select(F.col("x.bucket").alias("bucket"), F.col("x.block").alias("x"), F.col("y.block").alias("y")).withColumn("job", F.xxhash64("bucket", "x", "y"))
-    ends = jobs.select("bucket", F.col("x").alias("block"), "job", F.lit(0).alias("side")).union(jobs.filter("x <> y").select("bucket", F.col("y").alias("block"), "job", F.lit(1).alias("side")))
-    return owned.select("bucket", "doc", "component", block).join(ends, ["bucket", "block"]).withColumn("lot", F.col("job"))
-
-
-def candidates(now: DataFrame, sketched: DataFrame, percent: int, most: int) -> DataFrame:
-    """``bucket, a, b, more``: pairs of different components in each bucket that may be similar enough.
-
-    ``now`` has ``bucket, doc, component``.  A document gives the ``most`` best
-    in a group of at most two blocks; ``more`` tells that a group has others.
-    A bucket of over a block is parted into blocks of sizes that are near, a
-    large component by itself, and pairs of blocks that can have pairs make groups.
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 2):
+                tokens, place, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+                for raw in part.column(2).to_pylist():
+                    own = np.frombuffer(raw, np.uint64)
+                    weight = common[(own & np.uint64(len(common) - 1)).astype(np.int64)]
+                    most = len(own) - -(-len(own) * percent // 100) + 1
+                    order = np.argsort(weight, kind="stable")[:most]  # ties by hash, as sets are sorted
+                    at = np.flatnonzero(weight[order] > 0)
+                    tokens.append(own[order[at]])
+                    place.append(at)
+                    size.append(len(at))
+                row = pa.array(np.repeat(np.arange(part.num_rows), size))
+                token = pa.array(np.concatenate(tokens).view(np.int64))
+                arrays = [token, *[part.column(i).take(row) for i in (0, 1, 3)], pa.array(np.concatenate(place).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "same", "component", "n", "at"])
+
+    return active.select("same", "component", "hashes", F.col("size").cast("int").alias("n")).mapInArrow(run, "token long, same binary, component binary, n int, at int")
+
+
+def indexed_pairs(active: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of different components that may be similar enough, by an inverted index of rare hashes.
+
+    ``active`` has ``same, component, size, hashes``.  Pages that share a
+    template alone do not meet, as what they share is common and comes last.
+    Only pairs across components are made: first of components by token, then of
+    their classes.
     """
-    kind = now.schema["doc"].dataType["id"].dataType.simpleString()
-    # sums are written before they are joined, so that Spark can split the rows of a hot bucket
-    large = saved(now.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket"))
-    columns = ["lot", "job", "side", "bucket", "doc", "component"]
-    some = not large.isEmpty()
-    lots = max(1, now.count() * 5 // BLOCK)
-    small = (now.join(large, "bucket", "left_anti") if some else now).withColumn("job", F.col("bucket")).withColumn("lot", F.pmod(F.xxhash64("bucket"), F.lit(lots))).withColumn("side", F.lit(0))
-
-    rows = small.select(columns).union(_parted(now, large, percent).select(columns)) if some else small.select(columns)
-    rows = rows.select("*", F.col("doc.id").alias("id"), F.col("doc.n").alias("size")).join(sketched, ["id", "size"]).drop("doc")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("job", kind="stable")
-        job, ids, bucket = pdf["job"].to_numpy(), pdf["id"].to_numpy(), pdf["bucket"].to_numpy()
-        n, side, component, bits = pdf["size"].to_numpy(), pdf["side"].to_numpy(), pd.factorize(pdf["component"])[0], pdf["sketch"].tolist()
-        cuts = [0, *(np.flatnonzero(job[1:] != job[:-1]) + 1), len(job)]
-        out = {"bucket": [], "a": [], "b": [], "more": []}
-        for at, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            left, right, bounds = possible(n[at:stop], component[at:stop], side[at:stop], bits[at:stop], percent)
-            if len(left):
-                keep = nearest(left, right, bounds, most)
-                out["bucket"].append(bucket[at + left[keep]])
-                out["a"].append(ids[at + left[keep]])
-                out["b"].append(ids[at + right[keep]])
-                out["more"].append(np.full(keep.sum(), not keep.all()))
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
-
-    found = rows.groupBy("lot").applyInPandas(run, f"bucket long, a {kind}, b {kind}, more boolean")
-    return found.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
+    common = commonness(active, active.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    index = saved(prefixes(active, common, percent))
+    # sums are written before they are joined, so that Spark can split the rows of a hot token
+    mixed_ = saved(index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token"))
+    index = saved(index.join(mixed_, "token"))
+    owners = saved(index.select("token", "component").distinct())
+    other = owners.select("token", F.col("component").alias("c2"))
+    facing = saved(owners.withColumnRenamed("component", "c1").join(other, "token").filter("c1 < c2"))
+    side = lambda s, c: index.select("token", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"))
+    pairs = facing.join(side("a", "c1"), ["token", "c1"]).join(side("b", "c2"), ["token", "c2"])
+    # the first token that two sets share leaves them no more to share than what follows it
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return pairs.filter(fits & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: int, shingle: int) -> DataFrame:
@@ -320,28 +268,16 @@ def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: i
     links = confirmed(tried, sets, percent)
     grouped = components(links if more is None else links.union(more))
 
-    # buckets of several components: all their pairs of different components are tried, whatever other bands they share
-    rest = members.select("bucket", F.struct(F.col("same").alias("id"), "n").alias("doc"))
-    sketched, most = None, PAIRS
-    while True:
-        state = grouped.select(F.col("id").alias("known_id"), "component")
-        now = rest.join(state, F.col("doc.id") == F.col("known_id"), "left").withColumn("component", F.coalesce("component", "doc.id")).drop("known_id")
-        split = saved(now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"))
-        now = saved(now.join(split, "bucket").select("bucket", "doc", "component"))
-        if now.isEmpty():
-            break
-        if sketched is None:
-            sketched = saved(sketches(sets.join(now.select(F.col("doc.id").alias("same")).distinct(), "same", "left_semi")))
-        proposed = saved(candidates(now, sketched, percent, most))
-        new = saved(proposed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    # buckets of several components: their classes meet again in an index, whatever bands they share
+    state = saved(grouped).select(F.col("id").alias("same"), "component")
+    now = saved(members.select("bucket", "same").join(state, "same", "left").withColumn("component", F.coalesce("component", "same")))
+    split = saved(now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"))
+    rest = saved(now.join(split, "bucket", "left_semi").select("same", "component").distinct())
+    if not rest.isEmpty():
+        active = saved(sets.join(rest, "same").select("same", "component", "size", "hashes"))
+        new = saved(indexed_pairs(active, percent).join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            tried = tried.union(new)
             grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(new, sets, percent)))
-        open_ = saved(proposed.filter("more").select("bucket").distinct())
-        if open_.isEmpty():  # all pairs of every bucket are tried
-            break
-        rest = now.join(open_, "bucket", "left_semi").select("bucket", "doc")
-        most *= PAIRS
     return grouped.select(F.col("id").alias("same"), "component")
 
 
