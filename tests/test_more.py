@@ -63,8 +63,8 @@ def test_aliases_and_error_classes(spark):
 
 
 def test_generated_texts(spark):
-    made = generate.negatives(spark, 20, 20, 20, 20, 30).collect()
-    assert len(made) == 110 and all((len(r.spans) == 1) == (r.kind == "person_town") for r in made)
+    made = generate.negatives(spark.range(350), "id").collect()
+    assert len(made) == 350 and {r.kind for r in made} == set(generate.NEGATIVE_SHARES) and all((len(r.spans) == 1) == (r.kind == "person_town") for r in made)
     people = spark.range(2000).select(generate.person(F.col("id")).alias("p")).select("p.*").collect()
     assert {r.case for r in people} == set(generate.CASES) and {r.format for r in people} == set(generate.FORMATS)
     assert 0.1 < sum(r.text == r.text.lower() for r in people) / 2000 < 0.3
@@ -115,7 +115,7 @@ def test_a_response_for_each_event(spark, tmp_path):
     rows = [('{"id": 5, "content": "a@b.ru"}',), ('{"id": 6, "content": "x"}',)]
     spark.createDataFrame(rows, "value string").write.text(str(tmp_path / "in"))
     seen = []
-    q = webhook.respond(spark.readStream.text(str(tmp_path / "in")), lambda batch: seen.extend(batch.collect()), str(tmp_path / "ck"))
+    q = webhook.respond(spark.readStream.text(str(tmp_path / "in")), lambda batch: seen.extend(batch.collect()), str(tmp_path / "ck"), str(tmp_path / "ledger"))
     q.processAllAvailable()
     q.stop()
     assert sorted((r.message_id, r.content) for r in seen) == [(5, "<EMAIL>"), (6, "x")]

@@ -70,12 +70,13 @@ def assemble(conversations: DataFrame, contacts: DataFrame, messages: DataFrame,
     """Masked conversations with their contact and messages, and ``total_entities_found``.
 
     ``ids`` (column ``id``) picks conversations; missing and repeated ids are
-    passed over.  Messages are masked before they are grouped, where their
+    passed over, and only their contacts are masked.  Messages are masked before they are grouped, where their
     number does not matter to any task.
     """
     if ids is not None:
         conversations = conversations.join(ids.select("id").distinct(), "id", "left_semi")
         messages = messages.join(ids.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi")
+        contacts = contacts.join(conversations.select(F.col("contact_id").alias("id")).distinct(), "id", "left_semi")
     own = conversations.select("id", "contact_id", "uuid", "display_id", _field("identifier").alias("r_identifier"), _each(JSONS, mask_json).alias("r_json"))
     own = own.select("*", *[F.col("r_json")[i].alias(f"r_{c}") for i, c in enumerate(JSONS)]).drop("r_json")
     joined = own.join(mask_contacts(contacts), "contact_id", "left").join(ordered_messages(mask_messages(messages)), F.col("id") == F.col("conversation_id"), "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import cut, overlap, overlap_length
+from .intervals import overlapping, touched
 
 # The types that an evaluation counts, and the type that counts as another.
 TYPES = ("PERSON", "PHONE_NUMBER", "EMAIL_ADDRESS", "INN", "SNILS", "PASSPORT", "DATE_OF_BIRTH", "CREDIT_CARD")
@@ -80,13 +81,12 @@ def name_leaked(value: Column, anonymized: Column) -> Column:
 
 def best_overlaps(gold: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
     """For each gold span, the type predicted with the longest overlap; of equal ones the first; else ``<miss>``."""
-    g, p = gold.alias("g"), predicted.alias("p")
-    on = (F.col(f"g.{key}") == F.col(f"p.{key}")) & (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end"))
-    side = lambda a: F.struct(F.col(f"{a}.start").alias("start"), F.col(f"{a}.end").alias("end"))
-    order = F.struct(overlap_length(side("g"), side("p")).alias("n"), (-F.col("p.start")).alias("s"))
-    best = F.max_by("p.entity_type", F.when(F.col("p.start").isNotNull(), order))
-    keys = [F.col(f"g.{c}").alias(c) for c in (key, "start", "end", "entity_type")]
-    return g.join(p, on, "left").groupBy(*keys).agg(F.coalesce(best, F.lit("<miss>")).alias("predicted_type"))
+    spans = gold.select(key, "start", "end", "entity_type").distinct()
+    pairs = overlapping(spans, predicted.select(key, "start", "end", "entity_type"), [key])
+    order = F.struct(overlap_length(F.col("l"), F.col("r")).alias("n"), (-F.col("r.start")).alias("s"))
+    keys = [key, "start", "end", "entity_type"]
+    best = pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in keys]).agg(F.max_by("r.entity_type", order).alias("best"))
+    return spans.join(best, keys, "left").select(*keys, F.coalesce("best", F.lit("<miss>")).alias("predicted_type"))
 
 
 def confusion(best: DataFrame, types: list[str]) -> DataFrame:
@@ -96,8 +96,7 @@ def confusion(best: DataFrame, types: list[str]) -> DataFrame:
 
 def spurious(predicted: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
     """Predictions that overlap no gold span."""
-    p, g = predicted.alias("p"), gold.alias("g")
-    return p.join(g, (F.col(f"p.{key}") == F.col(f"g.{key}")) & (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end")), "left_anti")
+    return predicted.join(touched(predicted, gold, [key]), [key, "start", "end"], "left_anti")
 
 
 def latency(timings: DataFrame, by: str = "cell", ms: str = "ms") -> DataFrame:

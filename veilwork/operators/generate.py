@@ -133,19 +133,25 @@ def negative(kind: str, number: Column) -> Column:
     return _sentence(templates, {"x": choose(words, number, 41)}, number, 42)
 
 
-def negatives(spark: SparkSession, town: int = 80, thing: int = 80, street: int = 70, firm: int = 50, person_town: int = 70) -> DataFrame:
-    """``id, kind, text, spans``: sentences without names, and some with a name beside a town."""
-    frames, begin = [], 0
-    for kind, n in (("town", town), ("thing", thing), ("street", street), ("firm", firm), ("person_town", person_town)):
-        rows = spark.range(begin, begin + n)
-        number = F.col("id")
-        one = _sentence(WITH_TOWN, {"p": person(number)["text"], "x": choose(TOWNS, number, 41)}, number, 42) if kind == "person_town" else negative(kind, number)
-        frames.append(rows.select("id", F.lit(kind).alias("kind"), one.alias("s")).select("id", "kind", "s.text", "s.spans"))
-        begin += n
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+#: Of 35 negative sentences, how many are of each kind, the last ones with a name beside a town.
+NEGATIVE_SHARES = {"town": 8, "thing": 8, "street": 7, "firm": 5, "person_town": 7}
+
+
+def negatives(df: DataFrame, key: str) -> DataFrame:
+    """``key, kind, text, spans``: for each row a sentence without names, or with a name beside a town, by its key."""
+    number, begin, kind = F.col(key), 0, None
+    spot = draw(number, 44) % sum(NEGATIVE_SHARES.values())
+    for name, share in NEGATIVE_SHARES.items():
+        begin += share
+        kind = F.when(spot < begin, name) if kind is None else kind.when(spot < begin, name)
+    word = F.coalesce(*[F.when(F.col("kind") == k, choose(words, number, 41)) for k, (words, _) in NEGATIVES.items()], choose(TOWNS, number, 41))
+    # in steps, so that an expression that others use is computed once
+    drawn = df.select(key, kind.alias("kind")).select(key, "kind", word.alias("x"), F.when(F.col("kind") == "person_town", let(number, lambda n: person(n)["text"])).alias("p"))
+    values = {"x": F.col("x"), "p": F.col("p")}
+    templates = {k: v for k, (_, v) in NEGATIVES.items()} | {"person_town": WITH_TOWN}
+    one = lambda k: F.when(F.col("kind") == k, let(number, lambda n: _sentence(templates[k], values, n, 42)))
+    sentence = F.coalesce(*map(one, templates))
+    return drawn.select(key, "kind", sentence.alias("s")).select(key, "kind", "s.text", "s.spans")
 
 
 def silver(number: Column) -> Column:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.spans import cut, find_all
-from ..operators import conversation, evaluate, generate, mask
-from ..operators.jsonmask import mask_json
+from ..operators import chunks, conversation, evaluate, generate, intervals, mask, tagger
+from ..operators.jsonmask import json_leaves, mask_json
 from ..operators.person import PersonRules
 from ..operators.recognizers import RECOGNIZERS, Recognizer, registry
 from ..sources import pdf
@@ -468,24 +468,22 @@ def _negative_sql(kind: str, n: str) -> str:
     return _template_sql(templates, {"x": _choose_sql(words, 41, n)}, 42, n)
 
 
-_SIZES = {"town": 80, "thing": 80, "street": 70, "firm": 50}
-
-
 def _negatives_sql() -> str:
-    out, at = [], 0
-    for kind, n in _SIZES.items():
-        out.append(f"SELECT i AS id, '{kind}' AS kind, {_negative_sql(kind, 'i')} AS text, '' AS name FROM range({at}, {at + n}) r(i)")
-        at += n
-    town = _template_sql(generate.WITH_TOWN, {"p": "p", "x": _choose_sql(generate.TOWNS, 41, "k")}, 42, "k")
-    out.append(f"SELECT k AS id, 'person_town' AS kind, {town} AS text, p AS name FROM {_person_sql('i')} x")
-    return f"WITH keys AS (SELECT i FROM range({at}, {at + 70}) r(i)) " + " UNION ALL ".join(out)
+    spot, kind, text, begin = f"{_draw_sql(44, 'k')} % {sum(generate.NEGATIVE_SHARES.values())}", [], [], 0
+    for name, share in generate.NEGATIVE_SHARES.items():
+        begin += share
+        one = _template_sql(generate.WITH_TOWN, {"p": "p", "x": _choose_sql(generate.TOWNS, 41, "k")}, 42, "k") if name == "person_town" else _negative_sql(name, "k")
+        kind.append(f"WHEN {spot} < {begin} THEN '{name}'")
+        text.append(f"WHEN {spot} < {begin} THEN {one}")
+    return f"""{CUSTOMERS} SELECT k AS c_custkey, kind, text, CASE WHEN kind = 'person_town' THEN p ELSE '' END AS name FROM (
+      SELECT k, p, CASE {' '.join(kind)} END AS kind, CASE {' '.join(text)} END AS text FROM {_person_sql('c_custkey')} x) y"""
 
 
 @query(_negatives_sql())
 def negative_texts(spark, sf_dir):
     s = F.col("spans")
     name = F.when(F.size(s) > 0, F.substring(F.col("text"), F.get(s, F.lit(0))["start"] + 1, F.get(s, F.lit(0))["stop"] - F.get(s, F.lit(0))["start"])).otherwise("")
-    return generate.negatives(spark).select("id", "kind", "text", name.alias("name"))
+    return generate.negatives(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "kind", "text", name.alias("name"))
 
 
 def _silver_sql(n: str) -> str:
@@ -673,6 +671,93 @@ def person_rules(spark, sf_dir):
     return c.select("c_custkey", mask.anonymize(F.col("t"), recognizers=(PersonRules(),))["anonymized"].alias("anonymized"))
 
 
+# --- Tag sequences ------------------------------------------------------------------------
+
+PLACE = "CAST(event_id % 10 AS INT)"
+GOLD_TAG = "CASE WHEN user_id % 3 = 0 THEN 'O' WHEN user_id % 5 = 0 THEN 'B-' ELSE 'I-' END"
+TAG_KIND = f"CASE WHEN {DOC} % 2 = 0 THEN 'PERSON' WHEN event_id % 10 > 3 THEN 'INN' ELSE 'SNILS' END"
+GOLD_TAGS = f"CASE WHEN {GOLD_TAG} = 'O' THEN 'O' ELSE concat({GOLD_TAG}, {TAG_KIND}) END"
+FOUND_TAGS = f"CASE WHEN user_id % 7 = 0 THEN 'O' WHEN user_id % 11 = 0 THEN concat('I-', {TAG_KIND}) ELSE {GOLD_TAGS} END"
+
+
+def _chunks_sql(tag: str) -> str:
+    return f"""
+      SELECT k, kind, min(i) AS first, max(i) AS last FROM (
+        SELECT *, sum(CASE WHEN kind IS NOT NULL AND (tag LIKE 'B-%' OR kind IS DISTINCT FROM before) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS island FROM (
+          SELECT *, lag(kind) OVER (PARTITION BY k ORDER BY i) AS before FROM (
+            SELECT {DOC} AS k, {PLACE} AS i, {tag} AS tag, CASE WHEN {tag} <> 'O' THEN substr({tag}, 3) END AS kind FROM events) a) b) c
+      WHERE kind IS NOT NULL GROUP BY k, kind, island"""
+
+
+@query(_chunks_sql(FOUND_TAGS).replace("SELECT k, kind,", "SELECT k AS doc_id, kind AS type,", 1))
+def tag_chunks(spark, sf_dir):
+    """Chunks of tags that often begin with ``I-``."""
+    rows = table(spark, sf_dir, "events").select(F.expr(DOC).alias("doc_id"), F.expr(PLACE).alias("pos"), F.expr(FOUND_TAGS).alias("tag"))
+    return chunks.tag_chunks(rows, ["doc_id"])
+
+
+@query(f"""
+  WITH g AS ({_chunks_sql(GOLD_TAGS)}), p AS ({_chunks_sql(FOUND_TAGS)}),
+  j AS (SELECT coalesce(g.kind, p.kind) AS type, g.k AS gk, p.k AS pk FROM g FULL JOIN p ON g.k = p.k AND g.kind = p.kind AND g.first = p.first AND g.last = p.last),
+  c AS (SELECT coalesce(type, 'micro') AS type, count(gk + pk) AS tp, count(pk) - count(gk + pk) AS fp, count(gk) - count(gk + pk) AS fn FROM j GROUP BY ROLLUP (type)),
+  r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS q FROM c)
+  SELECT type, tp, fp, fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END, 6) AS f1, round(CASE WHEN 4 * p + q = 0 THEN 0.0 ELSE 5 * p * q / (4 * p + q) END, 6) AS f2 FROM r""")
+def chunk_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.expr(DOC).alias("doc_id"), F.expr(PLACE).alias("pos"), F.expr(GOLD_TAGS).alias("gold"), F.expr(FOUND_TAGS).alias("found"))
+    side = lambda c: rows.select("doc_id", "pos", F.col(c).alias("tag"))
+    r = chunks.chunk_scores(side("gold"), side("found"), ["doc_id"])
+    return r.select("type", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "f2")])
+
+
+TAG_SCORES = ("user_id % 7", "(user_id + event_id) % 6", "(user_id * 3 + event_id % 10) % 9")
+
+
+@query(f"""
+  WITH RECURSIVE s AS (
+    SELECT {DOC} AS k, event_id % 10 AS i, {", ".join(f"{c} AS {n}" for c, n in zip(TAG_SCORES, "obn", strict=True))} FROM events),
+  walk AS (
+    SELECT k, i, o AS so, b AS sb, CAST(-1000000 AS BIGINT) AS si, 'O' AS po, 'B' AS pb, 'I' AS pi FROM s WHERE i = 0
+    UNION ALL
+    SELECT s.k, s.i, s.o + greatest(so, sb, si), s.b + greatest(so, sb, si), s.n + greatest(sb, si),
+      concat(CASE WHEN so >= greatest(sb, si) THEN po WHEN sb >= si THEN pb ELSE pi END, 'O'),
+      concat(CASE WHEN so >= greatest(sb, si) THEN po WHEN sb >= si THEN pb ELSE pi END, 'B'),
+      concat(CASE WHEN sb >= si THEN pb ELSE pi END, 'I')
+    FROM walk w JOIN s ON s.k = w.k AND s.i = w.i + 1),
+  last_ AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1)
+  SELECT k AS doc_id, CASE WHEN so >= greatest(sb, si) THEN po WHEN sb >= si THEN pb ELSE pi END AS tags FROM last_""")
+def viterbi_tags(spark, sf_dir):
+    """The best tags of each ten events, an inside tag never following an outside one."""
+    rows = table(spark, sf_dir, "events").select(F.expr(DOC).alias("doc_id"), F.struct("event_id", F.array(*[F.expr(c).cast("double") for c in TAG_SCORES]).alias("s")).alias("x"))
+    found = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    best = tagger.viterbi(F.transform("x", lambda x: x["s"]))
+    return found.select("doc_id", F.array_join(F.transform(best, lambda i: F.element_at(F.array(*map(F.lit, tagger.TAGS)), i + 1)), "").alias("tags"))
+
+
+@query("""
+  SELECT event_id, path, value FROM (
+    SELECT event_id, unnest(['$.to', '$.list[2].name', '$.list[3][0]']) AS path, unnest([concat('u', user_id, '@mail.ru'), concat('v', user_id), event_type]) AS value FROM events) t""")
+def json_paths(spark, sf_dir):
+    """The string values of each event's JSON with their paths."""
+    body = """concat('{"to": "u', CAST(user_id AS STRING), '@mail.ru", "n": ', CAST(event_id AS STRING), ', "list": [null, true, {"name": "v', CAST(user_id AS STRING), '"}, ["', event_type, '", 1.5]]}')"""
+    return json_leaves(table(spark, sf_dir, "events").select("event_id", F.expr(body).alias("t")), "event_id", "t")
+
+
+@query(f"""
+  WITH RECURSIVE s AS (
+    SELECT l_orderkey AS k, {START} AS b, {STOP} AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY {SCORE} DESC, {STOP} - {START} DESC, {START}, l_linenumber) AS i FROM lineitem),
+  walk AS (
+    SELECT k, i, [{{'b': b, 'e': e}}] AS kept FROM s WHERE i = 1
+    UNION ALL
+    SELECT w.k, s.i, CASE WHEN len(list_filter(w.kept, lambda x: x.b < s.e AND s.b < x.e)) > 0 THEN w.kept ELSE list_append(w.kept, {{'b': s.b, 'e': s.e}}) END
+    FROM walk w JOIN s ON s.k = w.k AND s.i = w.i + 1),
+  last_ AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1)
+  SELECT l_orderkey, x.b AS "start", x.e AS "end" FROM (SELECT k AS l_orderkey, unnest(kept) AS x FROM last_) t""")
+def resolution_in_rounds(spark, sf_dir):
+    """Overlaps resolved over rows instead of arrays."""
+    span = (F.lit("PERSON").alias("entity_type"), F.expr(START).alias("start"), F.expr(STOP).alias("end"), F.expr(SCORE).alias("score"), F.col("l_linenumber").alias("rank"))
+    return intervals.resolved(table(spark, sf_dir, "lineitem").select("l_orderkey", *span), ["l_orderkey"]).select("l_orderkey", "start", "end")
+
+
 def queries() -> dict[str, Query]:
     return {k: e.run for k, e in FOUND.items()}
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import touched
 from .tables import MAX_PAGES
 
 
@@ -32,7 +33,6 @@ def page_texts(words: DataFrame) -> DataFrame:
 
 def boxes(words: DataFrame, spans: DataFrame, dpi: int = 72) -> DataFrame:
     """Words that overlap a span of their page, with the box in pixels."""
-    w, s = word_offsets(words).alias("w"), spans.alias("s")
-    on = (F.col("w.doc") == F.col("s.doc")) & (F.col("w.page") == F.col("s.page")) & (F.col("w.start") < F.col("s.end")) & (F.col("s.start") < F.col("w.end"))
-    hit = w.join(s, on, "left_semi")
+    placed = word_offsets(words)
+    hit = placed.join(touched(placed, spans, ["doc", "page"]), ["doc", "page", "start", "end"], "left_semi")
     return hit.withColumns({c: F.col(c) * (dpi / 72.0) for c in ("x0", "top", "x1", "bottom") if c in words.columns})

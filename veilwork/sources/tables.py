@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Limits of requests and files.
@@ -64,6 +66,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``; only a local session may leave it unset and gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="veilwork-checkpoint-"))
+    return df.checkpoint()
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -82,3 +95,17 @@ def audit(results: DataFrame, result: str = "result") -> DataFrame:
     numbered = results.select(F.monotonically_increasing_id().alias("row"), F.col(f"{result}.entities_found").alias("found"))
     each = numbered.select("row", F.explode("found").alias("e"))
     return each.groupBy("e.entity_type").agg(F.count("*").alias("n_entities"), F.countDistinct("row").alias("n_texts"))
+
+
+def audit_metrics(types: list[str], result: str = "result") -> list[Column]:
+    """Metrics for ``observe``, counts and types only: texts, entities, and entities and texts of each type."""
+    found = F.coalesce(F.col(f"{result}.entities_found"), F.array())
+    of = lambda t: F.size(F.filter(found, lambda e: e["entity_type"] == t))
+    each = [c for t in types for c in (F.sum(of(t)).alias(f"n_entities.{t}"), F.sum((of(t) > 0).cast("int")).alias(f"n_texts.{t}"))]
+    return [F.count("*").alias("texts"), F.sum(F.size(found)).alias("entities"), *each]
+
+
+def audited(results: DataFrame, types: list[str], result: str = "result") -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that holds ``audit_metrics`` once an action has run over them: no second pass."""
+    seen = Observation()
+    return results.observe(seen, *audit_metrics(types, result)), seen

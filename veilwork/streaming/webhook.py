@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -63,17 +63,37 @@ def mask_events(events: DataFrame, body: str = "value") -> DataFrame:
     )
 
 
-def respond(events: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, secret: str | None = None, once: bool = True) -> StreamingQuery:
-    """Gate and mask a stream and give each batch of responses to ``handle``.
+def event_key(body: Column) -> Column:
+    """A digest of an event's raw body, never null: events that differ in anything differ in it."""
+    return F.sha2(F.coalesce(body.cast("binary"), F.lit(b"")), 256)
 
-    A batch that is tried again after a failure is passed on again, unless
-    ``once``: then an event's ``message_id`` is answered once within the last
-    hour by the column ``received``, if the stream has one.
+
+def respond(events: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, ledger: str, secret: str | None = None) -> StreamingQuery:
+    """Gate and mask a stream, write a response for each event to ``ledger`` and give each batch of them to ``handle``.
+
+    No event is taken for another, equal ones included.  A batch that Spark
+    tries again writes over its own folder ``batch=N``, so the ledger has each
+    response once; ``handle`` gets a batch again only if the driver failed
+    between its end and the mark that it is done.
     """
-    masked = mask_events(signed(events, secret))
-    if once and "received" in masked.columns:
-        masked = masked.withWatermark("received", "1 hour").dropDuplicatesWithinWatermark(["message_id"])
-    return masked.writeStream.foreachBatch(lambda batch, _: handle(batch)).option("checkpointLocation", checkpoint).outputMode("append").start()
+    masked = mask_events(signed(events, secret).withColumn("event_key", event_key(F.col("value"))))
+
+    def answer(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/done/{n}")
+        files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(mark):
+            return
+        batch.write.mode("overwrite").parquet(f"{ledger}/responses/batch={n}")
+        handle(spark.read.schema(batch.schema).parquet(f"{ledger}/responses/batch={n}"))
+        files.create(mark, True).close()
+
+    return masked.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def responses(spark: SparkSession, ledger: str) -> DataFrame:
+    """All responses of a ledger, each event's once, with its ``batch``."""
+    return spark.read.parquet(f"{ledger}/responses")
 
 
 def stream(events: DataFrame, path: str, checkpoint: str, secret: str | None = None) -> StreamingQuery:
