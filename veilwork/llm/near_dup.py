@@ -7,8 +7,9 @@ least text against each other, so candidates grow with the bucket and not its
 square.  Candidates are confirmed on full shingle sets.  The texts of buckets
 that do not end in one component meet once more, so that every pair that shares
 a band is tried or connected: in an inverted index of each text's rarest
-shingles, as many as one of two similar texts must share.  It makes pairs of
-different components only, and those that fit are confirmed.
+shingles, as many as one of two similar texts must share.  Each shingle of it
+proposes a star with a centre of its own, until no star links anything; then all
+pairs of different components that fit are confirmed.
 
 Texts of equal words are one class, named by a digest of its words.  All search
 is over classes; rows come back in only at the end, so copies cost one row each.
@@ -216,29 +217,82 @@ def prefixes(active: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     return active.select("same", "component", "hashes", F.col("size").cast("int").alias("n")).mapInArrow(run, "token long, same binary, component binary, n int, at int")
 
 
-def indexed_pairs(active: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of different components that may be similar enough, by an inverted index of rare hashes.
+def rare_index(active: DataFrame, percent: int) -> DataFrame:
+    """The inverted index ``token, same, component, n, at`` of ``active`` (``same, component, size, hashes``).
 
-    ``active`` has ``same, component, size, hashes``.  Pages that share a
-    template alone do not meet, as what they share is common and comes last.
-    Only pairs across components are made: first of components by token, then of
-    their classes.
+    Pages that share a template alone do not meet in it, as what they share is
+    common and comes last.
     """
-    common = commonness(active, active.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    index = saved(prefixes(active, common, percent))
+    total = active.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return saved(prefixes(active, commonness(active, total), percent))
+
+
+def may_fit(n_a: Column, n_b: Column, room_a: Column, room_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes may be similar enough, if they share no hash before a place that leaves them this room."""
+    return ((100 + percent) * F.least(room_a, room_b) >= percent * (n_a + n_b)) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+
+
+def mixed_tokens(index: DataFrame, salt: int) -> DataFrame:
+    """Rows of tokens with several components, with the token's ``centre``, one of its classes by a salted hash."""
+    centre = F.min(F.struct(F.xxhash64("same", "token", F.lit(salt)).alias("draw"), "same", "component", "n", "at")).alias("centre")
     # sums are written before they are joined, so that Spark can split the rows of a hot token
-    mixed_ = saved(index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token"))
-    index = saved(index.join(mixed_, "token"))
-    owners = saved(index.select("token", "component").distinct())
-    other = owners.select("token", F.col("component").alias("c2"))
-    facing = saved(owners.withColumnRenamed("component", "c1").join(other, "token").filter("c1 < c2"))
-    side = lambda s, c: index.select("token", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"))
-    pairs = facing.join(side("a", "c1"), ["token", "c1"]).join(side("b", "c2"), ["token", "c2"])
-    # the first token that two sets share leaves them no more to share than what follows it
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.filter(fits & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = saved(index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), centre).filter("low < high").select("token", "centre"))
+    return saved(index.join(found, "token"))
+
+
+def star_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: each class with the centre of each token, if they may fit and their components differ."""
+    own, hub = F.col, lambda c: F.col(f"centre.{c}")
+    fits = may_fit(own("n"), hub("n"), own("n") - own("at"), hub("n") - hub("at"), percent)
+    found = index.filter((own("component") != hub("component")) & fits)
+    return found.select(F.least("same", "centre.same").alias("a"), F.greatest("same", "centre.same").alias("b")).distinct()
+
+
+def indexed_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of different components that may be similar enough, by the index.
+
+    Only pairs across components are made: first of components by token, from
+    their extremes, then of their classes.
+    """
+    ends = index.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("room"))
+    owners = saved(ends)
+    x, y = owners.alias("x"), owners.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
+    sizes = (100 * F.col("x.most") >= percent * F.col("y.n")) & (100 * F.col("y.most") >= percent * F.col("x.n"))
+    room = (100 + percent) * F.least("x.room", "y.room") >= percent * (F.col("x.n") + F.col("y.n"))
+    facing = saved(x.join(y, on & sizes & room).select("x.token", F.col("x.component").alias("c1"), F.col("y.component").alias("c2")))
+    side = lambda s, c: index.select("token", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), (F.col("n") - F.col("at")).alias(f"room_{s}"))
+    fits = may_fit(F.col("n_a"), F.col("n_b"), F.col("room_a"), F.col("room_b"), percent)
+    left, right = facing.join(side("a", "c1"), ["token", "c1"]).alias("l"), side("b", "c2").alias("r")
+    pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.c2") == F.col("r.c2")) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def joined(grouped: DataFrame, tried: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``grouped`` (``id, component``) with all links among ``active`` that ``tried`` (``a, b``) has not.
+
+    Stars around the tokens of the index come first, each token with a centre of
+    its own, as long as they link anything; this needs a row a token and class,
+    and leaves few components for the pairs that are then made.
+    """
+    edges = grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    index = mixed_tokens(rare_index(active, percent), 0)
+    salt = 0
+    while not index.isEmpty():
+        new = saved(star_pairs(index, percent).join(tried, ["a", "b"], "left_anti"))
+        links = saved(confirmed(new, sets, percent))
+        tried = tried.union(new)
+        index = index.drop("centre")
+        if links.isEmpty():
+            new = saved(indexed_pairs(index, percent).join(tried, ["a", "b"], "left_anti"))
+            return components(edges.union(confirmed(new, sets, percent)))
+        salt += 1
+        now = saved(components(edges.union(links)))
+        edges = now.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        state = now.select(F.col("id").alias("same"), F.col("component").alias("known"))
+        index = index.join(state, "same", "left").withColumn("component", F.coalesce("known", "component")).drop("known")
+        index = mixed_tokens(index, salt)
+    return components(edges)
 
 
 def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: int, shingle: int) -> DataFrame:
@@ -275,9 +329,7 @@ def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: i
     rest = saved(now.join(split, "bucket", "left_semi").select("same", "component").distinct())
     if not rest.isEmpty():
         active = saved(sets.join(rest, "same").select("same", "component", "size", "hashes"))
-        new = saved(indexed_pairs(active, percent).join(tried, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(confirmed(new, sets, percent)))
+        grouped = joined(grouped, tried, active, sets, percent)
     return grouped.select(F.col("id").alias("same"), "component")
 
 
