@@ -163,6 +163,15 @@ def test_pairs_within_a_template_family(spark, monkeypatch, counters):
     assert {r.doc_id: r.component_id for r in near_duplicates(df, 80, 5).collect()} == want
 
 
+@pytest.mark.parametrize("most", [0, 1 << 40])
+def test_stars_and_pairs_of_a_family_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "PAIRS_A_ROW", most)  # stars until they link nothing, or pairs at once
+    rows = family(spark, 600, 100, 30)
+    want, _ = brute(rows, 80, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in near_duplicates(df, 80, 5).collect()} == want
+
+
 @pytest.mark.parametrize("percent, counters", [(50, 1 << 22), (80, 1 << 22), (80, 256), (100, 1 << 22)])
 def test_index_leaves_out_no_similar_pair(spark, monkeypatch, percent, counters):
     monkeypatch.setattr(near_dup, "COUNTERS", counters)

@@ -7,9 +7,9 @@ least text against each other, so candidates grow with the bucket and not its
 square.  Candidates are confirmed on full shingle sets.  The texts of buckets
 that do not end in one component meet once more, so that every pair that shares
 a band is tried or connected: in an inverted index of each text's rarest
-shingles, as many as one of two similar texts must share.  Each shingle of it
-proposes a star with a centre of its own, until no star links anything; then all
-pairs of different components that fit are confirmed.
+shingles, as many as one of two similar texts must share.  All pairs of different
+components that fit are confirmed once they are few beside the index; until then
+each of its shingles proposes a star with a centre of its own.
 
 Texts of equal words are one class, named by a digest of its words.  All search
 is over classes; rows come back in only at the end, so copies cost one row each.
@@ -31,6 +31,8 @@ from .shared import key_filter, may_hold, memory, parts, saved
 #: Bands and bins of each: a pair at 0.8 misses all of them once in 15,000 times.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
+#: Pairs of components or classes for each row of the index of rare shingles that are made without more stars.
+PAIRS_A_ROW = 2
 #: Bytes at most of the table that tells common shingles from rare ones.
 COUNTERS = 1 << 22
 #: Longer words are not remembered by a worker.
@@ -248,19 +250,32 @@ def star_pairs(index: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("same", "centre.same").alias("a"), F.greatest("same", "centre.same").alias("b")).distinct()
 
 
-def indexed_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of different components that may be similar enough, by the index.
+def crossing(index: DataFrame, percent: int, bounded: bool) -> DataFrame | None:
+    """``token, c1, c2``: components that meet at a token and may have classes similar enough, by their extremes.
 
-    Only pairs across components are made: first of components by token, from
-    their extremes, then of their classes.
+    None if ``bounded`` and they, or their classes, may make over ``PAIRS_A_ROW``
+    pairs a row of the index.
     """
-    ends = index.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("room"))
+    ends = index.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("room"), F.count("*").alias("classes"))
     owners = saved(ends)
+    each = owners.groupBy("token").agg(F.sum("classes").alias("rows"), F.count("*").alias("owners"))
+    rows, meet = each.agg(F.sum("rows"), F.sum(F.expr("owners * (owners - 1) div 2"))).first()
+    if bounded and meet > PAIRS_A_ROW * rows:
+        return None
     x, y = owners.alias("x"), owners.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
     sizes = (100 * F.col("x.most") >= percent * F.col("y.n")) & (100 * F.col("y.most") >= percent * F.col("x.n"))
     room = (100 + percent) * F.least("x.room", "y.room") >= percent * (F.col("x.n") + F.col("y.n"))
-    facing = saved(x.join(y, on & sizes & room).select("x.token", F.col("x.component").alias("c1"), F.col("y.component").alias("c2")))
+    pairs = (F.col("x.classes") * F.col("y.classes")).alias("pairs")
+    facing = saved(x.join(y, on & sizes & room).select("x.token", F.col("x.component").alias("c1"), F.col("y.component").alias("c2"), pairs))
+    if bounded and facing.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] > PAIRS_A_ROW * rows:
+        return None
+    return facing.drop("pairs")
+
+
+def indexed_pairs(index: DataFrame, percent: int, facing: DataFrame | None = None) -> DataFrame:
+    """``a, b``: the classes of ``facing`` components (all that meet, if not given) that may be similar enough."""
+    facing = crossing(index, percent, False) if facing is None else facing
     side = lambda s, c: index.select("token", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), (F.col("n") - F.col("at")).alias(f"room_{s}"))
     fits = may_fit(F.col("n_a"), F.col("n_b"), F.col("room_a"), F.col("room_b"), percent)
     left, right = facing.join(side("a", "c1"), ["token", "c1"]).alias("l"), side("b", "c2").alias("r")
@@ -268,31 +283,44 @@ def indexed_pairs(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def merges(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``component, merged``: what becomes of the components of ``labels`` (``id, component``) that ``links`` (``a, b``) join."""
+    end = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(end("a"), "a").join(end("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return components(between).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+
+
+def merged(labels: DataFrame, now: DataFrame) -> DataFrame:
+    return labels.join(now, "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged")
+
+
 def joined(grouped: DataFrame, tried: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``grouped`` (``id, component``) with all links among ``active`` that ``tried`` (``a, b``) has not.
 
-    Stars around the tokens of the index come first, each token with a centre of
-    its own, as long as they link anything; this needs a row a token and class,
-    and leaves few components for the pairs that are then made.
+    Classes of ``active`` that nothing links are in it too.  All pairs of
+    different components are made as soon as they are few beside the index.
+    Until then stars around its tokens, each with a centre of its own, link what
+    they can, which needs a row a token and class; if they link nothing, the
+    pairs that are left are made, however many.
     """
-    edges = grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    index = mixed_tokens(rare_index(active, percent), 0)
-    salt = 0
+    labels = saved(grouped.select("id", "component").union(active.select(F.col("same").alias("id"), "component")).distinct())
+    index, salt, bounded = mixed_tokens(rare_index(active, percent), 0), 0, True
     while not index.isEmpty():
-        new = saved(star_pairs(index, percent).join(tried, ["a", "b"], "left_anti"))
+        facing = crossing(index, percent, bounded)
+        last = facing is not None
+        new = indexed_pairs(index, percent, facing) if last else star_pairs(index, percent)
+        new = saved(new.join(tried, ["a", "b"], "left_anti"))
         links = saved(confirmed(new, sets, percent))
-        tried = tried.union(new)
-        index = index.drop("centre")
-        if links.isEmpty():
-            new = saved(indexed_pairs(index, percent).join(tried, ["a", "b"], "left_anti"))
-            return components(edges.union(confirmed(new, sets, percent)))
-        salt += 1
-        now = saved(components(edges.union(links)))
-        edges = now.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        state = now.select(F.col("id").alias("same"), F.col("component").alias("known"))
-        index = index.join(state, "same", "left").withColumn("component", F.coalesce("known", "component")).drop("known")
-        index = mixed_tokens(index, salt)
-    return components(edges)
+        bounded = not links.isEmpty()
+        if bounded:
+            now = saved(merges(links, labels))
+            labels = saved(merged(labels, now))
+        if last:
+            break
+        if bounded:
+            tried, salt = tried.union(new), salt + 1
+            index = mixed_tokens(merged(index.drop("centre"), now), salt)
+    return labels
 
 
 def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: int, shingle: int) -> DataFrame:
