@@ -33,8 +33,9 @@ def _is_forest(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """``a, b`` to ``id, component``: the least id that each linked id reaches.
 
-    Ids without links do not appear.  Every node keeps one row a round, so no
-    task holds a component; rounds grow with the logarithm of the longest path.
+    Ids without links do not appear.  Every node keeps one row a round; the
+    edges of a large centre meet in one join, which Spark splits among tasks if it
+    deals out skewed joins.  Rounds grow with the logarithm of the longest path.
     """
     given = saved(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())  # the steps below read their input several times
     now = saved(_small_star(given).distinct())

@@ -125,7 +125,7 @@ def subset_moments(rows: DataFrame, distance: Column) -> DataFrame:
 
 
 def concentrated(rows: DataFrame, model: DataFrame, scale: float, lent: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
-    """The model of each group and the moments it comes from, after steps until no moment changes."""
+    """The model of each group and the moments it comes from, after steps until no moment changes, ``STEPS`` at most."""
     mark = None
     for _ in range(STEPS):
         near = rows.join(model, F.col("grp") == F.col("of"))
