@@ -17,6 +17,7 @@ is over classes; rows come back in only at the end, so copies cost one row each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from .shared import key_filter, may_hold, memory, parts, saved
 #: Bands and bins of each: a pair at 0.8 misses all of them once in 15,000 times.
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Pairs of components or classes for each row of the index of rare shingles that are made without more stars.
+#: Pairs for each row of the index of rare shingles that are made without more stars.
 PAIRS_A_ROW = 2
+#: Stars go on while a round leaves at most this share of the components apart.
+WORTH = 0.9
 #: Bytes at most of the table that tells common shingles from rare ones.
 COUNTERS = 1 << 22
 #: Longer words are not remembered by a worker.
@@ -250,24 +253,46 @@ def star_pairs(index: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("same", "centre.same").alias("a"), F.greatest("same", "centre.same").alias("b")).distinct()
 
 
+def size_step(n: Column, percent: int) -> Column:
+    """Sizes in steps; sets of similar sizes are in one step or in two that follow each other."""
+    return F.floor(F.log(n.cast("double")) / max(1.001 * math.log(100 / percent), 0.001)).cast("int")  # a little wider, so that rounding does no harm
+
+
+def meetings(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``index`` in both roles, with ``token, step``: as the smaller set of a pair and as the other.
+
+    The smaller one must share a hash among its first, where it leaves room for
+    what two sets of its size share; the other may have it anywhere in its prefix.
+    """
+    room = F.col("n") - F.col("at")
+    rows = index.select("token", "same", "component", "n", room.alias("room"), size_step(F.col("n"), percent).alias("step"))
+    small = rows.filter((100 + percent) * F.col("room") >= 2 * percent * F.col("n"))
+    return small.withColumn("step", F.explode(F.array("step", F.col("step") + 1))), rows
+
+
 def crossing(index: DataFrame, percent: int, bounded: bool) -> DataFrame | None:
-    """``token, c1, c2``: components that meet at a token and may have classes similar enough, by their extremes.
+    """``token, step, c1, c2``: components that meet at a token and may have classes similar enough, by their extremes.
 
-    None if ``bounded`` and they, or their classes, may make over ``PAIRS_A_ROW``
-    pairs a row of the index.
+    The classes of one component are not compared with each other, however many
+    they are.  None if ``bounded`` and components, or their classes, may make
+    over ``PAIRS_A_ROW`` pairs a row of the index.
     """
-    ends = index.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("room"), F.count("*").alias("classes"))
-    owners = saved(ends)
-    each = owners.groupBy("token").agg(F.sum("classes").alias("rows"), F.count("*").alias("owners"))
-    rows, meet = each.agg(F.sum("rows"), F.sum(F.expr("owners * (owners - 1) div 2"))).first()
-    if bounded and meet > PAIRS_A_ROW * rows:
-        return None
-    x, y = owners.alias("x"), owners.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
-    sizes = (100 * F.col("x.most") >= percent * F.col("y.n")) & (100 * F.col("y.most") >= percent * F.col("x.n"))
+    ends = lambda rows: rows.groupBy("token", "step", "component").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max("room").alias("room"), F.count("*").alias("classes"))
+    small, other = map(ends, meetings(index, percent))
+    small, other = saved(small), saved(other)
+    if bounded:
+        roles = small.select("token", "step", F.lit(1).alias("small"), F.lit(0).alias("other"), F.lit(0).alias("rows"))
+        roles = roles.union(other.select("token", "step", F.lit(0), F.lit(1), "classes"))
+        each = roles.groupBy("token", "step").agg(*[F.sum(c).alias(c) for c in ("small", "other", "rows")])
+        meet, rows = each.agg(F.sum(F.col("small") * F.col("other")), F.sum("rows")).first()
+        if (meet or 0) > PAIRS_A_ROW * (rows or 0):
+            return None
+    x, y = small.alias("x"), other.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.component") != F.col("y.component"))
+    sizes = (F.col("x.n") <= F.col("y.most")) & (100 * F.col("x.most") >= percent * F.col("y.n"))
     room = (100 + percent) * F.least("x.room", "y.room") >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = (F.col("x.classes") * F.col("y.classes")).alias("pairs")
-    facing = saved(x.join(y, on & sizes & room).select("x.token", F.col("x.component").alias("c1"), F.col("y.component").alias("c2"), pairs))
+    facing = saved(x.join(y, on & sizes & room).select("x.token", "x.step", F.col("x.component").alias("c1"), F.col("y.component").alias("c2"), pairs))
     if bounded and facing.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] > PAIRS_A_ROW * rows:
         return None
     return facing.drop("pairs")
@@ -276,11 +301,12 @@ def crossing(index: DataFrame, percent: int, bounded: bool) -> DataFrame | None:
 def indexed_pairs(index: DataFrame, percent: int, facing: DataFrame | None = None) -> DataFrame:
     """``a, b``: the classes of ``facing`` components (all that meet, if not given) that may be similar enough."""
     facing = crossing(index, percent, False) if facing is None else facing
-    side = lambda s, c: index.select("token", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), (F.col("n") - F.col("at")).alias(f"room_{s}"))
-    fits = may_fit(F.col("n_a"), F.col("n_b"), F.col("room_a"), F.col("room_b"), percent)
-    left, right = facing.join(side("a", "c1"), ["token", "c1"]).alias("l"), side("b", "c2").alias("r")
-    pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.c2") == F.col("r.c2")) & fits)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small, other = meetings(index, percent)
+    side = lambda rows, s, c: rows.select("token", "step", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), F.col("room").alias(f"room_{s}"))
+    fits = may_fit(F.col("n_a"), F.col("n_b"), F.col("room_a"), F.col("room_b"), percent) & (F.struct("n_a", "a") < F.struct("n_b", "b"))
+    left, right = facing.join(side(small, "a", "c1"), ["token", "step", "c1"]).alias("l"), side(other, "b", "c2").alias("r")
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.c2") == F.col("r.c2"))
+    return left.join(right, on & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def merges(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,26 +326,24 @@ def joined(grouped: DataFrame, tried: DataFrame, active: DataFrame, sets: DataFr
     Classes of ``active`` that nothing links are in it too.  All pairs of
     different components are made as soon as they are few beside the index.
     Until then stars around its tokens, each with a centre of its own, link what
-    they can, which needs a row a token and class; if they link nothing, the
-    pairs that are left are made, however many.
+    they can, which needs a row a token and class; once a round leaves over
+    ``WORTH`` of the components, the pairs that are left are made, however many.
     """
     labels = saved(grouped.select("id", "component").union(active.select(F.col("same").alias("id"), "component")).distinct())
-    index, salt, bounded = mixed_tokens(rare_index(active, percent), 0), 0, True
+    index, salt, worth = mixed_tokens(rare_index(active, percent), 0), 0, True
     while not index.isEmpty():
-        facing = crossing(index, percent, bounded)
+        facing = crossing(index, percent, worth)
         last = facing is not None
         new = indexed_pairs(index, percent, facing) if last else star_pairs(index, percent)
         new = saved(new.join(tried, ["a", "b"], "left_anti"))
         links = saved(confirmed(new, sets, percent))
-        bounded = not links.isEmpty()
-        if bounded:
-            now = saved(merges(links, labels))
-            labels = saved(merged(labels, now))
+        now = saved(merges(links, labels))
+        labels = saved(merged(labels, now))
         if last:
             break
-        if bounded:
-            tried, salt = tried.union(new), salt + 1
-            index = mixed_tokens(merged(index.drop("centre"), now), salt)
+        before, gone = index.agg(F.countDistinct("component")).first()[0], now.filter("component <> merged").count()
+        worth, tried, salt = gone > (1 - WORTH) * before, tried.union(new), salt + 1
+        index = mixed_tokens(merged(index.drop("centre"), now), salt)
     return labels
 
 
