@@ -196,3 +196,13 @@ def test_pages_of_one_template_do_not_meet(spark):
     rows = [(i.to_bytes(2, "big"), i.to_bytes(2, "big"), len(s), s.tobytes()) for i, s in enumerate(sets)]
     active = spark.createDataFrame(rows, "same binary, component binary, size long, hashes binary")
     assert near_dup.mixed_tokens(near_dup.rare_index(active, 80), 0).count() == 0 or near_dup.indexed_pairs(near_dup.rare_index(active, 80), 80).count() == 0
+
+
+def test_parities_differ_at_most_as_often_as_sets(spark):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 50, 5000):
+        a, b = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(2)]
+        b = np.unique(np.concatenate([a[n // 5 :], b[: n // 5]]))
+        apart = sum(int(x).bit_count() for x in (near_dup.parities(a) ^ near_dup.parities(b)).view(np.uint64))
+        assert len(near_dup.parities(a)) == len(near_dup.PARITIES) and apart <= len(np.setxor1d(a, b))
+        assert n != 50 or apart > 0

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ BINS = BANDS * ROWS
 PAIRS_A_ROW = 2
 #: Stars go on while a round leaves at most this share of the components apart.
 WORTH = 0.9
+#: Columns of 64 parities of a set's hashes; sets that differ in more parities than similar ones may differ in hashes are not similar.
+PARITIES = [f"p{i}" for i in range(8)]
 #: Bytes at most of the table that tells common shingles from rare ones.
 COUNTERS = 1 << 22
 #: Longer words are not remembered by a worker.
@@ -193,8 +197,15 @@ def commonness(sets: DataFrame, total: int) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of hashes is in each of equal ranges, as the bits of ``PARITIES``."""
+    shift = np.uint64(64 - (64 * len(PARITIES)).bit_length() + 1)
+    odd = np.bincount((hashes >> shift).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(active: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """``token, same, component, n, at``: the rarest hashes of each set, as many as one of two similar sets must share.
+    """``token, same, component, n, at, parity``: the rarest hashes of each set, as many as one of two similar sets must share.
 
     A set that shares ``percent`` of the union shares that share of its own
     hashes, so of the others plus one, taken in any order that holds for all
@@ -204,7 +215,7 @@ def prefixes(active: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 2):
-                tokens, place, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+                tokens, place, size, odd = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], []
                 for raw in part.column(2).to_pylist():
                     own = np.frombuffer(raw, np.uint64)
                     weight = common[(own & np.uint64(len(common) - 1)).astype(np.int64)]
@@ -214,16 +225,18 @@ def prefixes(active: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                     tokens.append(own[order[at]])
                     place.append(at)
                     size.append(len(at))
+                    odd.append(parities(own))
                 row = pa.array(np.repeat(np.arange(part.num_rows), size))
                 token = pa.array(np.concatenate(tokens).view(np.int64))
-                arrays = [token, *[part.column(i).take(row) for i in (0, 1, 3)], pa.array(np.concatenate(place).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "same", "component", "n", "at"])
+                parity = pa.StructArray.from_arrays([pa.array(c) for c in np.array(odd, np.int64).reshape(-1, len(PARITIES)).T], PARITIES)
+                arrays = [token, *[part.column(i).take(row) for i in (0, 1, 3)], pa.array(np.concatenate(place).astype(np.int32)), parity.take(row)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "same", "component", "n", "at", "parity"])
 
-    return active.select("same", "component", "hashes", F.col("size").cast("int").alias("n")).mapInArrow(run, "token long, same binary, component binary, n int, at int")
+    return active.select("same", "component", "hashes", F.col("size").cast("int").alias("n")).mapInArrow(run, f"token long, same binary, component binary, n int, at int, parity struct<{', '.join(f'{c}: long' for c in PARITIES)}>")
 
 
 def rare_index(active: DataFrame, percent: int) -> DataFrame:
-    """The inverted index ``token, same, component, n, at`` of ``active`` (``same, component, size, hashes``).
+    """The inverted index ``token, same, component, n, at, parity`` of ``active`` (``same, component, size, hashes``).
 
     Pages that share a template alone do not meet in it, as what they share is
     common and comes last.
@@ -237,9 +250,15 @@ def may_fit(n_a: Column, n_b: Column, room_a: Column, room_b: Column, percent: i
     return ((100 + percent) * F.least(room_a, room_b) >= percent * (n_a + n_b)) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
 
+def may_agree(n_a: Column, n_b: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes and parities may be similar enough: each parity that differs is a hash that only one has."""
+    apart = reduce(add, [F.bit_count(a[c].bitwiseXOR(b[c])) for c in PARITIES])
+    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+
+
 def mixed_tokens(index: DataFrame, salt: int) -> DataFrame:
     """Rows of tokens with several components, with the token's ``centre``, one of its classes by a salted hash."""
-    centre = F.min(F.struct(F.xxhash64("same", "token", F.lit(salt)).alias("draw"), "same", "component", "n", "at")).alias("centre")
+    centre = F.min(F.struct(F.xxhash64("same", "token", F.lit(salt)).alias("draw"), "same", "component", "n", "at", "parity")).alias("centre")
     # sums are written before they are joined, so that Spark can split the rows of a hot token
     found = saved(index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), centre).filter("low < high").select("token", "centre"))
     return saved(index.join(found, "token"))
@@ -249,7 +268,7 @@ def star_pairs(index: DataFrame, percent: int) -> DataFrame:
     """``a, b``: each class with the centre of each token, if they may fit and their components differ."""
     own, hub = F.col, lambda c: F.col(f"centre.{c}")
     fits = may_fit(own("n"), hub("n"), own("n") - own("at"), hub("n") - hub("at"), percent)
-    found = index.filter((own("component") != hub("component")) & fits)
+    found = index.filter((own("component") != hub("component")) & fits & may_agree(own("n"), hub("n"), own("parity"), hub("parity"), percent))
     return found.select(F.least("same", "centre.same").alias("a"), F.greatest("same", "centre.same").alias("b")).distinct()
 
 
@@ -265,7 +284,7 @@ def meetings(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     what two sets of its size share; the other may have it anywhere in its prefix.
     """
     room = F.col("n") - F.col("at")
-    rows = index.select("token", "same", "component", "n", room.alias("room"), size_step(F.col("n"), percent).alias("step"))
+    rows = index.select("token", "same", "component", "n", "parity", room.alias("room"), size_step(F.col("n"), percent).alias("step"))
     small = rows.filter((100 + percent) * F.col("room") >= 2 * percent * F.col("n"))
     return small.withColumn("step", F.explode(F.array("step", F.col("step") + 1))), rows
 
@@ -302,11 +321,12 @@ def indexed_pairs(index: DataFrame, percent: int, facing: DataFrame | None = Non
     """``a, b``: the classes of ``facing`` components (all that meet, if not given) that may be similar enough."""
     facing = crossing(index, percent, False) if facing is None else facing
     small, other = meetings(index, percent)
-    side = lambda rows, s, c: rows.select("token", "step", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), F.col("room").alias(f"room_{s}"))
+    side = lambda rows, s, c: rows.select("token", "step", F.col("component").alias(c), F.col("same").alias(s), F.col("n").alias(f"n_{s}"), F.col("room").alias(f"room_{s}"), F.col("parity").alias(f"parity_{s}"))
     fits = may_fit(F.col("n_a"), F.col("n_b"), F.col("room_a"), F.col("room_b"), percent) & (F.struct("n_a", "a") < F.struct("n_b", "b"))
     left, right = facing.join(side(small, "a", "c1"), ["token", "step", "c1"]).alias("l"), side(other, "b", "c2").alias("r")
     on = (F.col("l.token") == F.col("r.token")) & (F.col("l.step") == F.col("r.step")) & (F.col("l.c2") == F.col("r.c2"))
-    return left.join(right, on & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    agree = may_agree(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"), percent)
+    return left.join(right, on & fits & agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def merges(links: DataFrame, labels: DataFrame) -> DataFrame:
