@@ -155,3 +155,16 @@ def test_archives_that_unpack_to_too_much(spark):
 
 def test_rules_for_names_are_a_recognizer():
     assert PersonRules().entity == "PERSON"
+
+
+def test_recall_of_rules_by_case(spark):
+    made = spark.range(400).select(generate.person(F.col("id")).alias("p")).select("p.text", "p.case")
+    gold = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("PERSON").alias("entity_type"), F.col("case")))
+    rows = made.select("text", "case", gold.alias("gold"), PersonRules().spans(F.col("text"), 0).alias("predicted"))
+    want = {}
+    for r in rows.collect():
+        hit = any(s.start < len(r.text) and s.end > 0 for s in r.predicted)
+        tp, fn = want.get(r.case, (0, 0))
+        want[r.case] = (tp + hit, fn + (not hit))
+    got = {r.bucket: (r.tp, r.fn) for r in evaluate.recall_by(rows, "case").collect()}
+    assert got == want and set(got) == set(generate.CASES) and all(0 < tp and 0 < fn for tp, fn in got.values())

@@ -131,10 +131,11 @@ def name_format(name: Column) -> Column:
     return F.when(F.regexp_like(name, F.lit(r"(?U)\b\w\.")), "initials").when(words == 1, "1 word").when(words == 2, "2 words").otherwise("3 words")
 
 
-def recall_by(df: DataFrame, bucket: Callable[[Column], Column], text: str = "text", gold: str = "gold", predicted: str = "predicted") -> DataFrame:
-    """``bucket, tp, fn, recall`` of gold spans, matched by overlap, by what ``bucket`` says of their text."""
+def recall_by(df: DataFrame, bucket: Callable[[Column], Column] | str, text: str = "text", gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """``bucket, tp, fn, recall`` of gold spans, matched by overlap, by what ``bucket`` says of their text, or by its field if it names one."""
+    of = (lambda s: s[bucket]) if isinstance(bucket, str) else lambda s: bucket(cut(F.col("t"), s))
     rows = df.select(F.col(text).alias("t"), F.col(gold).alias("g"), greedy_matches(F.col(gold), F.col(predicted), strict=False).alias("m"))
-    one = lambda s, i: F.struct(bucket(cut(F.col("t"), s)).alias("bucket"), F.exists(F.col("m"), lambda m: m["g"] == i).alias("hit"))
+    one = lambda s, i: F.struct(of(s).alias("bucket"), F.exists(F.col("m"), lambda m: m["g"] == i).alias("hit"))
     each = rows.select(F.explode(F.transform("g", one)).alias("x")).select("x.*")
     sums = each.groupBy("bucket").agg(F.count(F.when(F.col("hit"), 1)).alias("tp"), F.count(F.when(~F.col("hit"), 1)).alias("fn"))
     return sums.withColumn("recall", F.col("tp") / (F.col("tp") + F.col("fn")))

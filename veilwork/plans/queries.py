@@ -612,10 +612,10 @@ def _recall_sql(bucket: str) -> str:
 
 def _recall(spark, sf_dir, bucket) -> DataFrame:
     """Names found but for every fourth, with bounds that are one character off."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", generate.person(F.col("c_custkey"))["text"].alias("text"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", generate.person(F.col("c_custkey")).alias("p")).select("c_custkey", "p.text", "p.case")
     span = lambda begin: F.struct(F.lit(begin).alias("start"), F.length("text").alias("end"), F.lit("PERSON").alias("entity_type"))
     empty = F.array().cast("array<struct<start:int,end:int,entity_type:string>>")
-    c = c.withColumn("gold", F.array(span(0))).withColumn("predicted", F.when(F.col("c_custkey") % 4 != 0, F.array(span(1))).otherwise(empty))
+    c = c.withColumn("gold", F.array(span(0).withField("case", F.col("case")))).withColumn("predicted", F.when(F.col("c_custkey") % 4 != 0, F.array(span(1))).otherwise(empty))
     return evaluate.recall_by(c, bucket).withColumn("recall", F.round("recall", 6))
 
 
@@ -629,6 +629,11 @@ def recall_by_name_format(spark, sf_dir):
     return _recall(spark, sf_dir, evaluate.name_format)
 
 
+@query(_recall_sql(f"({list(generate.CASES)})[{_draw_sql(2, 'k')} // 7 % {len(generate.CASES)} + 1]"))
+def recall_by_case(spark, sf_dir):
+    return _recall(spark, sf_dir, "case")
+
+
 @query(f"""SELECT class, count(*) AS n FROM (
     SELECT CASE WHEN missed OR t <> u THEN 'missing' WHEN d = 0 THEN 'correct' ELSE 'partial' END AS class FROM {MATCH} UNION ALL SELECT 'spurious' FROM {MATCH} WHERE extra) c GROUP BY class""")
 def error_classes(spark, sf_dir):
