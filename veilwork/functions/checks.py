@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import xor
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,20 +78,28 @@ BECH32_GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 
 
 def base58_valid(value: Column) -> Column:
-    """A Base58Check address: 25 bytes, the last four being the begin of the double SHA-256 of the others."""
-    zero = F.array_repeat(F.lit(0), 25)
+    """A Base58Check address: 25 bytes, the last four being the begin of the double SHA-256 of the others.
+
+    Five characters at a time go into seven limbs of 32 bits, whose products fit a long.
+    """
+    powers = F.array(*[F.lit(58**i).cast("long") for i in range(6)])
+    number = lambda part: F.aggregate(F.split(part, "(?!^)(?!$)"), F.lit(0).cast("long"), lambda n, c: n * 58 + F.instr(F.lit(BASE58), c) - 1)
+    parts = F.transform(F.regexp_extract_all(value, F.lit("(?s).{1,5}"), F.lit(0)), lambda part: F.struct(number(part).alias("add"), F.get(powers, F.length(part)).alias("times")))
 
-    def add(acc: Column, c: Column) -> Column:
-        step = lambda s, b: F.struct(F.shiftright(b * 58 + s["carry"], 8).alias("carry"), F.concat(F.array((b * 58 + s["carry"]).bitwiseAND(255)), s["out"]).alias("out"))
-        begin = F.struct((F.instr(F.lit(BASE58), c) - 1).alias("carry"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(F.reverse(acc), begin, step, lambda s: s["out"])
+    def put(limbs: Column, part: Column) -> Column:
+        def step(acc: Column, limb: Column) -> Column:
+            of = lambda n: F.struct(F.shiftright(n, 32).alias("carry"), F.concat(acc["out"], F.array(n.bitwiseAND(0xFFFFFFFF))).alias("out"))
+            return let(limb * part["times"] + acc["carry"], of)
 
-    def check(b: Column) -> Column:
-        digits = F.array_join(F.transform(b, lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
-        twice = F.sha2(F.unhex(F.sha2(F.unhex(F.substring(digits, 1, 42)), 256)), 256)
-        return F.substring(twice, 1, 8) == F.substring(digits, 43, 8)
+        begin = F.struct(part["add"].alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(limbs, begin, step, lambda acc: acc["out"])
 
-    return let(F.aggregate(F.split(value, "(?!^)(?!$)"), zero, add), check)
+    def check(limbs: Column) -> Column:
+        whole = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+        return let(F.substring(whole, 7, 50), lambda digits: F.substring(sha_twice(F.substring(digits, 1, 42)), 1, 8) == F.substring(digits, 43, 8))
+
+    sha_twice = lambda digits: F.sha2(F.unhex(F.sha2(F.unhex(digits), 256)), 256)
+    return let(F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), 7), put), check)
 
 
 def bech32_valid(value: Column) -> Column:
@@ -96,13 +107,8 @@ def bech32_valid(value: Column) -> Column:
     prefix = [ord(c) >> 5 for c in "bc"] + [0] + [ord(c) & 31 for c in "bc"]
     own = F.transform(F.split(F.substring(F.lower(value), 4, 90), "(?!^)(?!$)"), lambda c: F.instr(F.lit(BECH32), c) - 1)
 
-    def step(acc: Column, v: Column) -> Column:
-        top = F.shiftright(acc, 25)
-        out = F.shiftleft(acc.bitwiseAND(0x1FFFFFF), 5).bitwiseXOR(v)
-        for i, g in enumerate(BECH32_GENERATOR):
-            out = out.bitwiseXOR(F.when(F.shiftright(top, i).bitwiseAND(1) == 1, F.lit(g)).otherwise(F.lit(0)))
-        return out
-
+    feedback = F.array(*[F.lit(reduce(xor, (g for i, g in enumerate(BECH32_GENERATOR) if top >> i & 1), 0)) for top in range(32)])
+    step = lambda acc, v: F.shiftleft(acc.bitwiseAND(0x1FFFFFF), 5).bitwiseXOR(v).bitwiseXOR(F.get(feedback, F.shiftright(acc, 25)))
     total = F.aggregate(F.concat(F.array(*map(F.lit, prefix)), own), F.lit(1), step)
     return total.isin(1, 0x2BC830A3)
 

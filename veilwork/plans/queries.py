@@ -20,7 +20,7 @@ from ..operators.jsonmask import json_leaves, mask_json
 from ..operators.person import PersonRules
 from ..operators.recognizers import RECOGNIZERS, Recognizer, registry
 from ..sources import pdf
-from ..sources.tables import spread, union_weighted
+from ..sources.tables import dealt, spread, union_weighted
 from ..streaming import webhook
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,7 +157,7 @@ CONTACT = f"concat('Тел. ', {PHONE}, ', почта ', {MAIL}, ', карта '
 
 
 def _customers(spark: SparkSession, sf_dir: str, **exprs: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", *[F.expr(v).alias(k) for k, v in exprs.items()])
+    return dealt(table(spark, sf_dir, "customer")).select("c_custkey", *[F.expr(v).alias(k) for k, v in exprs.items()])
 
 
 def _by_key(name: str, text: str, expected: str, *recognizers: str) -> None:

@@ -66,6 +66,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def even_tasks(df: DataFrame) -> int:
+    """A number of tasks for costly work on narrow rows; given to ``repartition``, it is not lowered by the bytes of the shuffle."""
+    spark = df.sparkSession
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly, for narrow rows (keys) before costly expressions.
+
+    A file is split by bytes but read by row groups, so one task may hold all
+    rows of a table however many splits it has; their number tells nothing.
+    """
+    return df.repartition(even_tasks(df))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of ``spark.checkpoint.dir``; only a local session may leave it unset and gets one of its own."""
     context = df.sparkSession.sparkContext
