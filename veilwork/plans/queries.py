@@ -99,7 +99,7 @@ def find_card(spark, sf_dir):
           FROM documents) a) b""")
 def find_email_offsets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", find_all(F.col("text"), "(?iUsm)" + EMAIL_RX).alias("s"))
-    rows = docs.select("doc_id", "text", F.posexplode("s").alias("i", "span"))
+    rows = docs.select("doc_id", "text", F.posexplode_outer("s").alias("i", "span")).filter(F.col("i").isNotNull())  # outer: see mapping_entries
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("nth"), cut(F.col("text"), F.col("span")).alias("value"), F.col("span.start").alias("start_at"))
 
 
@@ -286,7 +286,8 @@ def mask_text(spark, sf_dir):
 
 @query(f"SELECT c_custkey, '<PHONE>' AS placeholder, {PHONE} AS value FROM customer UNION ALL SELECT c_custkey, '<EMAIL>', {MAIL} FROM customer UNION ALL SELECT c_custkey, '<CREDIT_CARD>', {CARD} FROM customer")
 def mapping_entries(spark, sf_dir):
-    return _masked(spark, sf_dir).select("c_custkey", F.explode("r.mapping").alias("placeholder", "value"))
+    # an outer explode: of an inner one Spark makes a filter that masks every text once more
+    return _masked(spark, sf_dir).select("c_custkey", F.explode_outer("r.mapping").alias("placeholder", "value")).filter(F.col("placeholder").isNotNull())
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END AS n_mapping, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END AS n_values FROM customer")
@@ -584,7 +585,7 @@ def spurious_predictions(spark, sf_dir):
 @query("SELECT c_mktsegment, round(100.0 * avg(CASE WHEN c_custkey % 5 = 0 THEN 1.0 ELSE 0.0 END), 6) AS leak_rate, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def leak_rate(spark, sf_dir):
     disable = F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("EMAIL_ADDRESS"))).otherwise(F.array().cast("array<string>"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.expr(CONTACT).alias("t"), F.expr(MAIL).alias("v"))
+    c = dealt(table(spark, sf_dir, "customer")).select("c_custkey", "c_mktsegment", F.expr(CONTACT).alias("t"), F.expr(MAIL).alias("v"))
     c = c.withColumn("a", mask.anonymize(F.col("t"), disable, only("phone", "email", "card"))["anonymized"])
     rate = F.round(F.avg(evaluate.leaked(F.col("v"), F.col("a")).cast("double")) * 100.0, 6)
     return c.groupBy("c_mktsegment").agg(rate.alias("leak_rate"), F.count("*").alias("n"))

@@ -108,7 +108,7 @@ def write_corpus(df: DataFrame, path: str, text: str = "text") -> None:
 def audit(results: DataFrame, result: str = "result") -> DataFrame:
     """Counts and types only, never values: ``entity_type, n_entities, n_texts``."""
     numbered = results.select(F.monotonically_increasing_id().alias("row"), F.col(f"{result}.entities_found").alias("found"))
-    each = numbered.select("row", F.explode("found").alias("e"))
+    each = numbered.select("row", F.explode_outer("found").alias("e")).filter(F.col("e").isNotNull())  # an inner explode would mask twice, once to filter
     return each.groupBy("e.entity_type").agg(F.count("*").alias("n_entities"), F.countDistinct("row").alias("n_texts"))
 
 
