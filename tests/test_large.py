@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions import checks
+from veilwork.operators import evaluate
 from veilwork.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,24 @@ def test_customers_are_dealt_out(spark, name):
 
 def test_mapping_entries_mask_once(spark):
     assert plan(core.mapping_entries(spark, SF)).count("array_sort(") == plan(core.mask_text(spark, SF)).count("array_sort(")
+
+
+def test_type_presence_analyses_each_text_once_in_many_tasks(spark):
+    rows = spark.createDataFrame([(f"t{i % 7}" if i % 50 else None, "AB"[i % 2] if i % 11 else None) for i in range(700)], "text string, entity_type string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<struct<entity_type:string>>")
+    def detected(t):
+        calls.add(1)
+        return [("A",)] if t in ("t1", "t2") else [("B",), ("C",)]
+
+    got = evaluate.type_presence(rows, detected.asNondeterministic())
+    assert "Join" not in plan(got)
+    got = {r.entity_type: (r.found, r.total, r.recall) for r in got.collect()}
+    data = [(r.text, r.entity_type) for r in rows.collect() if r.text]
+    for t in "AB":
+        total = sum(k == t for _, k in data)
+        found = sum(k == t and (x in ("t1", "t2")) == (t == "A") for x, k in data)
+        assert got[t] == (found, total, found / total)
+    assert got[None] == (None, sum(k is None for _, k in data), None)
+    assert calls.value == 7
