@@ -159,3 +159,9 @@ def test_long_text(spark):
 
 def test_cut(spark):
     assert spark.range(1).select(cut(F.lit("a😀bc"), F.struct(F.lit(1).alias("start"), F.lit(3).alias("end")))).first()[0] == "😀b"
+
+
+def test_digits_of_a_digest_are_no_phone(spark):
+    texts = ['token = "34cf1be9225426587b06121cb35ab512e5a1beb5"', 'token = "b7852d4e73166f43a80132626729b5fa5141a7a6"', "9225426587b06121cb35ab512e5a1beb50123456 да", "тел89161234567, tel89161234567доб", "a9161234567b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(mask.anonymize(F.col("t"))["anonymized"]).collect()
+    assert [g[0] for g in got] == [*texts[:3], "тел<PHONE>, tel<PHONE_2>доб", "a<PHONE>b"]

@@ -22,6 +22,8 @@ LOCAL = r"[\w.+\-]+(?:\s+[\w.+\-]+){0,2}"
 INN_NUMBER = r"\d[\d\s.\-–—]{6,40}\d"
 SNILS_NUMBER = r"\d[\d\s.\-–—]{6,30}\d"
 PASSPORT_NUMBER = r"(?:\d{2}[\s\-/]?\d{2}[\s\-/№.]{0,4}\d{3}[\s\-/]?\d{3}|\d{10})"
+# a digest or key has phone-like digits now and then: with ten hexadecimal digits before or after them they are no phone
+OPEN, CLOSED = r"(?<!\d)(?<![0-9a-f]{10})", r"(?!\d)(?![0-9a-f]{10})"
 STREET = (
     r"(?:ул\.|улиц[аеыу]|просп\.|проспект[ае]?|пр-?т|пер\.|переул(?:ок|ка|ке)|б-р|бульвар[ае]?|ш\.|шоссе|наб\.|"
     r"набережн(?:ая|ой)|пл\.|площад[ьи]|кв-?л|квартал[ае]?|проезд[ае]?|тупик)"
@@ -94,9 +96,9 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
         "PHONE_NUMBER",
         (
             (r"(?<!\d)\+7[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?!\d)", 0.9),
-            (r"(?<!\d)8[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?!\d)", 0.85),
-            (r"(?<!\d)[78][\s\-]?9(?:[\s\-]?\d){9}(?!\d)", 0.6),
-            (r"(?<!\d)9\d{9}(?!\d)", 0.5),
+            (rf"{OPEN}8[\s\-]?\(?\d{{3}}\)?[\s\-]?\d{{3}}[\s\-]?\d{{2}}[\s\-]?\d{{2}}{CLOSED}", 0.85),
+            (rf"{OPEN}[78][\s\-]?9(?:[\s\-]?\d){{9}}{CLOSED}", 0.6),
+            (rf"{OPEN}9\d{{9}}{CLOSED}", 0.5),
         ),
         r"(?U)\d(?:[\s\-()]{0,2}\d){9}",
     ),
