@@ -1,12 +1,15 @@
 """Costly expressions run once a row and in many tasks, however the files lie."""
 
 import hashlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions import checks
-from veilwork.operators import evaluate
+from veilwork.operators import conversation, evaluate
+from veilwork.operators.person import complete
+from veilwork.operators.recognizers import detect
 from veilwork.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +69,19 @@ def test_type_presence_analyses_each_text_once_in_many_tasks(spark):
         assert got[t] == (found, total, found / total)
     assert got[None] == (None, sum(k is None for _, k in data), None)
     assert calls.value == 7
+
+
+def test_numeric_recognizers_are_passed_over_without_loss(spark):
+    chosen = complete()
+    assert all(any(r.name == n and r.numeric for r in chosen) for n in ("phone", "inn_anchored", "card", "ip", "segwit"))
+    texts = ["Спасибо", "", "почта a@b.ru", "ул. Ленина", "тел ٨٩١٦١٢٣٤٥٦٧", "тел 89161234567, ИНН 7707083893, 2001:db8::1, Анна Петровна", "см. https://x.org", "дата рождения: ٠١.٠٢.١٩٩٠"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = tuple(replace(r, numeric=False) for r in chosen)
+    got = rows.select(detect(F.col("t"), chosen).alias("a"), detect(F.col("t"), plain).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(len(r.a) for r in got) > 6
+
+
+def test_contacts_are_dealt_out_after_their_join(spark):
+    orders, contacts, lines = core._chat(spark, SF)
+    text = plan(conversation.assemble(orders, contacts, lines, orders.select("id")))
+    assert text.count("Repartition ") >= 2

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import no_spans
+from ..sources.tables import dealt
 from .jsonmask import mask_json
 from .mask import ENTITY, anonymize
 
@@ -70,7 +71,8 @@ def assemble(conversations: DataFrame, contacts: DataFrame, messages: DataFrame,
     """Masked conversations with their contact and messages, and ``total_entities_found``.
 
     ``ids`` (column ``id``) picks conversations; missing and repeated ids are
-    passed over, and only their contacts are masked.  Messages are masked before they are grouped, where their
+    passed over, and only their contacts are masked, dealt out anew, since the
+    join before leaves them in few tasks.  Messages are masked before they are grouped, where their
     number does not matter to any task.
     """
     if ids is not None:
@@ -79,7 +81,7 @@ def assemble(conversations: DataFrame, contacts: DataFrame, messages: DataFrame,
         contacts = contacts.join(conversations.select(F.col("contact_id").alias("id")).distinct(), "id", "left_semi")
     own = conversations.select("id", "contact_id", "uuid", "display_id", _field("identifier").alias("r_identifier"), _each(JSONS, mask_json).alias("r_json"))
     own = own.select("*", *[F.col("r_json")[i].alias(f"r_{c}") for i, c in enumerate(JSONS)]).drop("r_json")
-    joined = own.join(mask_contacts(contacts), "contact_id", "left").join(ordered_messages(mask_messages(messages)), F.col("id") == F.col("conversation_id"), "left")
+    joined = own.join(mask_contacts(dealt(contacts)), "contact_id", "left").join(ordered_messages(mask_messages(messages)), F.col("id") == F.col("conversation_id"), "left")
     total = F.size(_entities("r_identifier", "r_additional_attributes", "r_custom_attributes")) + F.coalesce(F.size("contact.entities_found"), F.lit(0)) + F.coalesce(F.col("n_entities"), F.lit(0))
     return joined.select(
         "id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ class Recognizer:
     ``patterns`` are (expression, score).  ``needs`` is a cheap expression
     without which none can match.  ``valid`` makes the score 1 or drops the
     match; ``digits`` are the allowed digit counts; ``group`` 1 masks the group.
+    ``numeric`` tells that each match holds a digit: such recognizers are passed
+    over together in a text without one.
     """
 
     name: str
@@ -65,6 +68,7 @@ class Recognizer:
     digits: tuple[int, ...] = ()
     valid: Callable[[Column], Column] | None = None
     context: tuple[str, ...] = ()
+    numeric: bool = False
 
     def spans(self, text: Column, rank: int) -> Column:
         """All detections, as an array of scored spans."""
@@ -85,7 +89,7 @@ class Recognizer:
 
 def anchored(name: str, entity: str, patterns: tuple[str, ...], digits: tuple[int, ...], score: float, needs: str = "[0-9]") -> Recognizer:
     """A number beside a keyword; only the number is masked, no checksum is asked."""
-    return Recognizer(name, entity, tuple((p, score) for p in patterns), needs, "(?iU)", 1, digits)
+    return Recognizer(name, entity, tuple((p, score) for p in patterns), needs, "(?iU)", 1, digits, numeric=True)
 
 
 # Patterns and scores.
@@ -101,12 +105,13 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
             (rf"{OPEN}9\d{{9}}{CLOSED}", 0.5),
         ),
         r"(?U)\d(?:[\s\-()]{0,2}\d){9}",
+        numeric=True,
     ),
-    Recognizer("inn", "INN", ((r"\b\d{12}\b", 0.5), (r"\b\d{10}\b", 0.4)), r"[0-9]{10}", valid=checks.inn_valid),
+    Recognizer("inn", "INN", ((r"\b\d{12}\b", 0.5), (r"\b\d{10}\b", 0.4)), r"[0-9]{10}", valid=checks.inn_valid, numeric=True),
     anchored("inn_anchored", "INN", (rf"ИНН{GAP}({INN_NUMBER})", rf"идентификационн\w*\s+номер\w*{GAP}({INN_NUMBER})"), (10, 12), 0.9, "(?iU)инн|идентификационн"),
-    Recognizer("snils", "SNILS", ((r"\b\d{3}-\d{3}-\d{3}\s?\d{2}\b", 0.85), (r"\b\d{3}\s\d{3}\s\d{3}\s?\d{2}\b", 0.8)), r"(?U)\d{3}[\s\-]\d{3}[\s\-]\d{3}", valid=checks.snils_valid),
+    Recognizer("snils", "SNILS", ((r"\b\d{3}-\d{3}-\d{3}\s?\d{2}\b", 0.85), (r"\b\d{3}\s\d{3}\s\d{3}\s?\d{2}\b", 0.8)), r"(?U)\d{3}[\s\-]\d{3}[\s\-]\d{3}", valid=checks.snils_valid, numeric=True),
     anchored("snils_anchored", "SNILS", (rf"СНИЛС{GAP}({SNILS_NUMBER})", rf"страхов\w*\s+свидетельств\w*{GAP}({SNILS_NUMBER})"), (11,), 0.9, "(?iU)снилс|страхов"),
-    Recognizer("passport", "PASSPORT", ((r"\b\d{4}\s*(?:номер|н[оo]мер|№)\s*\d{6}\b", 0.7),), "(?iU)н[оo]мер|№", context=PASSPORT_CONTEXT),
+    Recognizer("passport", "PASSPORT", ((r"\b\d{4}\s*(?:номер|н[оo]мер|№)\s*\d{6}\b", 0.7),), "(?iU)н[оo]мер|№", context=PASSPORT_CONTEXT, numeric=True),
     anchored(
         "passport_anchored",
         "PASSPORT",
@@ -121,9 +126,9 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     ),
     Recognizer("email", "EMAIL_ADDRESS", ((r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0.9),), "@"),
     Recognizer("email_spoken", "EMAIL_ADDRESS", ((rf"{LOCAL}\s*{AT}\s*[\w\-]+\s*{DOT}\s*[A-Za-z]{{2,6}}", 0.85),), rf"(?iU){AT}\s*[\w\-]+\s*{DOT}\s*[A-Za-z]"),
-    Recognizer("birth", "DATE_OF_BIRTH", ((r"\b\d{2}\.\d{2}\.\d{4}\b", 0.4), (r"\b\d{2}/\d{2}/\d{4}\b", 0.4)), r"(?U)\d{2}[./]\d{2}[./]\d{4}", context=BIRTH_CONTEXT),
+    Recognizer("birth", "DATE_OF_BIRTH", ((r"\b\d{2}\.\d{2}\.\d{4}\b", 0.4), (r"\b\d{2}/\d{2}/\d{4}\b", 0.4)), r"(?U)\d{2}[./]\d{2}[./]\d{4}", context=BIRTH_CONTEXT, numeric=True),
     anchored("birth_anchored", "DATE_OF_BIRTH", (r"дата\s+рожд\w*(?:\W+\w+){0,3}?\W{0,5}(\d{2}[.\-/]?\d{2}[.\-/]?\d{4}|\d{8})",), (8,), 0.7, "(?iU)рожд"),
-    Recognizer("card", "CREDIT_CARD", ((r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b", 0.7), (r"\b\d{2}(?:[\s\-_.]?\d{2}){7}\b", 0.55)), r"(?U)\d(?:[\s\-_.]?\d){15}", context=CARD_CONTEXT),
+    Recognizer("card", "CREDIT_CARD", ((r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b", 0.7), (r"\b\d{2}(?:[\s\-_.]?\d{2}){7}\b", 0.55)), r"(?U)\d(?:[\s\-_.]?\d){15}", context=CARD_CONTEXT, numeric=True),
     anchored(
         "card_anchored",
         "CREDIT_CARD",
@@ -136,13 +141,13 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
 
 # What a general framework finds in any language; it is masked as <PII>.
 GENERAL: tuple[Recognizer, ...] = (
-    Recognizer("date", "DATE_TIME", ((r"\b(?:\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2})\b", 0.6),), r"(?U)\d[./-]\d"),
+    Recognizer("date", "DATE_TIME", ((r"\b(?:\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})|\d{4}-\d{2}-\d{2})\b", 0.6),), r"(?U)\d[./-]\d", numeric=True),
     Recognizer("url", "URL", ((r"\bhttps?://[^\s<>\"']+", 0.6),), "://"),
-    Recognizer("ip", "IP_ADDRESS", ((r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.6),), r"[0-9]\.[0-9]{1,3}\.[0-9]"),
-    Recognizer("ipv6", "IP_ADDRESS", ((r"(?<![\w:])(?=[0-9A-F:]*[0-9])(?:(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}|(?:[0-9A-F]{1,4}:){1,7}:|(?:[0-9A-F]{1,4}:){1,6}(?::[0-9A-F]{1,4}){1,6}|::(?:[0-9A-F]{1,4}:){0,6}[0-9A-F]{1,4})(?![\w:])", 0.6),), r"(?i)[0-9A-F:]:[0-9A-F:]"),
-    Recognizer("wallet", "CRYPTO", ((r"\b(?-i:[13][a-km-zA-HJ-NP-Z1-9]{25,33})\b", 0.5),), r"[13][A-Za-z0-9]{25}", valid=checks.base58_valid),
-    Recognizer("segwit", "CRYPTO", ((r"\bbc1[02-9ac-hj-np-z]{11,71}\b", 0.5),), "(?i)bc1", valid=checks.bech32_valid),
-    Recognizer("iban", "IBAN_CODE", ((r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?\b", 0.5),), r"[A-Za-z]{2}[0-9]{2}", valid=checks.iban_valid),
+    Recognizer("ip", "IP_ADDRESS", ((r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.6),), r"[0-9]\.[0-9]{1,3}\.[0-9]", numeric=True),
+    Recognizer("ipv6", "IP_ADDRESS", ((r"(?<![\w:])(?=[0-9A-F:]*[0-9])(?:(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}|(?:[0-9A-F]{1,4}:){1,7}:|(?:[0-9A-F]{1,4}:){1,6}(?::[0-9A-F]{1,4}){1,6}|::(?:[0-9A-F]{1,4}:){0,6}[0-9A-F]{1,4})(?![\w:])", 0.6),), r"(?i)[0-9A-F:]:[0-9A-F:]", numeric=True),
+    Recognizer("wallet", "CRYPTO", ((r"\b(?-i:[13][a-km-zA-HJ-NP-Z1-9]{25,33})\b", 0.5),), r"[13][A-Za-z0-9]{25}", valid=checks.base58_valid, numeric=True),
+    Recognizer("segwit", "CRYPTO", ((r"\bbc1[02-9ac-hj-np-z]{11,71}\b", 0.5),), "(?i)bc1", valid=checks.bech32_valid, numeric=True),
+    Recognizer("iban", "IBAN_CODE", ((r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?\b", 0.5),), r"[A-Za-z]{2}[0-9]{2}", valid=checks.iban_valid, numeric=True),
 )
 
 
@@ -159,5 +164,11 @@ def registry(*more: Recognizer, without: tuple[str, ...] = ()) -> tuple[Recogniz
 
 def detect(text: Column, recognizers: tuple[Recognizer, ...] | None = None) -> Column:
     """All detections of all recognizers in one array, unresolved."""
-    parts = [r.spans(text, i) for i, r in enumerate(registry() if recognizers is None else recognizers)]
+    chosen = list(enumerate(registry() if recognizers is None else recognizers))
+    parts = []
+    for numeric, group in groupby(chosen, lambda x: x[1].numeric):
+        own = [r.spans(text, i) for i, r in group]
+        if numeric and len(own) > 1:
+            own = [F.when(F.regexp_like(text, F.lit(r"(?U)\d")), F.concat(*own)).otherwise(no_spans(SPAN))]
+        parts += own
     return F.concat(*parts) if parts else no_spans(SPAN)
