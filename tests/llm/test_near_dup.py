@@ -206,3 +206,26 @@ def test_parities_differ_at_most_as_often_as_sets(spark):
         apart = sum(int(x).bit_count() for x in (near_dup.parities(a) ^ near_dup.parities(b)).view(np.uint64))
         assert len(near_dup.parities(a)) == len(near_dup.PARITIES) and apart <= len(np.setxor1d(a, b))
         assert n != 50 or apart > 0
+
+
+def test_buckets_of_one_class_shuffle_their_numbers_only(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20))) for i in range(600)]
+    df = saved(spark.createDataFrame(rows, "doc_id long, text string"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    assert near_duplicates(df, 80, 4).filter("kept").count() == 600
+    assert written() - before < 40 * near_dup.BANDS * len(rows)
+    pairs = spark.createDataFrame([(b"a" * 16, b"b" * 16)], "a binary, b binary")
+    same = bytes(range(64))
+    sets = saved(spark.createDataFrame([(c * 16, 8, same) for c in (b"a", b"b")], "same binary, size long, hashes binary"))
+    assert [tuple(r) for r in near_dup.confirmed(saved(pairs), sets, 80).collect()] == [(b"a" * 16, b"b" * 16)]
+
+
+def test_repeated_rows_of_a_place_give_one_set(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, base), (None, base), (3, base), (3, base), (4, base + " more"), (None, base + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(df, 80, 4).collect() if r.doc_id)
+    assert got == [(3, 3), (3, 3), (4, 3)]
+    assert [(r.doc_id, r.text) for r in deduplicated(df, 80, 4).collect()] == [(3, base)]

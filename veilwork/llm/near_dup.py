@@ -154,12 +154,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def among(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` (long) is in the column ``key`` of ``keys``, and a few others, told by a filter without a shuffle of ``rows``."""
+    bits = saved(key_filter(keys, keys.count())).scalar()
+    return rows.filter(may_hold(bits, key))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of classes whose full shingle sets are similar enough.
 
     Both joins are of tables as they are, so Spark can split the pairs of a hot
-    class among tasks.
+    class among tasks.  Only the sets of classes with pairs are shuffled.
     """
+    ends = pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("key"))
+    sets = among(sets, F.xxhash64("same"), ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,15 +265,17 @@ def may_agree(n_a: Column, n_b: Column, a: Column, b: Column, percent: int) -> C
 
 
 def mixed_tokens(index: DataFrame, salt: int) -> DataFrame:
-    """Rows of tokens with several components, with the token's ``centre``, one of its classes by a salted hash."""
-    centre = F.min(F.struct(F.xxhash64("same", "token", F.lit(salt)).alias("draw"), "same", "component", "n", "at", "parity")).alias("centre")
-    # sums are written before they are joined, so that Spark can split the rows of a hot token
-    found = saved(index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), centre).filter("low < high").select("token", "centre"))
-    return saved(index.join(found, "token"))
+    """Rows of tokens with several components, and few others (other ones for each ``salt``): the filter of tokens may let more through."""
+    own = F.xxhash64("component")
+    found = saved(index.groupBy("token").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low < high").select(F.xxhash64("token", F.lit(salt)).alias("key")))
+    return saved(among(index, F.xxhash64("token", F.lit(salt)), found))
 
 
-def star_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: each class with the centre of each token, if they may fit and their components differ."""
+def star_pairs(index: DataFrame, percent: int, salt: int) -> DataFrame:
+    """``a, b``: each class with the centre of each token, one of its classes by a salted hash, if they may fit and their components differ."""
+    centre = F.min(F.struct(F.xxhash64("same", "token", F.lit(salt)).alias("draw"), "same", "component", "n", "at", "parity")).alias("centre")
+    # centres are written before they are joined, so that Spark can split the rows of a hot token
+    index = index.join(saved(index.groupBy("token").agg(centre)), "token")
     own, hub = F.col, lambda c: F.col(f"centre.{c}")
     fits = may_fit(own("n"), hub("n"), own("n") - own("at"), hub("n") - hub("at"), percent)
     found = index.filter((own("component") != hub("component")) & fits & may_agree(own("n"), hub("n"), own("parity"), hub("parity"), percent))
@@ -354,7 +364,7 @@ def joined(grouped: DataFrame, tried: DataFrame, active: DataFrame, sets: DataFr
     while not index.isEmpty():
         facing = crossing(index, percent, worth)
         last = facing is not None
-        new = indexed_pairs(index, percent, facing) if last else star_pairs(index, percent)
+        new = indexed_pairs(index, percent, facing) if last else star_pairs(index, percent, salt)
         new = saved(new.join(tried, ["a", "b"], "left_anti"))
         links = saved(confirmed(new, sets, percent))
         now = saved(merges(links, labels))
@@ -363,7 +373,7 @@ def joined(grouped: DataFrame, tried: DataFrame, active: DataFrame, sets: DataFr
             break
         before, gone = index.agg(F.countDistinct("component")).first()[0], now.filter("component <> merged").count()
         worth, tried, salt = gone > (1 - WORTH) * before, tried.union(new), salt + 1
-        index = mixed_tokens(merged(index.drop("centre"), now), salt)
+        index = mixed_tokens(merged(index, now), salt)
     return labels
 
 
@@ -377,16 +387,19 @@ def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: i
     where = F.struct("id", "tag")
     classes = saved(known.groupBy("same").agg(F.min(where).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     placed = classes.select("same", "n", F.explode("bands").alias("bucket"))
+    # most buckets have one class: only their numbers are shuffled, and the classes of buckets with more
+    shared = saved(placed.groupBy("bucket").count().filter("count > 1").select(F.col("bucket").alias("key")))
+    placed = among(placed, F.col("bucket"), shared)
     # sums are written before they are joined, so that Spark can split the rows of a hot bucket
     stars = placed.groupBy("bucket").agg(F.min(F.struct("same", "n")).alias("centre"), F.max("same").alias("top"))
     stars = saved(stars.filter("centre.same < top").drop("top"))
     members = saved(placed.join(stars, "bucket"))
 
-    involved = saved(members.select("same").distinct().join(classes.select("same", "at"), "same").select("same", F.col("at.id").alias("at_id"), F.col("at.tag").alias("tag")))
-    bits = saved(key_filter(involved.select(F.xxhash64("at_id", "tag").alias("key")), involved.count())).scalar()  # so that few other texts are shuffled
-    asked = involved.select("at_id", F.col("tag").alias("at_tag"))
-    some = rows.filter(may_hold(bits, F.xxhash64("id", "tag"))).join(asked, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("tag") == F.col("at_tag")), "left_semi")
-    sets = saved(shingle_sets(some, shingle).groupBy("same").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes")))
+    involved = saved(members.select("same").distinct().join(classes.select("same", "at"), "same").select("at"))
+    some = among(rows, F.xxhash64("id", "tag"), involved.select(F.xxhash64("at.id", "at.tag").alias("key")))  # so that few other texts are shuffled
+    some = some.select(where.alias("at"), "text").join(involved, "at", "left_semi")
+    # a class has one place; of repeated rows one is taken before its set is made, where the join has put them
+    sets = saved(shingle_sets(some.groupBy("at").agg(F.first("text").alias("text")), shingle))
 
     few, many = F.least("n", "centre.n"), F.greatest("n", "centre.n")
     fits = (F.col("same") != F.col("centre.same")) & (100 * few >= percent * many)
@@ -400,7 +413,7 @@ def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: i
     split = saved(now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"))
     rest = saved(now.join(split, "bucket", "left_semi").select("same", "component").distinct())
     if not rest.isEmpty():
-        active = saved(sets.join(rest, "same").select("same", "component", "size", "hashes"))
+        active = saved(among(sets, F.xxhash64("same"), rest.select(F.xxhash64("same").alias("key"))).join(rest, "same").select("same", "component", "size", "hashes"))
         grouped = joined(grouped, tried, active, sets, percent)
     return grouped.select(F.col("id").alias("same"), "component")
 
