@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -112,3 +113,19 @@ def test_multiset_is_closest():
             for n, k in pattern.items():
                 left[n] -= k * times
         assert not any(left.values())
+
+
+def test_many_chunks_are_learned_once():
+    bpe, learned = MergeTable(PATH), []
+    bpe.memory = "chunks of a test"
+    learn = bpe.learn
+    bpe.learn = lambda new: learned.append(len(new)) or learn(new)
+    texts = [" ".join(f"{a}{b}{c}," for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyzßéñ") for a in ("".join(x) for x in itertools.product("abcdef", "ghijkl", "mnopqr"))]
+    first = list(bpe.encode(texts))
+    assert list(bpe.encode(texts)) == first and learned == [216 * 26 * 29, 0]
+
+
+def test_letters_and_a_mark_are_split_like_the_library_does():
+    texts = ["don't stop, d' it's, 's. 'll! re; ve: été, naïve. ª, º. ß) x) ²) ǅ, ʰ. ˤ, ˂, ``, a,, .a a_, 1, a1, ', ,"]
+    want = [np.array(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(MergeTable(PATH).encode(texts)) == want

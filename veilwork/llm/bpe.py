@@ -23,6 +23,10 @@ from .shared import memory, parts
 
 #: Longer chunks are not remembered by a worker.
 LONG_CHUNK = 64
+#: Chunks that a worker remembers: over 100 bytes each, so less than 100 MB.
+CHUNKS = 400_000
+#: What may follow the letters of a word and is one pre-token by itself.
+MARKS = frozenset(".,;:!?)")
 NEVER = np.iinfo(np.int64).max
 
 
@@ -122,15 +126,18 @@ class MergeTable:
 
     def learn(self, new: set[str]) -> dict[str, bytes]:
         """The ids of chunks between white space."""
-        whole = [c for c in new if c.isascii() and c.isalpha()]  # letters only: one pre-token
-        parts = {c: self.split(c) for c in new.difference(whole)}
-        words = list(set(whole).union(*parts.values()))
+        letters = lambda c: c.isalpha() and (c.isascii() or not self.odd(c))  # one pre-token; up to U+02FF all know the same letters
+        whole = set(filter(letters, new))
+        ended = [c for c in new if c[-1] in MARKS and letters(c[:-1])]  # two
+        parts = {c: self.split(c) for c in new.difference(whole, ended)}
+        words = list(whole.union([c[:-1] for c in ended], [c[-1] for c in ended], *parts.values()))
         if not words:
             return dict.fromkeys(new, b"")
         ids, n = self.merge(words)
         flat, stop = ids.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
         by_word = {w: flat[b:e] for w, b, e in zip(words, [0, *stop], stop, strict=False)}
-        return {c: by_word[c] for c in whole} | {c: b"".join([by_word[w] for w in p]) for c, p in parts.items()}
+        out = {c: by_word[c] for c in whole} | {c: by_word[c[:-1]] + by_word[c[-1]] for c in ended}
+        return out | {c: b"".join([by_word[w] for w in p]) for c, p in parts.items()}
 
     def chunks(self, text: str | None) -> list[str] | None:
         """What lies between white space, normalised like the library does; None if a special string, a recent mark or an unassigned character is in it."""
@@ -147,9 +154,9 @@ class MergeTable:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        ids = memory(self.memory)
+        ids = memory(self.memory, CHUNKS)
         chunks = [self.chunks(t) for t in texts]
-        fresh = self.learn({c for row in chunks if row for c in row if c not in ids})
+        fresh = self.learn(set().union(*filter(None, chunks)).difference(ids))
         ids.update(fresh)
         get = ids.__getitem__
         for t, row in zip(texts, chunks, strict=True):

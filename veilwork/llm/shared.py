@@ -23,13 +23,13 @@ FILTER_LEAST, FILTER_MOST = 1 << 10, 1 << 22
 _held: dict[str, dict] = {}
 
 
-def memory(owner: str) -> dict:
+def memory(owner: str, most: int = MEMORY) -> dict:
     """What a Python worker remembers for one operator.
 
     Workers outlive stages: what another operator has left goes, and so does a
-    memory of over ``MEMORY`` entries.  It only saves time, results are the same.
+    memory of over ``most`` entries.  It only saves time, results are the same.
     """
-    if owner not in _held or len(_held[owner]) > MEMORY:
+    if owner not in _held or len(_held[owner]) > most:
         _held.clear()
         _held[owner] = {}
     return _held[owner]
