@@ -175,6 +175,22 @@ def test_no_phrases(spark):
     assert frequent_phrases(windows, 3, 10).count() == 0
 
 
+def test_a_task_counts_its_texts_together(spark):
+    df = spark.range(300, numPartitions=1).select(F.lit("en").alias("lang"), F.repeat(F.lit("one two three. "), 700).alias("text"))
+    assert sorted(map(tuple, phrases.word_counts(df).collect())) == [("en", w, 210_000) for w in ("one", "three", "two")]
+    every = np.full(1024, 2**64 - 1, np.uint64)
+    assert sorted((list(r.words), r.n) for r in phrases.windows(df, every, 3).collect()) == [(["one", "two", "three"], 210_000), (["two", "three"], 210_000)]
+
+
+def test_blocks_part_texts_and_languages(monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "a", "a"]), pa.array(["x y x", None, "y, x", "z" * 50])], names=["lang", "text"])
+    found = [(lang, [words[c] for c in codes]) for lang, codes, words in phrases.blocks(iter([batch, batch]))]
+    one = [("a", [b"x", b"y", b"x", b"\xff", b"y", b"\xff", b"x", b"\xff", b"z" * 50, b"\xff"]), ("b", [b"\xff"])]
+    assert [(lang, [w for w in words if w != b"\xff"]) for lang, words in found] == [(lang, [w for w in words if w != b"\xff"]) for lang, words in one * 2]
+    assert all(words[-1] == b"\xff" for _, words in found)
+
+
 def test_wide_codes_are_kept_apart():
     columns = [np.array([2**40, 1, 2**40]), np.array([5, 6, 5])]
     table, n = phrases.distinct_rows(columns, 2**41)

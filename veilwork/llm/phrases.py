@@ -15,10 +15,11 @@ Filters only ever let more through, so counts are exact.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that part pieces become this one, which no text in UTF-8 has; space and tab part words.
 STOP = b"\xff"
 _TABLE = bytes.maketrans((UPPER + ".,;:!?\n\x0b\x0c\r").encode(), LOWER.encode() + STOP * 10)
-#: Bytes of text that a task works on at a time.
-TEXT_BYTES = 1_000_000
+#: Bytes of text that a task takes apart at a time, and those whose words it counts together.
+TEXT_BYTES, BLOCK_BYTES = 1_000_000, 8_000_000
+#: Rows that a task hands on at a time.
+ROWS = 50_000
 #: Windows of one prefix that a task holds; a prefix with more is counted by sums.
 HELD = 200_000
 #: Windows of a task, about.
@@ -55,12 +58,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def coded(words: list[bytes], lang: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Each word's number, the words by number (``STOP`` is 0) and their hashes within the language."""
-    number = {w: i for i, w in enumerate(dict.fromkeys([STOP, *words]))}
-    codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
+    """Hashes of words within their language."""
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    return codes, list(number), np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in number), np.uint64, len(number))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """The words of ``lang, text`` by number, with ``STOP`` (0) after each text's last, and the words themselves: a language of ``BLOCK_BYTES`` of text at a time."""
+    held: dict[str, tuple[defaultdict, list[np.ndarray]]] = {}
+    size = 0
+
+    def done() -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+        for lang in list(held):
+            number, codes = held.pop(lang)
+            yield lang, np.concatenate(codes), list(number)
+
+    for batch in batches:
+        for part in parts(batch, 1, most=TEXT_BYTES):
+            for lang, texts in by_language(part):
+                if lang not in held:
+                    held[lang] = defaultdict(count(1).__next__, {STOP: 0}), []  # a word that is not known gets the next number
+                number, codes = held[lang]
+                words = [*tokens(texts), STOP]
+                codes.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            size += part.column(1).nbytes
+            if size >= BLOCK_BYTES:
+                yield from done()
+                size = 0
+    yield from done()
+
+
+def sliced(names: list[str], *arrays: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Columns as batches of ``ROWS``."""
+    batch = pa.RecordBatch.from_arrays(list(arrays), names=names)
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,12 +130,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """``lang, word, f``; several rows a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, 1, most=TEXT_BYTES):
-                for lang, texts in by_language(part):
-                    codes, words, _ = coded(tokens(texts), lang)
-                    arrays = [pa.array([lang] * (len(words) - 1), pa.string()), text_of(words), pa.array(np.bincount(codes, minlength=len(words))[1:], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "word", "f"])
+        for lang, codes, words in blocks(batches):
+            yield from sliced(["lang", "word", "f"], pa.array([lang] * (len(words) - 1), pa.string()), text_of(words), pa.array(np.bincount(codes, minlength=len(words))[1:], pa.int64()))
 
     return rows.mapInArrow(run, "lang string, word string, f long")
 
@@ -131,16 +160,14 @@ def pair_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """``key, n`` of pairs of words that may both be frequent; several rows a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, 1, most=TEXT_BYTES):
-                for lang, texts in by_language(part):
-                    codes, _, hashes = coded(tokens(texts), lang)
-                    usual = has_key(bits, hashes.view(np.int64))
-                    usual[0] = False
-                    good = usual[codes]
-                    at = np.flatnonzero(good[:-1] & good[1:])
-                    key, n = np.unique(pair_keys(hashes[codes[at]], hashes[codes[at + 1]]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
+        for lang, codes, words in blocks(batches):
+            hashes = word_hashes(words, lang)
+            usual = has_key(bits, hashes.view(np.int64))
+            usual[0] = False
+            good = usual[codes]
+            at = np.flatnonzero(good[:-1] & good[1:])
+            key, n = np.unique(pair_keys(hashes[codes[at]], hashes[codes[at + 1]]), return_counts=True)
+            yield from sliced(["key", "n"], pa.array(key), pa.array(n, pa.int64()))
 
     return rows.mapInArrow(run, "key long, n long")
 
@@ -149,25 +176,21 @@ def windows(rows: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     """``lang, words, n``: from each word on, as many words as pairs allow that may be frequent, at least two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, 1, most=TEXT_BYTES):
-                for lang, texts in by_language(part):
-                    codes, words, hashes = coded(tokens(texts), lang)
-                    if len(codes) < 2:
-                        continue
-                    goes_on = (codes[:-1] > 0) & (codes[1:] > 0)
-                    at = np.flatnonzero(goes_on)
-                    goes_on[at] = has_key(bits, pair_keys(hashes[codes[at]], hashes[codes[at + 1]]))
-                    at = np.flatnonzero(goes_on)
-                    rest, columns = np.ones(len(at), dtype=bool), [codes[at]]
-                    for k in range(1, longest):
-                        stop = at + k - 1
-                        rest = rest & (stop < len(goes_on)) & goes_on[np.minimum(stop, len(goes_on) - 1)]
-                        columns.append(np.where(rest, codes[np.minimum(at + k, len(codes) - 1)], 0))
-                    table, n = distinct_rows(columns, len(words))
-                    offset = np.concatenate([[0], np.cumsum((table > 0).sum(axis=1))]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(offset, text_of(words).take(pa.array(table[table > 0] - 1)))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), lists, pa.array(n, pa.int64())], names=["lang", "words", "n"])
+        for lang, codes, words in blocks(batches):
+            hashes = word_hashes(words, lang)
+            goes_on = (codes[:-1] > 0) & (codes[1:] > 0)
+            at = np.flatnonzero(goes_on)
+            goes_on[at] = has_key(bits, pair_keys(hashes[codes[at]], hashes[codes[at + 1]]))
+            at = np.flatnonzero(goes_on)
+            rest, columns = np.ones(len(at), dtype=bool), [codes[at]]
+            for k in range(1, longest):
+                stop = at + k - 1
+                rest = rest & (stop < len(goes_on)) & goes_on[np.minimum(stop, len(goes_on) - 1)]
+                columns.append(np.where(rest, codes[np.minimum(at + k, len(codes) - 1)], 0))
+            table, n = distinct_rows(columns, len(words))
+            offset = np.concatenate([[0], np.cumsum((table > 0).sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offset, text_of(words).take(pa.array(table[table > 0] - 1)))
+            yield from sliced(["lang", "words", "n"], pa.array([lang] * len(n), pa.string()), lists, pa.array(n, pa.int64()))
 
     return rows.mapInArrow(run, "lang string, words array<string>, n long")
 
@@ -188,18 +211,21 @@ def grown(words: list[list[str]], weight: list[int], pointers: list[int], depth:
 def grow_prefixes(held: DataFrame, depth: int, least: int) -> DataFrame:
     """``lang, words, n`` of frequent phrases that begin with the first ``depth`` words of the windows; a task has all windows of a prefix."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lang, words, weight = pdf["lang"].tolist(), [list(w) for w in pdf["words"]], pdf["n"].tolist()
+    def run(lot: pa.Table) -> pa.Table:
+        lists = pa.concat_arrays(lot.column("words").chunks)
+        flat, at = lists.values.to_pylist(), lists.offsets.to_pylist()
+        lang, words, weight = lot.column("lang").to_pylist(), [flat[b:e] for b, e in zip(at, at[1:], strict=False)], lot.column("n").to_pylist()
         prefixes: dict[tuple, list[int]] = {}
         for p, w in enumerate(words):
             prefixes.setdefault((lang[p], *w[:depth]), []).append(p)
         out = [(lang[p], words[p][:size], n) for own in prefixes.values() for p, size, n in grown(words, weight, own, depth, least)]
-        return pd.DataFrame(out, columns=["lang", "words", "n"])
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({"lang": pa.array(cols[0], pa.string()), "words": pa.array(cols[1], pa.list_(pa.string())), "n": pa.array(cols[2], pa.int64())})
 
     lots = max(1, -(-held.count() // LOT))
     prefix = F.slice("words", 1, depth)
     rows = held.withColumn("lot", F.pmod(F.xxhash64("lang", prefix), F.lit(lots)))
-    return rows.groupBy("lot").applyInPandas(run, "lang string, words array<string>, n long")
+    return rows.groupBy("lot").applyInArrow(run, "lang string, words array<string>, n long")
 
 
 def frequent_phrases(projected: DataFrame, longest: int, least: int, most: int = HELD) -> DataFrame:
