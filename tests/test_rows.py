@@ -51,6 +51,23 @@ def test_resolution_in_rounds_equals_the_fold(spark):
     assert intervals.resolved(df.limit(0), ["doc"]).count() == 0
 
 
+@pytest.mark.parametrize("width, held", [(16, 1000), (64, 8)])
+def test_bins_alone_and_in_rounds_equal_the_fold(spark, width, held):
+    rng = random.Random(width + held)
+    rows = [(d, rng.choice(["INN", "SNILS"]), b, b + rng.randrange(1, 12), rng.choice([0.4, 0.5, 0.9]), rng.randrange(4)) for d in range(4) for b in [rng.randrange(-40, 200) for _ in range(12 * d)]]
+    df = spark.createDataFrame(rows + rows[:9], "bin int, entity_type string, start int, end int, score double, rank int")
+    want = df.distinct().groupBy("bin").agg(mask.resolve(F.collect_list(F.struct("entity_type", "start", "end", "score", "rank"))).alias("s")).select("bin", F.explode("s").alias("s")).select("bin", "s.*")
+    got = intervals.resolved(df, ["bin"], width, held=held)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bins_that_no_span_crosses_need_no_join(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "overlapping", None)
+    rows = [(d, "INN", b, b + 9, 0.5, 0) for d in range(9) for b in (0, 3, 300, 304, 309)]
+    got = intervals.resolved(spark.createDataFrame(rows, "doc int, entity_type string, start int, end int, score double, rank int"), ["doc"])
+    assert sorted((r.doc, r.start) for r in got.collect()) == [(d, b) for d in range(9) for b in (0, 300, 309)]
+
+
 def test_chunks(spark):
     tags = {1: ["B-A", "I-A", "I-B", "B-B", None, "I-A"], 2: ["O", "I-A", "I-A", "B-A", "x"], 3: ["O"]}
     rows = spark.createDataFrame([(k, i, t) for k, v in tags.items() for i, t in enumerate(v)], "k int, pos int, tag string")
