@@ -229,3 +229,14 @@ def test_repeated_rows_of_a_place_give_one_set(spark):
     got = sorted((r.doc_id, r.component_id) for r in near_duplicates(df, 80, 4).collect() if r.doc_id)
     assert got == [(3, 3), (3, 3), (4, 3)]
     assert [(r.doc_id, r.text) for r in deduplicated(df, 80, 4).collect()] == [(3, base)]
+
+
+def test_counts_of_hashes_reach_the_driver_narrow(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 5000, 3000).astype(np.uint64)) for _ in range(4)]
+    frame, got, real = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "hashes binary"), [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda self: got.append(real(self)) or got[-1])
+    common = near_dup.commonness(frame, 12_000)
+    n = np.bincount((np.concatenate(sets) & np.uint64(len(common) - 1)).astype(np.int64), minlength=len(common))
+    assert (common == np.where(n > 1, np.ceil(np.log2(np.maximum(n, 1))), 0)).all()
+    assert got[0].num_rows == (n > 1).sum() and sum(f.type.bit_width for f in got[0].schema) == 40

@@ -213,3 +213,9 @@ def test_key_filters_follow_the_number_of_keys(spark):
     assert keys.join(row).filter(~may_hold(F.col("bits"), F.col("key"))).count() == 0
     assert row.collect()[0]["bits"] == bits.view(np.int64).tolist()
     assert others.join(row).filter(may_hold(F.col("bits"), F.col("key"))).count() == int(has_key(bits, np.array([r.key for r in others.collect()], dtype=np.int64)).sum())
+
+
+def test_key_filter_needs_no_join(spark):
+    keys = spark.range(100).select(F.xxhash64("id").alias("key"))
+    assert "Join" not in key_filter(keys, 100)._jdf.queryExecution().toString()
+    assert key_filter(keys.limit(0), 0).collect()[0]["bits"] == [0] * 1024

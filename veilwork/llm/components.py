@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     Ids without links do not appear.  Every node keeps one row a round; the
     edges of a large centre meet in one join, which Spark splits among tasks if it
     deals out skewed joins.  Rounds grow with the logarithm of the longest path.
+    The result is written, so it can be read several times.
     """
     given = saved(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())  # the steps below read their input several times
     now = saved(_small_star(given).distinct())

@@ -51,6 +51,8 @@ STEP, FAR = 64, 32
 VIEW, NEW = ("doc_id", "text", "lang", "source", "n_chars"), ("p_text", "p_meta", "p_quality", "kept")
 #: Labelled documents of each class without which nothing is learned.
 LEAST = 20
+#: Rows of the fit that are squared at a time.
+FIT_ROWS = 256
 
 _SHAPE = bytes(
     ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256)
@@ -108,8 +110,13 @@ def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> byte
     return bytes(places)
 
 
+def text_bytes(rows: list[bytes]) -> np.ndarray:
+    """Stored features of texts, an eighth of the size of their numbers."""
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, TEXT_DIMS)
+
+
 def text_matrix(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, TEXT_DIMS) / SCALE
+    return text_bytes(rows) / SCALE
 
 
 def meta_matrix(rows: list[bytes]) -> np.ndarray:
@@ -122,15 +129,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def numbers(x: np.ndarray) -> np.ndarray:
+    """What features stand for; those of texts are stored bytes."""
+    return x / SCALE if x.dtype == np.uint8 else x
+
+
+def design(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The numbers of ``x``, the rows ``more`` below them and a last column of ones, written in place: the driver holds them once."""
+    out = np.ones((len(x) + len(more), x.shape[1] + 1))
+    np.divide(x, SCALE if x.dtype == np.uint8 else 1.0, out=out[: len(x), :-1])
+    for row, values in zip(out[len(x) :], more, strict=True):
+        row[:-1] = values
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, penalty: float, weight: np.ndarray | None = None, steps: int = 300) -> np.ndarray:
-    """Weighted logistic regression, intercept last, by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weighted logistic regression on a ``design``, intercept last, by accelerated gradient descent."""
     weight = np.ones(len(y)) if weight is None else weight
     share = weight / weight.sum()
     w = look = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 0
-    rate = 1 / (0.25 * (share @ (x * x).sum(axis=1)) + penalty)
+    squares = np.concatenate([(b * b).sum(axis=1) for b in np.split(x, range(FIT_ROWS, len(x), FIT_ROWS))])
+    rate = 1 / (0.25 * (share @ squares) + penalty)
     for k in range(steps):
         grad = x.T @ (share * (sigmoid(x @ look) - y)) + ridge * look
         new = look - rate * grad
@@ -260,7 +281,10 @@ def pseudo_labels(pool: DataFrame, model: Model, at: dict[str, tuple[int, int]])
 
 
 def co_train(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, pool: DataFrame | None, keep_share: float, rounds: int = ROUNDS) -> Model:
-    """Fit both views; of five labelled rows three teach, one calibrates and one sets the threshold."""
+    """Fit both views; of five labelled rows three teach, one calibrates and one sets the threshold.
+
+    ``x_text`` are stored bytes; only the rows of one fit at a time become numbers.
+    """
     turn = np.arange(len(y)) % 5
     train, check, last = turn < 3, turn == 3, turn == 4
     prior = float(np.log(y.sum() / (len(y) - y.sum())))
@@ -269,14 +293,14 @@ def co_train(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, pool: DataFr
 
     def fitted(name: str, x: np.ndarray) -> View:
         own = taught[taught["to"] == name]
-        rows, labels, weight = x[train], y[train], np.ones(train.sum())
+        labels, weight = y[train], np.ones(train.sum())
         if len(own):
             certain = np.maximum(2 * own["certain"].to_numpy(float) - 1, 0)
             n = own["n"].to_numpy(float)
-            rows, labels = np.vstack([rows, np.stack(list(own["mean"]))]), np.concatenate([labels, own["label"].to_numpy(float)])
+            labels = np.concatenate([labels, own["label"].to_numpy(float)])
             weight = np.concatenate([weight, WEIGHT * train.sum() * certain * n / n.sum()])
-        w = fit(rows, labels, 1e-4, weight)
-        return View(w, fit(scores(x[check], w)[:, None], y[check], 1e-3))
+        w = fit(design(x[train], *own["mean"]), labels, 1e-4, weight)
+        return View(w, fit(design(scores(numbers(x[check]), w)[:, None]), y[check], 1e-3))
 
     for k in range(rounds + 1):
         model = Model(fitted("text", x_text), fitted("meta", x_meta), prior, given=given)
@@ -284,7 +308,7 @@ def co_train(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, pool: DataFr
             break
         taught = pseudo_labels(pool, model, thresholds(pool, model, GIVEN * (k + 1)))
         given.append({(to, int(label)): int(n) for (to, label), n in taught.groupby(["to", "label"])["n"].sum().items()})
-    good = np.sort(model.judge(x_text[last & (y == 1)], x_meta[last & (y == 1)])[:, 2])
+    good = np.sort(model.judge(numbers(x_text[last & (y == 1)]), x_meta[last & (y == 1)])[:, 2])
     # a document is rejected only below what nearly all good documents reach, and never above even odds
     model.threshold = min(0.5, float(good[int((1 - keep_share) * len(good))])) if len(good) else 0.0
     return model
@@ -302,7 +326,7 @@ def trained(stored: DataFrame, labels: DataFrame, id_col: str, label_col: str, m
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return None
     pool = stored.join(marked, F.col("id") == F.col("told_id"), "left_anti")
-    return co_train(text_matrix(list(found["text"])), meta_matrix(list(found["meta"])), y, None if pool.isEmpty() else pool, keep_share, rounds)
+    return co_train(text_bytes(list(found["text"])), meta_matrix(list(found["meta"])), y, None if pool.isEmpty() else pool, keep_share, rounds)
 
 
 def decisions(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 5000, keep_share: float = 0.995, rounds: int = ROUNDS, view: tuple[str, ...] = VIEW) -> DataFrame:

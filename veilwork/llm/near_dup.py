@@ -199,7 +199,8 @@ def commonness(sets: DataFrame, total: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(n, pa.int64())], names=["spot", "n"])
 
     counts = sets.select("hashes").mapInArrow(run, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n"))
-    found = counts.filter("n > 1").select("spot", F.ceil(F.log2("n")).cast("long").alias("n")).toArrow()  # COUNTERS rows at most
+    # COUNTERS rows of 5 bytes at most
+    found = counts.filter("n > 1").select(F.col("spot").cast("int").alias("spot"), F.ceil(F.log2("n")).cast("tinyint").alias("n")).toArrow()
     out = np.zeros(size, dtype=np.uint8)
     out[found.column("spot").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -367,7 +368,7 @@ def joined(grouped: DataFrame, tried: DataFrame, active: DataFrame, sets: DataFr
         new = indexed_pairs(index, percent, facing) if last else star_pairs(index, percent, salt)
         new = saved(new.join(tried, ["a", "b"], "left_anti"))
         links = saved(confirmed(new, sets, percent))
-        now = saved(merges(links, labels))
+        now = merges(links, labels)
         labels = saved(merged(labels, now))
         if last:
             break
@@ -408,7 +409,7 @@ def groups(found: DataFrame, rows: DataFrame, more: DataFrame | None, percent: i
     grouped = components(links if more is None else links.union(more))
 
     # buckets of several components: their classes meet again in an index, whatever bands they share
-    state = saved(grouped).select(F.col("id").alias("same"), "component")
+    state = grouped.select(F.col("id").alias("same"), "component")
     now = saved(members.select("bucket", "same").join(state, "same", "left").withColumn("component", F.coalesce("component", "same")))
     split = saved(now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"))
     rest = saved(now.join(split, "bucket", "left_semi").select("same", "component").distinct())

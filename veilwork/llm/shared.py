@@ -86,10 +86,13 @@ def filter_words(n: int) -> int:
     return min(FILTER_MOST, max(FILTER_LEAST, 1 << max(0, n * 16 // 64 - 1).bit_length()))
 
 
-def _filter_rows(keys: DataFrame, words: int) -> DataFrame:
-    """``word, set``: the words of a Bloom filter of the column ``key`` (long) that are not 0."""
+def _filter_rows(keys: DataFrame, words: int, every: bool = False) -> DataFrame:
+    """``word, set``: the words of a Bloom filter of the column ``key`` (long), those that are 0 only if ``every`` is asked for."""
     spots = keys.select(F.explode(F.array(*[F.pmod(k, F.lit(words * 64)) for k in (F.col("key"), _second(F.col("key")))])).alias("spot"))
-    return spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot % 64 AS INT))")).alias("set"))
+    bits = spots.select(F.expr("spot div 64").alias("word"), F.expr("shiftleft(1L, CAST(spot % 64 AS INT))").alias("set"))
+    if every:
+        bits = bits.union(keys.sparkSession.range(words).select(F.col("id"), F.lit(0).cast("long")))
+    return bits.groupBy("word").agg(F.bit_or("set").alias("set"))
 
 
 def _second(key: Column) -> Column:
@@ -104,10 +107,8 @@ def key_filter(keys: DataFrame, n: int) -> DataFrame:
     may let more through in error, but never leaves out a key.  Its size follows
     the number of keys up to ``FILTER_MOST``.
     """
-    words = filter_words(n)
-    every = keys.sparkSession.range(words).withColumnRenamed("id", "word").join(_filter_rows(keys, words), "word", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
-    return every.agg(F.transform(ordered, lambda w: w["set"]).alias("bits"))  # a bounded number of words
+    ordered = F.array_sort(F.collect_list(F.struct("word", "set")))
+    return _filter_rows(keys, filter_words(n), every=True).agg(F.transform(ordered, lambda w: w["set"]).alias("bits"))  # a bounded number of words
 
 
 def may_hold(bits: Column, key: Column) -> Column:
